@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolake.llm import ann_search, byte_bpe, impact_search, packing, suffix_dedup, url_filter
+from chronolake.llm import ann_search, byte_bpe, impact_search, jaccard_join, packing, suffix_dedup, url_filter
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, url_filter.rule_table(spark, url_filter.RULES))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.links_by_document(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return byte_bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -40,6 +44,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op6_url_filters": op6_url_filters,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_exact_top_k": op10_exact_top_k,
 }
