@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolake.llm import ann_search, byte_bpe, impact_search, jaccard_join, packing, suffix_dedup, url_filter
+from chronolake.llm import ann_search, byte_bpe, impact_search, jaccard_join, language_id, packing, suffix_dedup, url_filter
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_search.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id % 50 = 0", 5)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predictions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return url_filter.judge_urls(pages, url_filter.rule_table(spark, url_filter.RULES))
@@ -43,6 +47,7 @@ QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op4_language_id": op4_language_id,
     "op6_url_filters": op6_url_filters,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_byte_bpe": op8_byte_bpe,
