@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolake.llm import ann_search, byte_bpe, impact_search, jaccard_join, language_id, packing, suffix_dedup, url_filter
+from chronolake.llm import ann_search, byte_bpe, impact_search, jaccard_join, language_id, packing, quality, suffix_dedup, url_filter
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predictions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(spark.read.parquet(f"{sf_dir}/documents.parquet"), quality.labels_of(spark, sf_dir))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return url_filter.judge_urls(pages, url_filter.rule_table(spark, url_filter.RULES))
@@ -48,6 +52,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_language_id": op4_language_id,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_url_filters": op6_url_filters,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_byte_bpe": op8_byte_bpe,
