@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolake.llm import ann_search, byte_bpe, impact_search, jaccard_join, language_id, packing, quality, suffix_dedup, url_filter
+from chronolake.llm import ann_search, byte_bpe, impact_search, jaccard_join, language_id, maxent_lm, packing, quality, suffix_dedup, url_filter
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id % 100 = 0", 10)
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op6_url_filters": op6_url_filters,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_exact_top_k": op10_exact_top_k,
 }
 ORACLE = {
