@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from chronolake.plans import series_queries
+from chronolake.plans.inputs import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["ORACLE", "QUERIES", "flagship_detection", "series_queries"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+flagship_detection = QUERIES["flagship_detection"]
