@@ -20,8 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens kept in each worker's memo before it starts anew.
-MEMO_ENTRIES = 200_000
+#: Pre-tokens in each of the two generations of a worker's memo.
+MEMO_ENTRIES = 250_000
 #: Longer pre-tokens are merged each time and never kept.
 MEMO_BYTES = 64
 
@@ -29,46 +29,52 @@ MEMO_BYTES = 64
 class RankQueue:
     """A priority queue of merge ranks for linked-list positions.
 
-    Each rank owns a bucket (a heap of positions, so that equal ranks merge from the left). Three
-    levels of 64-bit words say which buckets hold something; the next rank is found by three
-    find-first-set steps, whatever the number of ranks. It drains with each pre-token and is reused.
+    Each rank owns a bucket: a position, or a heap of several (equal ranks merge from the left). A leaf
+    word has a bit for each of 256 ranks whose bucket holds something, the root word a bit for each leaf
+    word that isn't zero; the next rank is found by two find-first-set steps. The queue drains with each
+    pre-token and is used again.
     """
 
     def __init__(self, n_ranks: int):
-        self.leaf = [0] * ((n_ranks >> 6) + 1)
-        self.middle = [0] * ((n_ranks >> 12) + 1)
+        self.leaf = [0] * ((n_ranks >> 8) + 1)
         self.root = 0
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, int | list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket:
+        if bucket is None:
+            self.buckets[rank] = position
+            self.leaf[rank >> 8] |= BITS[rank & 255]
+            self.root |= BITS[rank >> 8]
+        elif type(bucket) is int:
+            self.buckets[rank] = [bucket, position] if bucket < position else [position, bucket]
+        else:
             heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        self.leaf[rank >> 6] |= 1 << (rank & 63)
-        self.middle[rank >> 12] |= 1 << ((rank >> 6) & 63)
-        self.root |= 1 << (rank >> 12)
 
     def pop(self) -> tuple[int, int] | None:
         """The least rank and its leftmost position."""
-        if not self.root:
+        root = self.root
+        if not root:
             return None
-        top = (self.root & -self.root).bit_length() - 1
-        word = self.middle[top]
-        mid = (top << 6) | ((word & -word).bit_length() - 1)
-        word = self.leaf[mid]
-        rank = (mid << 6) | ((word & -word).bit_length() - 1)
+        top = (root & -root).bit_length() - 1
+        word = self.leaf[top]
+        low = word & -word
+        rank = (top << 8) + low.bit_length() - 1
         bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.leaf[mid] &= ~(1 << (rank & 63))
-            if not self.leaf[mid]:
-                self.middle[top] &= ~(1 << (mid & 63))
-                if not self.middle[top]:
-                    self.root &= ~(1 << top)
-        return rank, position
+        if type(bucket) is not int:
+            position = heappop(bucket)
+            if len(bucket) == 1:
+                self.buckets[rank] = bucket[0]
+            return rank, position
+        del self.buckets[rank]
+        self.leaf[top] = word = word ^ low
+        if not word:
+            self.root = root ^ BITS[top]
+        return rank, bucket
+
+
+#: Single bits; 256 leaf words of 256 ranks are the most a queue can have.
+BITS = [1 << i for i in range(256)]
 
 
 class ByteBpe:
@@ -82,6 +88,7 @@ class ByteBpe:
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: a token itself if the table has it whole, else by lowest rank first."""
@@ -133,10 +140,11 @@ class ByteBpe:
         for token in self.split(text):
             known = memo.get(token)
             if known is None:
-                known = tuple(self.merge(token.encode("utf-8")))
+                known = self.older.get(token) or tuple(self.merge(token.encode("utf-8")))
                 if len(token) <= MEMO_BYTES:
-                    if len(memo) >= MEMO_ENTRIES:
-                        memo.clear()
+                    if len(memo) >= MEMO_ENTRIES:  # what isn't used again goes with its generation
+                        self.older = memo
+                        memo = self.memo = {}
                     memo[token] = known
             ids += known
         return ids
