@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolake.operators.layouts import by_series, to_panel, whole_series
@@ -16,6 +16,11 @@ from chronolake.operators.layouts import by_series, to_panel, whole_series
 BASIC = ["mean", "median", "std", "max", "min", "q5", "q25", "q75", "q95"]
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation as an aggregate; null where one side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def basic(long: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
     """mean, median, std (population), max, min, q5, q25, q75, q95 (linear)."""
     q = {f"q{int(100 * p)}": p for p in (0.05, 0.25, 0.75, 0.95)}
@@ -39,7 +44,7 @@ def moments(long: DataFrame) -> DataFrame:
         (F.percentile("value", F.lit(0.75)) - F.percentile("value", F.lit(0.25))).alias("iqr"),
         F.avg(F.col("value") * F.col("value")).alias("energy"),
         (F.max("value") - F.min("value")).alias("ptp"),
-        (F.max(F.abs("value")) / rms).alias("crest"),
+        F.try_divide(F.max(F.abs("value")), rms).alias("crest"),
     )
 
 
@@ -86,10 +91,10 @@ def sequence_features(long: DataFrame) -> DataFrame:
     count, turns = F.count("*"), F.count_if(d1 * d0 < 0)
     return rows.groupBy("series_id").agg(
         (F.count_if(F.col("up") != F.col("was_up")) / count).alias("cross_rate"),
-        F.corr("value", F.coalesce("p1", "last")).alias("autocorrelation"),
-        F.sqrt(m2 / power).alias("mobility"),
-        F.sqrt(m4 * power / (m2 * m2)).alias("complexity"),
-        (F.log10(count) / (F.log10(count) + F.log10(count / (count + 0.4 * turns)))).alias("petrosian"),
+        pearson(F.col("value"), F.coalesce("p1", "last")).alias("autocorrelation"),
+        F.sqrt(F.try_divide(m2, power)).alias("mobility"),
+        F.sqrt(F.try_divide(m4 * power, m2 * m2)).alias("complexity"),
+        F.try_divide(F.log10(count), F.log10(count) + F.log10(count / (count + 0.4 * turns))).alias("petrosian"),
         (F.sum(weight * F.col("value")) / F.sum(weight)).alias("ema"),
     )
 
@@ -109,7 +114,7 @@ def benford(long: DataFrame) -> DataFrame:
     share = counts.groupBy("series_id").pivot("digit", list(range(1, 10))).agg(F.first("k"))
     pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.coalesce(F.col(str(d)), F.lit(0)).alias("k")) for d in range(1, 10)]))
     rows = share.select("series_id", pairs.alias("x")).select("series_id", F.log10(1 + 1 / F.col("x.d")).alias("e"), F.col("x.k").cast("double").alias("k"))
-    return rows.groupBy("series_id").agg(F.corr("e", "k").alias("benford"))
+    return rows.groupBy("series_id").agg(pearson(F.col("e"), F.col("k")).alias("benford"))
 
 
 def moving_median(long: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def _sum(c: Column) -> Column:
 
 
 def distance(a: Column, b: Column, metric: str) -> Column:
-    """Distance of two arrays of doubles."""
+    """Distance of two arrays of doubles; null where cosine or correlation aren't defined."""
     def each(f):
         return F.zip_with(a, b, f)
 
@@ -33,13 +33,13 @@ def distance(a: Column, b: Column, metric: str) -> Column:
         return _sum(each(lambda x, y: F.when(F.abs(x) + F.abs(y) == 0, 0.0).otherwise(F.abs(x - y) / (F.abs(x) + F.abs(y)))))
     if metric == "cosine":
         dot = _sum(each(lambda x, y: x * y))
-        return 1 - dot / F.sqrt(_sum(F.transform(a, lambda x: x * x)) * _sum(F.transform(b, lambda x: x * x)))
+        return 1 - F.try_divide(dot, F.sqrt(_sum(F.transform(a, lambda x: x * x)) * _sum(F.transform(b, lambda x: x * x))))
     if metric == "correlation":
         n = F.size(a)
         sx, sy = _sum(a), _sum(b)
         sxy = _sum(each(lambda x, y: x * y))
         vx, vy = _sum(F.transform(a, lambda x: x * x)) - sx * sx / n, _sum(F.transform(b, lambda x: x * x)) - sy * sy / n
-        return 1 - (sxy - sx * sy / n) / F.sqrt(vx * vy)
+        return 1 - F.try_divide(sxy - sx * sy / n, F.sqrt(vx * vy))
     raise ValueError(f"unknown metric {metric}")
 
 

@@ -108,7 +108,7 @@ def roc_auc(rows: DataFrame, *keys: str) -> DataFrame:
     """Area under the ROC curve by rank sums with average ranks; ``rows``: keys, y_true (0, 1), score.
 
     Equal scores are counted first, so the running sum is over distinct scores."""
-    ties = rows.groupBy(*keys, "score").agg(F.count_if("y_true = 1").alias("p"), F.count_if("y_true = 0").alias("q"))
+    ties = rows.groupBy(*keys, "score").agg(F.count_if(F.col("y_true") == 1).alias("p"), F.count_if(F.col("y_true") == 0).alias("q"))
     below = F.sum("q").over(Window.partitionBy(*keys).orderBy("score")) - F.col("q")
     won = ties.select(*keys, "p", "q", (F.col("p") * (below + F.col("q") / 2)).alias("w"))
     return won.groupBy(*keys).agg(_over(F.sum("w"), F.sum("p") * F.sum("q")).alias("roc_auc"))
