@@ -74,7 +74,7 @@ query(
     "metric_roc_auc",
     lambda s, d: metrics.roc_auc(labelled(s, d), "lang"),
     f"{LABELLED}, RK AS (SELECT lang, y_true, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2 AS r FROM M) "
-    "||| SELECT lang, coalesce((sum(r) FILTER (y_true = 1) - count(*) FILTER (y_true = 1) * (count(*) FILTER (y_true = 1) + 1) / 2) / (count(*) FILTER (y_true = 1) * count(*) FILTER (y_true = 0)), 0.0) AS roc_auc FROM RK GROUP BY 1",
+    "||| SELECT lang, coalesce((sum(r) FILTER (y_true = 1) - count(*) FILTER (y_true = 1) * (count(*) FILTER (y_true = 1) + 1) / 2) / nullif(count(*) FILTER (y_true = 1) * count(*) FILTER (y_true = 0), 0), 0.0) AS roc_auc FROM RK GROUP BY 1",
     "roc_auc",
 )
 query("metric_logloss", lambda s, d: metrics.log_loss(labelled(s, d), "lang"), f"{LABELLED} ||| SELECT lang, -avg(ln(CASE WHEN y_true = 1 THEN prob ELSE 1 - prob END)) AS log_loss FROM M GROUP BY 1", "log_loss")
