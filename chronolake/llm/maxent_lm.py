@@ -41,7 +41,7 @@ from chronolake.llm.common import content_key, fold, materialise
 CLASSES, SLOTS, FEATURES, ENDINGS, AROUND = 64, 48, 2048, 2048, 128
 ROUNDS, STEP_TOKENS, RATE = 3, 4096, 0.1
 #: Most words whose counts are broadcast: 12 bytes each.
-HEAD_WORDS = 1 << 21
+HEAD_WORDS = 1 << 18
 #: Words in a worker's memo, and in its counter, before they start anew.
 MEMO_WORDS = 500_000
 #: Texts that are turned into arrays at once.
@@ -246,20 +246,25 @@ def learn(keyed: DataFrame) -> tuple[Model | None, DataFrame]:
 
     every = materialise(counts.mapInPandas(classed, "h long, cls int, n long"), "classed")
     sums = every.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("k")).toPandas().set_index("cls")
-    head = every.where(F.col("n") >= 2.0**least).toPandas().sort_values(["cls", "n", "h"], ascending=[True, False, True])
-    head["slot"] = np.minimum(head.groupby("cls").cumcount(), SLOTS)
+    head = every.where(F.col("n") >= 2.0**least).toArrow()
+    h, cls, n = (head[c].to_numpy().astype("int64") for c in ("h", "cls", "n"))
+    order = np.lexsort((h, -n, cls))
+    starts = np.r_[0, np.flatnonzero(np.diff(cls[order])) + 1] if len(order) else np.empty(0, int)
+    slot = np.empty(len(order), "int64")
+    slot[order] = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
+    slot = np.minimum(slot, SLOTS)
     mass = np.full(CLASSES, 0.5)
     mass[sums.index] += sums["n"] + 0.5 * sums["k"]
-    own = head[head["slot"] < SLOTS]
-    np.subtract.at(mass, own["cls"].to_numpy(), own["n"].to_numpy() + 0.5)
-    head = head.sort_values("h")
+    own = slot < SLOTS
+    np.subtract.at(mass, cls[own], n[own] + 0.5)
+    order = np.argsort(h, kind="stable")
     tokens = int(sums["n"].sum()) + n_docs
     bias = np.full(CLASSES, 0.5)
     bias[sums.index] += sums["n"]
     bias[END_CLASS] += n_docs
     weights = np.zeros((N_ROWS, CLASSES), "float32")
     weights[-1] = np.log(bias / bias.sum())
-    model = Model(tokens, int(sums["k"].sum()) + 1, n_docs, classes, head["h"].to_numpy("int64"), head["n"].to_numpy("int64"), head["slot"].to_numpy("int64"), mass, weights, None)
+    model = Model(tokens, int(sums["k"].sum()) + 1, n_docs, classes, h[order], n[order], slot[order], mass, weights, None)
     slots = np.zeros((CLASSES + 1) * CLASSES * (SLOTS + 1))
     for turn in range(ROUNDS):
         part = train.where(F.pmod("k2", F.lit(ROUNDS)) == turn)
@@ -268,7 +273,7 @@ def learn(keyed: DataFrame) -> tuple[Model | None, DataFrame]:
         slots += seen
     cells = slots.reshape(CLASSES + 1, CLASSES, SLOTS + 1)
     exists = np.zeros((CLASSES, SLOTS + 1), bool)
-    exists[own["cls"].to_numpy(), own["slot"].to_numpy()] = True
+    exists[cls[own], slot[own]] = True
     exists[:END_CLASS, SLOTS] = exists[END_CLASS, 0] = True  # unseen words belong to the last item of their class
     model.within = _within(cells, exists)
     return model, rest
