@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,15 +131,34 @@ def kl_divergence(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, (p * F.ln(p / q)).alias("d")).groupBy(*keys).agg(F.sum("d").alias("kl"))
 
 
+def skyline(costs: np.ndarray) -> np.ndarray:
+    """Places of the rows that no other dominates: as good in all costs and better in one."""
+    order = np.lexsort(costs.T[::-1])
+    kept = np.empty((0, costs.shape[1]))
+    out = []
+    for i in order:
+        x = costs[i]
+        if not ((kept <= x).all(axis=1) & (kept < x).any(axis=1)).any():
+            out.append(i)
+            kept = np.vstack([kept, x])
+    return np.array(out, int)
+
+
 def pareto(rows: DataFrame, key: str, costs: list[str]) -> DataFrame:
-    """``rows`` that no other dominates: as good in all costs and better in one. For small result tables."""
-    other = rows.select(*[F.col(c).alias(f"_{c}") for c in costs])
-    no_worse = [F.col(f"_{c}") <= F.col(c) for c in costs]
-    better = [F.col(f"_{c}") < F.col(c) for c in costs]
-    all_, any_ = no_worse[0], better[0]
-    for a, b in zip(no_worse[1:], better[1:], strict=True):
-        all_, any_ = all_ & a, any_ | b
-    return rows.join(F.broadcast(other), all_ & any_, "left_anti").select(key, *costs)
+    """key and costs of the rows that no other dominates.
+
+    Each task keeps its own front as its rows pass; only these small fronts meet, in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        front = None
+        for batch in batches:
+            both = batch if front is None else pd.concat([front, batch], ignore_index=True)
+            front = both.iloc[skyline(both[costs].to_numpy("float64"))]
+        if front is not None:
+            yield front
+
+    plain = rows.select(key, *costs)
+    return plain.mapInPandas(run, plain.schema).repartition(1).mapInPandas(run, plain.schema)
 
 
 def detection_windows(truth: DataFrame, width: int) -> DataFrame:
