@@ -39,8 +39,10 @@ from pyspark.sql import functions as F
 from chronolake.llm.common import content_key, materialise
 
 LENGTH, GRAM = 400, 64
-#: Distinct segments of one anchor that one task gathers.
-HOT = 512
+#: Distinct segments of one anchor that one task gathers: at most 3 MB of text.
+HOT = 4096
+#: Parts into which the occurrences of a string of a hot anchor are dealt when its count comes back.
+SALTS = 16
 #: Strings that are hashed at once: bounds memory for very long texts.
 CHUNK = 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
@@ -185,39 +187,49 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def _anchored(rows: DataFrame) -> DataFrame:
+    """A row for each distinct segment of each text: its starts, how far its last string and its anchor lie
+    from them, the anchor's hash and the segment's digest. A run of one short period is one row."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for k1, k2, data in zip(batch["k1"], batch["k2"], batch["data"], strict=True):
+                found: dict[tuple, list[int]] = {}
                 for first, last, anchor, h in segments(data):
                     g = hashlib.blake2b(data[first : last + LENGTH], digest_size=8).digest()
-                    out.append((k1, k2, first, last, anchor, h, int.from_bytes(g, "little", signed=True)))
+                    found.setdefault((last - first, anchor - first, h, int.from_bytes(g, "little", signed=True)), []).append(first)
+                out += [(k1, k2, firsts, *key) for key, firsts in found.items()]
             yield pd.DataFrame(out, columns=names)
 
-    names = ["k1", "k2", "first", "last", "anchor", "h", "g"]
-    return rows.select("k1", "k2", "data").mapInPandas(run, "k1 long, k2 long, first int, last int, anchor int, h long, g long")
+    names = ["k1", "k2", "firsts", "span", "anchor", "h", "g"]
+    return rows.select("k1", "k2", "data").mapInPandas(run, "k1 long, k2 long, firsts array<int>, span int, anchor int, h long, g long")
 
 
 def repeated_starts(rows: DataFrame) -> DataFrame:
-    """k1, k2, spans (array of first, last): starts of the repeated strings of each text that has any."""
+    """k1, k2, spans (array of first, last): starts of the repeated strings of each text that has any.
+
+    Counts are stored before they are joined back: both sides of such a join come from exchanges of its
+    own, so that Spark can split the partition of a very common anchor."""
     anchored = materialise(_anchored(rows), "anchors")
-    twice = anchored.groupBy("h").agg(F.count("*").alias("n_h")).where("n_h > 1").drop("n_h")
+    twice = materialise(anchored.groupBy("h").agg(F.sum(F.size("firsts")).alias("n_h")).where("n_h > 1").select("h"), "repeated-anchors")
     shared = materialise(anchored.join(twice, "h"), "shared-anchors")
-    place = F.struct("k1", "k2", "first", "last", "anchor")
-    distinct = shared.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(place).alias("at"))
-    variety = distinct.groupBy("h").agg(F.count("*").alias("n_g"))
+    place = F.struct("k1", "k2", F.col("firsts")[0].alias("first"), "span", "anchor")
+    distinct = materialise(shared.groupBy("h", "g").agg(F.sum(F.size("firsts")).alias("n"), F.min(place).alias("at")), "distinct-segments")
+    variety = materialise(distinct.groupBy("h").agg(F.count("*").alias("n_g")), "variety")
     kinds = materialise(distinct.join(variety, "h"), "segments")
 
-    equal = shared.join(kinds.where("n > 1").select("h", "g"), ["h", "g"]).select("k1", "k2", "first", "last")
-    border = F.struct("at.first", "at.last", "at.anchor", "h", (F.col("n") > 1).alias("known"), (F.col("n_g") > HOT).alias("hot"))
+    equal = shared.join(kinds.where("n > 1").select("h", "g"), ["h", "g"]).select("k1", "k2", F.explode("firsts").alias("first"), "span")
+    equal = equal.select("k1", "k2", "first", (F.col("first") + F.col("span")).alias("last"))
+    border = F.struct("at.first", (F.col("at.first") + F.col("at.span")).alias("last"), "at.anchor", "h", (F.col("n") > 1).alias("known"), (F.col("n_g") > HOT).alias("hot"))
     wanted = kinds.where("n_g > 1").groupBy(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).agg(F.collect_list(border).alias("borders"))
     cut = rows.join(wanted, ["k1", "k2"]).mapInPandas(_cut, "hot boolean, h long, g long, k1 long, k2 long, first int, anchor int, known boolean, piece binary")
 
     few = cut.where("not hot").drop("hot", "g").repartition("h").sortWithinPartitions("h")
     few = few.mapInPandas(_gathered, "k1 long, k2 long, first int, last int")
-    many = cut.where("hot").select("h", "g", "k1", "k2", "first")
-    again = many.distinct().groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    many = many.join(again, ["h", "g"]).select("k1", "k2", "first", F.col("first").alias("last"))
+    many = cut.where("hot").select("h", "g", "k1", "k2", "first").withColumn("salt", F.pmod(F.xxhash64("k1", "first"), F.lit(SALTS)))
+    again = many.distinct().groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1")
+    again = again.select("h", "g", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")).alias("salt"))
+    many = many.join(again, ["h", "g", "salt"]).select("k1", "k2", "first", F.col("first").alias("last"))
     spans = equal.unionByName(few).unionByName(many)
     return spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
 
@@ -237,7 +249,7 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     for i, (x, y) in enumerate(zip(*(z.tolist() for z in string_hashes(piece)), strict=True)):
                         out.append((True, x, y, k1, k2, b["first"] + i, 0, False, None))
                 else:
-                    out.append((False, b["h"], 0, k1, k2, b["first"], b["anchor"] - b["first"], b["known"], piece))
+                    out.append((False, b["h"], 0, k1, k2, b["first"], b["anchor"], b["known"], piece))
         yield pd.DataFrame(out, columns=names)
 
 
