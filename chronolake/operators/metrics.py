@@ -179,9 +179,14 @@ def detection_delay(truth: DataFrame, hits: DataFrame, width: int) -> DataFrame:
     return each.join(false, "series_id", "left").select("series_id", "found", "missed", F.coalesce("false_alarms", F.lit(0)).alias("false_alarms"), "mean_delay")
 
 
-def nab_score(truth: DataFrame, hits: DataFrame, width: int, reward: float = 1.0, fp: float = -0.11, fn: float = -1.0) -> DataFrame:
+#: Weights of hits, false alarms and misses by profile.
+PROFILES = {"standard": (1.0, -0.11, -1.0), "low_fp": (1.0, -0.22, -1.0), "low_fn": (1.0, -0.11, -2.0)}
+
+
+def nab_score(truth: DataFrame, hits: DataFrame, width: int, profile: str = "standard") -> DataFrame:
     """series_id, score: tanh-weighted first hits in the windows, penalties for false alarms and empty windows,
     scaled so that no prediction is 0 and perfect is 100."""
+    reward, fp, fn = PROFILES[profile]
     windows = detection_windows(truth, width)
     inside = windows.select("series_id", "w_start", F.explode(F.sequence("w_start", "w_end")).alias("t"))
     joined = hits.select("series_id", "t").join(inside, ["series_id", "t"], "left")
