@@ -36,15 +36,19 @@ END_ID = 0
 GROUP_PIECES = 8192
 #: Bins open at once in a group.
 OPEN_BINS = 4096
-#: Words whose ids a worker keeps before it starts anew.
-MEMO_WORDS = 300_000
+#: Words in each of the two generations of a worker's memo.
+MEMO_WORDS = 600_000
+#: Texts whose unknown words are looked up together.
+TEXTS = 64
 _BLANKS = re.compile(r"[ \n\r\t]+")
 
 
 class WordTokenizer:
-    """The tokenizer, with a bounded memo of the words between blanks.
+    """The tokenizer, with a bounded memo of the words between blanks, in two generations.
 
-    No token of this vocabulary spans white space, so a text's ids are those of its words in turn."""
+    No token of this vocabulary spans white space, so a text's ids are those of its words in turn. A word
+    that isn't known is taken apart first: punctuation after letters is a token of its own, and case is
+    ignored, so most such words need no call of the tokenizer."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,20 +57,60 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.memo: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit words."""
-        words = _BLANKS.split(text)
-        memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            fresh = list({w for w in words if w not in memo})
-            for word, found in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-                memo[word] = np.asarray(found.ids, dtype="<u4").tobytes()
-            return b"".join(map(memo.__getitem__, words))
+        self.older: dict[str, bytes] = {}
+        tokens = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(tokens.values()) + 1, bool)  # tokens that end a word
+        self.ends[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
+
+    @staticmethod
+    def _parts(word: str) -> tuple[str, ...]:
+        stem = word.rstrip(".,;:!?")
+        if not stem.isalpha():
+            return (word,)
+        if stem.isascii():
+            stem = stem.lower()
+        return (stem, word[len(stem) :]) if len(stem) < len(word) else (stem,)
+
+    def _learn(self, words: list[str]) -> None:
+        memo, older = self.memo, self.older
+        parts, fresh = {}, {}
+        for word in words:
+            if word not in memo:
+                known = older.get(word)
+                if known is not None:
+                    memo[word] = known
+                    continue
+                parts[word] = found = self._parts(word)
+                for x in found:
+                    if x not in memo:
+                        known = older.get(x)
+                        if known is None:
+                            fresh[x] = True
+                        else:
+                            memo[x] = known
+        # words of letters alone are read as one text: each ends with the next token that ends a word
+        todo = [x for x in fresh if x.isalpha()]
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(todo)], add_special_tokens=False)[0].ids, dtype="<u4")
+        data, at = ids.tobytes(), 0
+        for word, end in zip(todo, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
+            memo[word] = data[at:end]
+            at = end
+        todo = [x for x in fresh if not x.isalpha()]
+        for word, found in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
+            memo[word] = np.asarray(found.ids, dtype="<u4").tobytes()
+        for word, found in parts.items():
+            memo[word] = memo[found[0]] if len(found) == 1 else memo[found[0]] + memo[found[1]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit words."""
+        words = [_BLANKS.split(t) for t in texts]
+        if len(self.memo) > MEMO_WORDS:  # what isn't used again goes with its generation
+            self.older, self.memo = self.memo, {}
+        fresh = [w for w in set().union(*words) if w not in self.memo]
+        if fresh:
+            self._learn(fresh)
+        known = self.memo.__getitem__
+        return [b"".join(map(known, ws)) for ws in words]
 
 
 @lru_cache(maxsize=1)
@@ -81,9 +125,10 @@ def token_pieces(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE, wit
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = word_tokenizer(vocabulary).encode
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                data = encode(text) + end
+            rows, texts = [], batch["text"].tolist()
+            coded = (x for at in range(0, len(texts), TEXTS) for x in encode(texts[at : at + TEXTS]))
+            for doc_id, ids in zip(batch["doc_id"], coded, strict=True):
+                data = ids + end
                 for at in range(0, len(data), 4 * sequence):
                     part = data[at : at + 4 * sequence]
                     row = (doc_id, at // (4 * sequence), at // 4, len(part) // 4, zlib.crc32(part))
