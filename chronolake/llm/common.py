@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,3 +50,20 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
 def partitions_of(df: DataFrame) -> int:
     """Shuffle partitions that the session asks for."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """Called by a task as it starts: a reused Python worker gives back what other operators kept in it.
+
+    ``clear`` forgets what ``owner`` itself will keep from task to task."""
+    others = [o for o in _kept if o != owner]
+    for o in others:
+        _kept.pop(o)()
+    if others or owner not in _kept:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+    _kept[owner] = clear or (lambda: None)

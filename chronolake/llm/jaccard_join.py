@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolake.llm.common import content_key, materialise
+from chronolake.llm.common import claim, content_key, materialise
 from chronolake.llm.components import components
 
 WORDS = 5
@@ -43,6 +43,8 @@ TILE, WIDE = 256, 4096
 #: n-grams whose minima are taken at once, and columns of an incidence matrix.
 STRIP = 4096
 MEMO_WORDS = 300_000
+#: Texts whose sets are held at once.
+TEXTS = 512
 
 
 def bands_for(threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -111,15 +113,16 @@ def signed(docs: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
         shingle, rng = Shingler(), np.random.default_rng(21)
         odd = rng.integers(0, 1 << 31, bands * rows, "uint32") * np.uint32(2) + np.uint32(1)
         plus = rng.integers(0, 1 << 32, bands * rows, "uint32")
+        claim("jaccard")
+        none = np.empty(0, "int64")
         for batch in batches:
-            if not len(batch):
-                continue
-            sets = [shingle(t) for t in batch["text"]]
-            c = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            v = np.frombuffer(b"".join(c), "int64")[::2]
-            hashes = list(band_hashes(np.stack([minima(s, odd, plus) for s in sets]), bands, rows))
-            none = np.empty(0, "int64")
-            yield batch.drop(columns="text").assign(c=c, v=v, bands=[h if len(s) else none for h, s in zip(hashes, sets, strict=True)])
+            for at in range(0, len(batch), TEXTS):
+                part = batch.iloc[at : at + TEXTS]
+                sets = [shingle(t) for t in part["text"]]
+                c = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                v = np.frombuffer(b"".join(c), "int64")[::2]
+                hashes = list(band_hashes(np.stack([minima(s, odd, plus) for s in sets]), bands, rows))
+                yield part.drop(columns="text").assign(c=c, v=v, bands=[h if len(s) else none for h, s in zip(hashes, sets, strict=True)])
 
     text = F.coalesce("text", F.lit(""))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -259,13 +262,16 @@ def _shingles(docs: DataFrame, rows: DataFrame, classes: DataFrame, scopes: Data
     keyed = docs.select(text.alias("text")).select("text", *[k.alias(f"t{i + 1}") for i, k in enumerate(content_key(F.col("text")))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("jaccard")
         shingle, done = Shingler(), set()
         for batch in batches:
             batch = batch[~batch["c"].duplicated() & ~batch["c"].isin(done)]
             if len(batch):
                 if len(done) < MEMO_WORDS:
                     done.update(batch["c"])
-                yield batch.drop(columns="text").assign(shingles=[shingle(t).tobytes() for t in batch["text"]])
+                for at in range(0, len(batch), TEXTS):
+                    part = batch.iloc[at : at + TEXTS]
+                    yield part.drop(columns="text").assign(shingles=[shingle(t).tobytes() for t in part["text"]])
 
     made = keyed.join(wanted, ["t1", "t2"]).select("c", "v", "n", "text").mapInPandas(run, "c binary, v long, n long, shingles binary")
     one = made.groupBy("c").agg(F.first("v").alias("v"), F.first("n").alias("n"), F.first("shingles").alias("shingles"))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolake.llm.common import fold
+from chronolake.llm.common import claim, fold
 
 BUCKETS, ORDERS = 4096, 4
 #: Most labelled rows that the models are fitted on.
@@ -166,6 +166,7 @@ def _judged(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     at_text = str(docs.columns.index("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("language")
         model = shared.value
         for batch in batches:
             names, scores = np.full(len(batch), UNDETERMINED, object), np.zeros(len(batch))

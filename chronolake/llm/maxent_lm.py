@@ -23,7 +23,6 @@ in fold 0; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -32,13 +31,14 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolake.llm.ann_search import k_means
 from chronolake.llm.common import content_key, fold, materialise
 
-CLASSES, SLOTS, FEATURES, ENDINGS, AROUND = 64, 48, 2048, 2048, 128
+CLASSES, SLOTS, FEATURES, ENDINGS, AROUND = 32, 64, 2048, 2048, 128
 ROUNDS, STEP_TOKENS, RATE = 3, 4096, 0.1
 #: Most words whose counts are broadcast: 12 bytes each.
 HEAD_WORDS = 1 << 18
@@ -59,8 +59,8 @@ def ending(word: bytes) -> int:
     return crc32(word[-3:]) % ENDINGS
 
 
-def word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), "uint64", len(words)).astype("int64")
 
 
 @dataclass
@@ -91,7 +91,9 @@ def feature_rows(words: np.ndarray, classes: np.ndarray, first: np.ndarray) -> t
         one[first] = two[first] = start
         second = first + 1
         second = second[second < len(x)]
-        two[second[~np.isin(second, first)]] = start
+        alone = np.zeros(len(x), bool)
+        alone[first] = True
+        two[second[~alone[second]]] = start
         return one, two
 
     one, two = before(words % FEATURES, FEATURES)
@@ -103,6 +105,19 @@ def feature_rows(words: np.ndarray, classes: np.ndarray, first: np.ndarray) -> t
 N_ROWS = 2 * (FEATURES + 1) + (CLASSES + 1) ** 2 + 1  # the last is the bias
 
 
+class Positions(dict):
+    """Positions of words from 1 on; a word that is asked for the first time gets the next one."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self) + 1
+        self.fresh.append(word)
+        return at
+
+
 class Reader:
     """Turns batches of texts into arrays, with a bounded memo of what is known of each word."""
 
@@ -111,41 +126,50 @@ class Reader:
         self._clear()
 
     def _clear(self) -> None:
-        self.memo: dict[bytes, int] = {}
-        m = self.model
-        # position 0 is the end
-        self.columns = [np.array([x]) for x in (0, END_CLASS, 0, m.end_count)]
-
-    def _learn(self, fresh: list[bytes]) -> None:
-        m = self.model
-        hashes = np.array([word_hash(w) for w in fresh], "int64")
+        self.memo = Positions()
+        # a row for each position: hash, class, slot, count (-1: not a head word); position 0 is the end
+        self.known = np.empty((2 * MEMO_WORDS, 4), "int64")
+        self.known[0] = (0, END_CLASS, 0, self.model.end_count)
+
+    def _learn(self) -> None:
+        m, fresh = self.model, self.memo.fresh
+        hashes = word_hashes(fresh)
         at = np.searchsorted(m.hashes, hashes)
         at[at == len(m.hashes)] = 0
         head = m.hashes[at] == hashes if len(m.hashes) else np.zeros(len(fresh), bool)
-        slots, counts = np.full(len(fresh), SLOTS), np.full(len(fresh), -1)
-        slots[head], counts[head] = m.slots[at[head]], m.counts[at[head]]
-        classes = m.classes[[ending(w) for w in fresh]]
-        new = (hashes & 0x7FFFFFFF, classes, slots, counts)
-        self.memo.update(zip(fresh, range(len(self.columns[0]), len(self.columns[0]) + len(fresh)), strict=True))
-        self.columns = [np.concatenate(x) for x in zip(self.columns, new, strict=True)]
-
-    def read(self, texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Words of each text; the number of its tokens; positions where texts start; for each token its
-        hash, class, slot and count (-1: not a head word)."""
+        end = len(self.memo) + 1
+        if end > len(self.known):
+            self.known = np.vstack([self.known, np.empty((end, 4), "int64")])
+        new = self.known[end - len(fresh) : end]
+        new[:, 0] = hashes & 0x7FFFFFFF
+        new[:, 1] = m.classes[[crc32(w[-3:]) % ENDINGS for w in fresh]]
+        new[:, 2], new[:, 3] = SLOTS, -1
+        new[head, 2], new[head, 3] = m.slots[at[head]], m.counts[at[head]]
+        self.memo.fresh = []
+
+    def read(self, texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
+        """Words of each text; the number of its tokens; positions where texts start; and, as rows, each
+        token's hash, class, slot and count."""
         if len(self.memo) > MEMO_WORDS:
             self._clear()
         words = [words_of(t) for t in texts]
-        memo = self.memo
-        fresh = {w for ws in words for w in ws if w not in memo}
-        if fresh:
-            self._learn(list(fresh))
+        find = self.memo.__getitem__
         ids: list[int] = []
         for ws in words:
-            ids += map(memo.__getitem__, ws)
+            ids += map(find, ws)
             ids.append(0)
+        if self.memo.fresh:
+            self._learn()
         sizes = np.array([len(ws) + 1 for ws in words])
-        at = np.array(ids)
-        return words, sizes, np.r_[0, np.cumsum(sizes)[:-1]], [c[at] for c in self.columns]
+        return words, sizes, np.r_[0, np.cumsum(sizes)[:-1]], np.ascontiguousarray(self.known[ids].T)
+
+
+class Endings(dict):
+    """Hashed endings of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = ending(word)
+        return found
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -159,17 +183,17 @@ def _gather(train: DataFrame) -> tuple[DataFrame, DataFrame]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter = Counter()
         cells = np.zeros(ENDINGS * AROUND, "int64")
-        endings: dict[bytes, int] = {}
+        endings = Endings()
         for batch in batches:
+            pairs = [np.empty(0, "int64")]
             for data in batch["data"]:
                 words = words_of(data)
                 found.update(words)
-                if len(endings) > MEMO_WORDS:
-                    endings.clear()
-                tails = [endings[t] if (t := w[-3:]) in endings else endings.setdefault(t, ending(w)) for w in words]
-                if len(tails) > 1:
-                    x = np.array(tails)
-                    np.add.at(cells, x[1:] * AROUND + x[:-1] % AROUND, 1)
+                x = np.fromiter(map(endings.__getitem__, words), "int64", len(words))
+                pairs.append(x[1:] * AROUND + x[:-1] % AROUND)
+            cells += np.bincount(np.concatenate(pairs), minlength=len(cells))
+            if len(endings) > MEMO_WORDS:
+                endings.clear()
             if len(found) > MEMO_WORDS:
                 yield pd.DataFrame({"word": list(found), "cell": -1, "n": list(found.values())})
                 found.clear()
@@ -242,7 +266,7 @@ def learn(keyed: DataFrame) -> tuple[Model | None, DataFrame]:
     def classed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             of = shared.value[[ending(w) for w in batch["word"]]] if len(batch) else []
-            yield pd.DataFrame({"h": [word_hash(w) for w in batch["word"]], "cls": of, "n": batch["n"]})
+            yield pd.DataFrame({"h": word_hashes(batch["word"].tolist()), "cls": of, "n": batch["n"]})
 
     every = materialise(counts.mapInPandas(classed, "h long, cls int, n long"), "classed")
     sums = every.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("k")).toPandas().set_index("cls")
@@ -323,21 +347,22 @@ def _update(w: np.ndarray, heat: np.ndarray, rows: np.ndarray, classes: np.ndarr
     """One gradient step on a minibatch: each row that occurs moves by its own adapted rate."""
     p = _softmax(w[rows[0]] + w[rows[1]] + w[rows[2]] + w[-1])
     p[np.arange(len(classes)), classes] -= 1
+    flat, place, column = p.astype("float64").ravel(), np.empty(N_ROWS, "int64"), np.arange(p.shape[1])
     for which in rows:
-        order = np.argsort(which, kind="stable")
-        start = np.flatnonzero(np.r_[True, np.diff(which[order]) > 0])
-        g = np.add.reduceat(p[order], start, axis=0)
-        at = which[order][start]
-        heat[at] += g * g
-        w[at] -= RATE * g / np.sqrt(heat[at])
+        at = np.flatnonzero(np.bincount(which, minlength=N_ROWS))
+        place[at] = np.arange(len(at))
+        g = np.bincount((place[which][:, None] * p.shape[1] + column).ravel(), flat, p.shape[1] * len(at)).reshape(len(at), -1)
+        warm = heat[at] + (g * g).astype("float32")
+        heat[at] = warm
+        w[at] -= (RATE * g / np.sqrt(warm)).astype("float32")
     g = p.sum(axis=0)
     heat[-1] += g * g
     w[-1] -= RATE * g / np.sqrt(heat[-1])
 
 
 def batch_scores(model: Model, reader: Reader, texts: list[bytes]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, tokens and known head words of each text; its sum of log10(count + 0.5) over head words; and
-    its log10 probability, both still without that sum over the words that aren't."""
+    """Of each text: the words that aren't head words, with their number; tokens; known head words; the sum of
+    log10(count + 0.5) over head words; and the log10 probability, both still without that sum over the others."""
     words, sizes, first, (hashes, classes, slot, count) = reader.read(texts)
     rows, c1 = feature_rows(hashes, classes, first)
     scores = np.empty(len(hashes))
@@ -353,7 +378,12 @@ def batch_scores(model: Model, reader: Reader, texts: list[bytes]) -> tuple[list
     tail = (slot == SLOTS) & (classes != END_CLASS)
     scores[tail] += half[tail] - np.log10(model.tail_mass[classes[tail]])
     known = np.add.reduceat(count > 0, first)
-    return words, sizes, known, np.add.reduceat(half, first), np.add.reduceat(scores, first)
+    other: list[Counter] = [Counter() for _ in texts]
+    ends = np.cumsum(sizes)
+    for i in np.flatnonzero(count < 0).tolist():
+        doc = int(np.searchsorted(ends, i, "right"))
+        other[doc][words[doc][i - first[doc]]] += 1
+    return other, sizes, known, np.add.reduceat(half, first), np.add.reduceat(scores, first)
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -373,9 +403,7 @@ def scores(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), BATCH):
                 part = batch.iloc[at : at + BATCH]
-                words, sizes, known, half, found = batch_scores(model, reader, part["data"].tolist())
-                count, memo = reader.columns[3], reader.memo
-                other = [Counter(w for w in ws if count[memo[w]] < 0) for ws in words]
+                other, sizes, known, half, found = batch_scores(model, reader, part["data"].tolist())
                 yield part.drop(columns="data").assign(
                     n_tokens=sizes, known=known, half=half, found=found, rare=[list(c) for c in other], times=[list(c.values()) for c in other]
                 )

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolake.llm.common import materialise
+from chronolake.llm.common import claim, materialise
 
 SEQUENCE = 2048
 #: Appended to each document.
@@ -123,6 +123,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE, wit
     end = np.asarray([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("packing", word_tokenizer.cache_clear)
         encode = word_tokenizer(vocabulary).encode
         for batch in batches:
             rows, texts = [], batch["text"].tolist()

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolake.llm.common import content_key, materialise
+from chronolake.llm.common import claim, content_key, materialise
 
 LENGTH, GRAM = 400, 64
 #: Distinct segments of one anchor that one task gathers: at most 3 MB of text.
@@ -191,6 +191,7 @@ def _anchored(rows: DataFrame) -> DataFrame:
     from them, the anchor's hash and the segment's digest. A run of one short period is one row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("suffix")
         for batch in batches:
             out = []
             for k1, k2, data in zip(batch["k1"], batch["k2"], batch["data"], strict=True):
