@@ -63,6 +63,24 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), "uint64", len(words)).astype("int64")
 
 
+def _logits(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    x = w[rows[0]]
+    x += w[rows[1]]
+    x += w[rows[2]]
+    x += w[-1]
+    return x
+
+
+def _less_top(x: np.ndarray) -> np.ndarray:
+    """Takes each row's largest value from it, in place; by halves, as rows are short."""
+    top = x
+    while top.shape[1] > 4 and top.shape[1] % 2 == 0:
+        half = top.shape[1] // 2
+        top = np.maximum(top[:, :half], top[:, half:])
+    x -= top.max(axis=1, keepdims=True)
+    return x
+
+
 @dataclass
 class Model:
     """Counts of the frequent words by hash, classes of the endings, and the weights."""
@@ -79,8 +97,7 @@ class Model:
     within: np.ndarray  # log10 probability by class before, class, slot
 
     def class_logits(self, rows: np.ndarray) -> np.ndarray:
-        w = self.weights
-        return w[rows[0]] + w[rows[1]] + w[rows[2]] + w[-1]
+        return _logits(self.weights, rows)
 
 
 def feature_rows(words: np.ndarray, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,6 +134,9 @@ class Positions(dict):
         self.fresh.append(word)
         return at
 
+    def all_of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), "int64", len(words))
+
 
 class Reader:
     """Turns batches of texts into arrays, with a bounded memo of what is known of each word."""
@@ -153,23 +173,14 @@ class Reader:
         if len(self.memo) > MEMO_WORDS:
             self._clear()
         words = [words_of(t) for t in texts]
-        find = self.memo.__getitem__
-        ids: list[int] = []
-        for ws in words:
-            ids += map(find, ws)
-            ids.append(0)
+        sizes = np.array([len(ws) + 1 for ws in words])
+        ends = np.cumsum(sizes)
+        ids = np.zeros(ends[-1], "int64")
+        for ws, end in zip(words, ends.tolist(), strict=True):
+            ids[end - 1 - len(ws) : end - 1] = self.memo.all_of(ws)
         if self.memo.fresh:
             self._learn()
-        sizes = np.array([len(ws) + 1 for ws in words])
-        return words, sizes, np.r_[0, np.cumsum(sizes)[:-1]], np.ascontiguousarray(self.known[ids].T)
-
-
-class Endings(dict):
-    """Hashed endings of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = ending(word)
-        return found
+        return words, sizes, ends - sizes, np.ascontiguousarray(self.known[ids].T)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -181,23 +192,37 @@ def _gather(train: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored counts: (word, n) of all words, and (cell, n) of endings by the ending before."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter = Counter()
+        found, n, tails = Positions(), np.zeros(2 * MEMO_WORDS, "int64"), np.zeros(2 * MEMO_WORDS, "int64")
         cells = np.zeros(ENDINGS * AROUND, "int64")
-        endings = Endings()
+
+        def counted() -> pd.DataFrame:
+            return pd.DataFrame({"word": list(found), "cell": -1, "n": n[1 : len(found) + 1]})
+
         for batch in batches:
-            pairs = [np.empty(0, "int64")]
-            for data in batch["data"]:
-                words = words_of(data)
-                found.update(words)
-                x = np.fromiter(map(endings.__getitem__, words), "int64", len(words))
-                pairs.append(x[1:] * AROUND + x[:-1] % AROUND)
-            cells += np.bincount(np.concatenate(pairs), minlength=len(cells))
-            if len(endings) > MEMO_WORDS:
-                endings.clear()
-            if len(found) > MEMO_WORDS:
-                yield pd.DataFrame({"word": list(found), "cell": -1, "n": list(found.values())})
-                found.clear()
-        yield pd.DataFrame({"word": list(found), "cell": -1, "n": list(found.values())})
+            for at in range(0, len(batch), BATCH):
+                texts = [found.all_of(words_of(data)) for data in batch["data"].iloc[at : at + BATCH]]
+                more = len(found) + 1 - len(n)
+                if more > 0:
+                    n, tails = np.r_[n, np.zeros(more, "int64")], np.r_[tails, np.zeros(more, "int64")]
+                tails[len(found) + 1 - len(found.fresh) : len(found) + 1] = [ending(w) for w in found.fresh]
+                found.fresh = []
+                ids = np.concatenate(texts)
+                if not len(ids):
+                    continue
+                seen = np.bincount(ids)
+                n[: len(seen)] += seen
+                # pairs of neighbours, without those of a text's last word and the next one's first
+                x = tails[ids]
+                pairs = x[1:] * AROUND + x[:-1] % AROUND
+                ends = np.cumsum([len(t) for t in texts])
+                across = np.ones(len(pairs), bool)
+                across[ends[(ends > 0) & (ends < len(ids))] - 1] = False
+                cells += np.bincount(pairs[across], minlength=len(cells))
+                if len(found) > MEMO_WORDS:
+                    yield counted()
+                    found.clear()
+                    n[:] = 0
+        yield counted()
         full = np.flatnonzero(cells)
         yield pd.DataFrame({"word": None, "cell": full, "n": cells[full]})
 
@@ -222,8 +247,10 @@ def _clustered(cells: pd.DataFrame) -> np.ndarray:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    """Of each row, in place."""
+    np.exp(_less_top(x), out=x)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
+    return x
 
 
 def _within(cells: np.ndarray, exists: np.ndarray, rounds: int = 60, keep: float = 4.0) -> np.ndarray:
@@ -345,16 +372,16 @@ def _round(part: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 def _update(w: np.ndarray, heat: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
     """One gradient step on a minibatch: each row that occurs moves by its own adapted rate."""
-    p = _softmax(w[rows[0]] + w[rows[1]] + w[rows[2]] + w[-1])
+    p = _softmax(_logits(w, rows))
     p[np.arange(len(classes)), classes] -= 1
     flat, place, column = p.astype("float64").ravel(), np.empty(N_ROWS, "int64"), np.arange(p.shape[1])
     for which in rows:
         at = np.flatnonzero(np.bincount(which, minlength=N_ROWS))
-        place[at] = np.arange(len(at))
-        g = np.bincount((place[which][:, None] * p.shape[1] + column).ravel(), flat, p.shape[1] * len(at)).reshape(len(at), -1)
-        warm = heat[at] + (g * g).astype("float32")
+        place[at] = np.arange(0, len(at) * p.shape[1], p.shape[1])
+        g = np.bincount((place[which][:, None] + column).ravel(), flat, p.shape[1] * len(at)).reshape(len(at), -1).astype("float32")
+        warm = heat[at] + g * g
         heat[at] = warm
-        w[at] -= (RATE * g / np.sqrt(warm)).astype("float32")
+        w[at] -= np.float32(RATE) * g / np.sqrt(warm)
     g = p.sum(axis=0)
     heat[-1] += g * g
     w[-1] -= RATE * g / np.sqrt(heat[-1])
@@ -368,21 +395,18 @@ def batch_scores(model: Model, reader: Reader, texts: list[bytes]) -> tuple[list
     scores = np.empty(len(hashes))
     for i in range(0, len(hashes), STEP_TOKENS):
         part = slice(i, i + STEP_TOKENS)
-        x = model.class_logits(rows[:, part])
-        x -= x.max(axis=1, keepdims=True)
+        x = _less_top(model.class_logits(rows[:, part]))
         own = x[np.arange(len(x)), classes[part]]
-        scores[part] = (own - np.log(np.exp(x).sum(axis=1))) / math.log(10)
+        scores[part] = (own - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))) / math.log(10)
     scores += model.within[c1, classes, slot]
     half = np.log10(np.maximum(count, 0) + 0.5)
     half[count < 0] = 0
     tail = (slot == SLOTS) & (classes != END_CLASS)
     scores[tail] += half[tail] - np.log10(model.tail_mass[classes[tail]])
     known = np.add.reduceat(count > 0, first)
-    other: list[Counter] = [Counter() for _ in texts]
-    ends = np.cumsum(sizes)
-    for i in np.flatnonzero(count < 0).tolist():
-        doc = int(np.searchsorted(ends, i, "right"))
-        other[doc][words[doc][i - first[doc]]] += 1
+    rare = np.flatnonzero(count < 0)
+    bounds = np.searchsorted(rare, np.r_[first, len(count)])
+    other = [Counter(map(ws.__getitem__, (rare[a:b] - f).tolist())) for ws, a, b, f in zip(words, bounds[:-1], bounds[1:], first, strict=True)]
     return other, sizes, known, np.add.reduceat(half, first), np.add.reduceat(scores, first)
 
 
