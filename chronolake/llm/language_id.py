@@ -17,6 +17,7 @@ columns lang, source and doc_id are never inputs of a prediction.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -58,14 +59,13 @@ def features(text: str) -> np.ndarray:
 
 def linear_svm(x: np.ndarray, positive: np.ndarray, rounds: int = 60, keep: float = 1e-4) -> np.ndarray:
     """Weights (the last is the bias) of a linear classifier with squared hinge loss, by accelerated gradient."""
-    x = np.hstack([x, np.ones((len(x), 1), "float32")])
     y = np.where(positive, 1, -1).astype("float32")
     weight = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())).astype("float32")
-    w = look = np.zeros(x.shape[1], "float32")
+    w = look = np.zeros(x.shape[1] + 1, "float32")
     step = 1 / (2 * float(weight.sum()) * 2 + keep)
     for i in range(rounds):
-        gap = np.maximum(0, 1 - y * (x @ look))
-        grad = -2 * ((weight * y * gap) @ x) + keep * look
+        pull = weight * y * np.maximum(0, 1 - y * (x @ look[:-1] + look[-1]))
+        grad = -2 * np.r_[pull @ x, pull.sum()] + keep * look
         new = look - step * grad
         look = new + i / (i + 3) * (new - w)
         w = new
@@ -154,10 +154,20 @@ def learn(docs: DataFrame) -> LanguageModel | None:
             good = batch[[has_letters(t) for t in batch["text"]]]
             yield pd.DataFrame({"lang": good["lang"], "x": [features(t).tobytes() for t in good["text"]]})
 
-    rows = chosen.mapInPandas(run, "lang string, x binary").toPandas().sort_values(["lang", "x"])
-    if not len(rows):
-        return None
-    return fit(np.frombuffer(b"".join(rows["x"]), "float32").reshape(len(rows), -1), rows["lang"].tolist())
+    return fit(*_fetched(chosen.mapInPandas(run, "lang string, x binary")))
+
+
+def _fetched(rows: DataFrame) -> tuple[np.ndarray, list[str]]:
+    """The sample's vectors and languages on the driver, in an order that depends on their content alone:
+    at most ``SAMPLE`` vectors of 16 KB, of which two copies exist for a moment."""
+    table = rows.toArrow()
+    names, vectors = table["lang"].to_pylist(), table["x"]
+    digests = [hashlib.blake2b(v.as_buffer(), digest_size=16).digest() for v in vectors]
+    order = sorted(range(len(names)), key=lambda i: (names[i], digests[i]))
+    x = np.empty((len(names), BUCKETS), "float32")
+    for at, i in enumerate(order):
+        x[at] = np.frombuffer(vectors[i].as_buffer(), "float32")
+    return x, [names[i] for i in order]
 
 
 def _judged(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
