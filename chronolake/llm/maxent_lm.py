@@ -6,8 +6,8 @@ log P(text) is the sum over its words and its end of log P(class | context) + lo
   the endings before them. Endings (hashed) are clustered by these into ``CLASSES`` - 1 classes, so a word's
   class follows from its spelling and words that were never seen have one; the end has its own.
 * Features of the class softmax, hashed into ``FEATURES`` rows each: the word before (n-gram), the word
-  before that (skip), and the pair of their classes. Within a class the ``SLOTS`` most frequent words and
-  one item for all others form a softmax that depends on the class before; the others share their item's
+  before that (skip), and the pair of their classes. Within a class the ``SLOTS`` most frequent words (both
+  are least sizes, and grow with the number of frequent words up to a stated bound) and one item for all others form a softmax that depends on the class before; the others share their item's
   probability by (count + 0.5), unseen ones together counting once, so that all sums to one.
 * Training is distributed: in each of ``ROUNDS`` rounds the tasks take the weights by broadcast, make
   minibatch gradient updates over their own documents of that round's share (together: all), and hand
@@ -38,7 +38,11 @@ from pyspark.sql import functions as F
 from chronolake.llm.ann_search import k_means
 from chronolake.llm.common import content_key, fold, materialise
 
-CLASSES, SLOTS, FEATURES, ENDINGS, AROUND = 32, 64, 2048, 2048, 128
+CLASSES, ENDINGS, AROUND = 64, 2048, 128
+#: Least and most sizes of the context model; ``sizes_of`` picks them by the corpus. Weights go to each task.
+SLOTS, FEATURES, MOST_SLOTS, MOST_FEATURES = 64, 2048, 128, 8192
+#: A word that is counted in these sizes occurs 2**OFTEN times or more.
+OFTEN = 6
 ROUNDS, STEP_TOKENS, RATE = 3, 4096, 0.1
 #: Most words whose counts are broadcast: 12 bytes each.
 HEAD_WORDS = 1 << 18
@@ -85,6 +89,8 @@ def _less_top(x: np.ndarray) -> np.ndarray:
 class Model:
     """Counts of the frequent words by hash, classes of the endings, and the weights."""
 
+    features: int  # hashed rows of each word feature
+    n_slots: int  # words with a slot of their own in each class, at most
     train_tokens: int
     train_words: int  # distinct, the end included
     end_count: int
@@ -100,7 +106,18 @@ class Model:
         return _logits(self.weights, rows)
 
 
-def feature_rows(words: np.ndarray, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sizes_of(levels: dict[int, int]) -> tuple[int, int]:
+    """Feature rows and slots for a corpus with ``levels[b]`` words that occur 2**b to 2**(b+1) - 1 times."""
+    often = sum(k for b, k in levels.items() if b >= OFTEN)
+    features, slots = FEATURES, SLOTS
+    while features < min(often, MOST_FEATURES):
+        features *= 2
+    while slots < min(-(-often // END_CLASS), MOST_SLOTS):
+        slots *= 2
+    return features, slots
+
+
+def feature_rows(words: np.ndarray, classes: np.ndarray, first: np.ndarray, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the three features of each token, and the class before it."""
 
     def before(x: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,13 +130,14 @@ def feature_rows(words: np.ndarray, classes: np.ndarray, first: np.ndarray) -> t
         two[second[~alone[second]]] = start
         return one, two
 
-    one, two = before(words % FEATURES, FEATURES)
+    one, two = before(words % features, features)
     c1, c2 = before(classes, START_CLASS)
-    pair = 2 * (FEATURES + 1) + c1 * (CLASSES + 1) + c2
-    return np.stack([one, FEATURES + 1 + two, pair]), c1
+    pair = 2 * (features + 1) + c1 * (CLASSES + 1) + c2
+    return np.stack([one, features + 1 + two, pair]), c1
 
 
-N_ROWS = 2 * (FEATURES + 1) + (CLASSES + 1) ** 2 + 1  # the last is the bias
+def n_rows(features: int) -> int:
+    return 2 * (features + 1) + (CLASSES + 1) ** 2 + 1  # the last is the bias
 
 
 class Positions(dict):
@@ -163,7 +181,7 @@ class Reader:
         new = self.known[end - len(fresh) : end]
         new[:, 0] = hashes & 0x7FFFFFFF
         new[:, 1] = m.classes[[crc32(w[-3:]) % ENDINGS for w in fresh]]
-        new[:, 2], new[:, 3] = SLOTS, -1
+        new[:, 2], new[:, 3] = m.n_slots, -1
         new[head, 2], new[head, 3] = m.slots[at[head]], m.counts[at[head]]
         self.memo.fresh = []
 
@@ -303,29 +321,30 @@ def learn(keyed: DataFrame) -> tuple[Model | None, DataFrame]:
     starts = np.r_[0, np.flatnonzero(np.diff(cls[order])) + 1] if len(order) else np.empty(0, int)
     slot = np.empty(len(order), "int64")
     slot[order] = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
-    slot = np.minimum(slot, SLOTS)
+    features, n_slots = sizes_of(levels)
+    slot = np.minimum(slot, n_slots)
     mass = np.full(CLASSES, 0.5)
     mass[sums.index] += sums["n"] + 0.5 * sums["k"]
-    own = slot < SLOTS
+    own = slot < n_slots
     np.subtract.at(mass, cls[own], n[own] + 0.5)
     order = np.argsort(h, kind="stable")
     tokens = int(sums["n"].sum()) + n_docs
     bias = np.full(CLASSES, 0.5)
     bias[sums.index] += sums["n"]
     bias[END_CLASS] += n_docs
-    weights = np.zeros((N_ROWS, CLASSES), "float32")
+    weights = np.zeros((n_rows(features), CLASSES), "float32")
     weights[-1] = np.log(bias / bias.sum())
-    model = Model(tokens, int(sums["k"].sum()) + 1, n_docs, classes, h[order], n[order], slot[order], mass, weights, None)
-    slots = np.zeros((CLASSES + 1) * CLASSES * (SLOTS + 1))
+    model = Model(features, n_slots, tokens, int(sums["k"].sum()) + 1, n_docs, classes, h[order], n[order], slot[order], mass, weights, None)
+    slots = np.zeros((CLASSES + 1) * CLASSES * (n_slots + 1))
     for turn in range(ROUNDS):
         part = train.where(F.pmod("k2", F.lit(ROUNDS)) == turn)
         moved, seen = _round(part, model)
         model.weights = model.weights + moved
         slots += seen
-    cells = slots.reshape(CLASSES + 1, CLASSES, SLOTS + 1)
-    exists = np.zeros((CLASSES, SLOTS + 1), bool)
+    cells = slots.reshape(CLASSES + 1, CLASSES, n_slots + 1)
+    exists = np.zeros((CLASSES, n_slots + 1), bool)
     exists[cls[own], slot[own]] = True
-    exists[:END_CLASS, SLOTS] = exists[END_CLASS, 0] = True  # unseen words belong to the last item of their class
+    exists[:END_CLASS, n_slots] = exists[END_CLASS, 0] = True  # unseen words belong to the last item of their class
     model.within = _within(cells, exists)
     return model, rest
 
@@ -338,13 +357,13 @@ def _round(part: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
         model = shared.value
         reader, w = Reader(model), model.weights.copy()
         heat = np.ones(w.shape, "float32")
-        slots, n = np.zeros((CLASSES + 1) * CLASSES * (SLOTS + 1), "int64"), 0
+        slots, n = np.zeros((CLASSES + 1) * CLASSES * (model.n_slots + 1), "int64"), 0
         for batch in batches:
             texts = batch["data"].tolist()
             for at in range(0, len(texts), BATCH):
                 _, _, first, (words, classes, slot, _) = reader.read(texts[at : at + BATCH])
-                rows, c1 = feature_rows(words, classes, first)
-                slots += np.bincount((c1 * CLASSES + classes) * (SLOTS + 1) + slot, minlength=len(slots))
+                rows, c1 = feature_rows(words, classes, first, model.features)
+                slots += np.bincount((c1 * CLASSES + classes) * (model.n_slots + 1) + slot, minlength=len(slots))
                 n += len(words)
                 for i in range(0, len(words), STEP_TOKENS):
                     _update(w, heat, rows[:, i : i + STEP_TOKENS], classes[i : i + STEP_TOKENS])
@@ -374,9 +393,9 @@ def _update(w: np.ndarray, heat: np.ndarray, rows: np.ndarray, classes: np.ndarr
     """One gradient step on a minibatch: each row that occurs moves by its own adapted rate."""
     p = _softmax(_logits(w, rows))
     p[np.arange(len(classes)), classes] -= 1
-    flat, place, column = p.astype("float64").ravel(), np.empty(N_ROWS, "int64"), np.arange(p.shape[1])
+    flat, place, column = p.astype("float64").ravel(), np.empty(len(w), "int64"), np.arange(p.shape[1])
     for which in rows:
-        at = np.flatnonzero(np.bincount(which, minlength=N_ROWS))
+        at = np.flatnonzero(np.bincount(which, minlength=len(w)))
         place[at] = np.arange(0, len(at) * p.shape[1], p.shape[1])
         g = np.bincount((place[which][:, None] + column).ravel(), flat, p.shape[1] * len(at)).reshape(len(at), -1).astype("float32")
         warm = heat[at] + g * g
@@ -391,7 +410,7 @@ def batch_scores(model: Model, reader: Reader, texts: list[bytes]) -> tuple[list
     """Of each text: the words that aren't head words, with their number; tokens; known head words; the sum of
     log10(count + 0.5) over head words; and the log10 probability, both still without that sum over the others."""
     words, sizes, first, (hashes, classes, slot, count) = reader.read(texts)
-    rows, c1 = feature_rows(hashes, classes, first)
+    rows, c1 = feature_rows(hashes, classes, first, model.features)
     scores = np.empty(len(hashes))
     for i in range(0, len(hashes), STEP_TOKENS):
         part = slice(i, i + STEP_TOKENS)
@@ -401,7 +420,7 @@ def batch_scores(model: Model, reader: Reader, texts: list[bytes]) -> tuple[list
     scores += model.within[c1, classes, slot]
     half = np.log10(np.maximum(count, 0) + 0.5)
     half[count < 0] = 0
-    tail = (slot == SLOTS) & (classes != END_CLASS)
+    tail = (slot == model.n_slots) & (classes != END_CLASS)
     scores[tail] += half[tail] - np.log10(model.tail_mass[classes[tail]])
     known = np.add.reduceat(count > 0, first)
     rare = np.flatnonzero(count < 0)

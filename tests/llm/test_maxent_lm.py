@@ -88,3 +88,19 @@ def test_small_tables(spark):
     out = sorted(map(tuple, maxent_lm.scores(none).collect()))
     assert out == [(held[0], True, 3, 0, 0, 0.0, 0.0), (held[1], True, 1, 0, 0, 0.0, 0.0)]
     assert maxent_lm.scores(none.limit(0)).count() == 0
+
+
+def test_the_context_model_is_whole_and_grows_with_the_corpus(spark, monkeypatch):
+    assert maxent_lm.CLASSES >= 64 and maxent_lm.SLOTS >= 64
+    monkeypatch.setattr(maxent_lm, "SLOTS", 2)
+    monkeypatch.setattr(maxent_lm, "FEATURES", 32)
+    monkeypatch.setattr(maxent_lm, "OFTEN", 0)
+    docs = spark.createDataFrame(rows_()[:400], "doc_id long, text string")
+    model, _ = maxent_lm.learn(maxent_lm._keyed(docs))
+    words = model.train_words - 1
+    assert words <= model.features < 2 * words and model.n_slots * maxent_lm.END_CLASS >= words
+    assert model.weights.shape == (maxent_lm.n_rows(model.features), maxent_lm.CLASSES)
+    out = maxent_lm.scores(docs).where("held_out").toPandas()
+    assert out["score"].sum() > 0.95 * out["base_score"].sum()  # both are negative
+    assert maxent_lm.sizes_of({-1: 10**9}) == (32, 2)
+    assert maxent_lm.sizes_of({20: 10**9}) == (maxent_lm.MOST_FEATURES, maxent_lm.MOST_SLOTS)
