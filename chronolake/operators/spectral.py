@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolake.operators.forecast import diagonals, truncated
@@ -161,10 +161,37 @@ def kernel_features(long: DataFrame, dilations: tuple[int, ...] = (1, 2, 4)) ->
 
 
 def isolation_scores(points: DataFrame, columns: list[str], trees: int = 50, sample: int = 256, seed: int = 3) -> DataFrame:
-    """``points`` with score: isolation forest, fitted on ``sample`` rows (by a hash), applied in one pass."""
-    chosen = points.orderBy(F.xxhash64(*columns)).limit(sample).select(*columns).toPandas().to_numpy("float64")
+    """``points`` with score: isolation forest, applied in one pass. Each tree is fitted on ``sample`` rows of its
+    own, by a hash of the row's other columns (its keys; all columns if there are none) and the tree's number;
+    tasks hand on their best ``sample`` rows of each tree alone."""
+    keys = [c for c in points.columns if c not in columns] or points.columns
+    kind = ", ".join(f"`{i}` double" for i in range(len(columns)))
+    plain = points.select(F.xxhash64(F.lit(seed), *keys).alias("h"), *[F.col(c).cast("double").alias(str(i)) for i, c in enumerate(columns)])
+    names = [str(i) for i in range(len(columns))]
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[pd.DataFrame | None] = [None] * trees
+        for batch in batches:
+            h = batch["h"].to_numpy().astype("uint64")
+            for t in range(trees):
+                x = (h ^ np.uint64((t + 1) * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+                x = (x ^ (x >> np.uint64(32))) >> np.uint64(1)
+                at = np.argpartition(x, sample)[:sample] if len(x) > sample else np.arange(len(x))
+                new = batch.iloc[at][names].assign(tree=t, spot=x[at].astype("int64"))
+                both = new if best[t] is None else pd.concat([best[t], new])
+                best[t] = both.nsmallest(sample, "spot")
+        for rows in best:
+            if rows is not None:
+                yield rows[["tree", "spot", *names]]
+
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("spot", *names))
+    found = plain.mapInPandas(drawn, f"tree int, spot long, {kind}").withColumn("place", place).where(F.col("place") <= sample).toPandas()
+    found = found.sort_values(["tree", "place"])
+    samples = [found.loc[found["tree"] == t, names].to_numpy("float64") for t in range(trees)]
+    size = len(samples[0])
     rng = np.random.default_rng(seed)
-    deepest = int(np.ceil(np.log2(max(2, len(chosen)))))
+    deepest = int(np.ceil(np.log2(max(2, size))))
 
     def mean_path(n: int) -> float:
         return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
@@ -177,8 +204,8 @@ def isolation_scores(points: DataFrame, columns: list[str], trees: int = 50, sam
         at = rng.uniform(rows[:, c].min(), rows[:, c].max())
         return c, at, grow(rows[rows[:, c] < at], depth + 1), grow(rows[rows[:, c] >= at], depth + 1)
 
-    forest = [grow(chosen, 0) for _ in range(trees)]
-    scale = max(mean_path(len(chosen)), 1e-9)
+    forest = [grow(rows, 0) for rows in samples]
+    scale = max(mean_path(size), 1e-9)
 
     def depth_of(tree, x: np.ndarray) -> np.ndarray:
         if not isinstance(tree, tuple):

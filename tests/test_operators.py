@@ -152,6 +152,18 @@ def test_isolation_forest_finds_the_outlier(spark):
     assert out.i == 999
 
 
+def test_isolation_forest_with_one_row_repeated(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(7)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(800, 2)))] + [(9999, 9.0, -9.0)]
+    # the repeated row comes first by the hash of its values
+    first = spark.createDataFrame(rows[:800], "i int, a double, b double").orderBy(F.xxhash64("a", "b")).first()
+    rows += [(1000 + i, first.a, first.b) for i in range(400)]
+    out = spectral.isolation_scores(spark.createDataFrame(rows, "i int, a double, b double"), ["a", "b"]).orderBy(F.desc("score")).collect()
+    assert out[0].i == 9999 and out[0].score > out[-1].score + 0.2
+
+
 def test_heads_and_injection(spark):
     rng = np.random.default_rng(2)
     rows = [(i, float(x), float(x > 0)) for i, x in enumerate(rng.normal(size=400))]
