@@ -57,20 +57,23 @@ class ImpactBlock:
             self.segments.append(part)
             self.left.append(np.sqrt((rest * rest).sum(axis=1)) * (1 + 1e-12))
 
-    def possible(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
-        """For each query, places of the rows that may be among its k best: proven to hold them all."""
+    def possible(self, queries: np.ndarray, k: int, own: np.ndarray | None = None) -> list[np.ndarray]:
+        """For each query, places of the rows that may be among its k best: proven to hold them all.
+
+        ``own``: by query and row, rows that are no candidates of the query."""
         wide = queries.astype("float64")
         norms = np.sqrt((wide * wide).sum(axis=1)) * (1 + 1e-12)
         n = len(self.rows)
         known = np.zeros((len(queries), n))
-        may = np.ones((len(queries), n), bool)
+        own = np.zeros((len(queries), n), bool) if own is None else own
+        may = ~own
         for segment, left in zip(self.segments, self.left, strict=True):
             known += wide @ segment.T
             if n <= k:
                 continue
             slack = norms[:, None] * left[None, :] + 0.5
-            least = np.partition(known - slack, n - k, axis=1)[:, n - k]
-            may = known + slack >= least[:, None]
+            least = np.partition(np.where(own, -np.inf, known - slack), n - k, axis=1)[:, n - k]
+            may = (known + slack >= least[:, None]) & ~own
             if may.sum() <= FEW * k * len(queries):
                 break
         return [np.flatnonzero(m) for m in may]
@@ -100,8 +103,8 @@ def top_k(table: DataFrame, queries_of: str, k: int) -> DataFrame:
             index = ImpactBlock(data)
             for at in range(0, len(names), STEP):
                 part = wanted[at : at + STEP]
-                for name, query, places in zip(names[at : at + STEP], part, index.possible(part, k + 1), strict=True):
-                    places = places[ids[places] != name]
+                own = names[at : at + STEP, None] == ids[None, :]
+                for name, query, places in zip(names[at : at + STEP], part, index.possible(part, k, own), strict=True):
                     scores = data[places] @ query
                     top = top_of(scores, ids[places], k)
                     out.append(pd.DataFrame({"query_id": name, "vec_id": ids[places][top], "score": scores[top]}))

@@ -72,3 +72,15 @@ def test_nearest_neighbours(spark, rows):
     ties = [(r.query_id, r["rank"], r.vec_id) for r in out if r.query_id == 2000]
     assert ties == [(2000, n + 1, 2001 + n) for n in range(5)]
     assert ann_search.nearest(table(spark, rows).limit(0), "vec_id % 50 = 0", 5).count() == 0
+
+
+def test_rows_of_the_query_s_own_id_take_no_places(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=20).tolist()) for i in range(1, 400)]
+    rows += [(0, (np.ones(20) * (50 + i)).tolist()) for i in range(30)]  # one id, many long vectors
+    out = impact_search.top_k(table(spark, rows), "vec_id = 0", 3).collect()
+    data = [np.floor(np.asarray(v, "float32").astype("float64") * 1024).astype("int64") for _, v in rows]
+    # every row of the id asks; the best k over all of them
+    asked = [x for (i, _), x in zip(rows, data, strict=True) if i == 0]
+    true = sorted(((-int(q @ x), i) for q in asked for (i, _), x in zip(rows, data, strict=True) if i), key=lambda p: p)[:3]
+    assert [(-r.score, r.vec_id) for r in sorted(out, key=lambda r: r.rank)] == true
