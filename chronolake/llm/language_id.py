@@ -9,10 +9,15 @@ punctuation and blanks read as one blank, hashed into ``BUCKETS``; square roots
 every vector has length one. The models are fitted on a bounded sample (at most ``SAMPLE`` labelled rows,
 evenly by language, chosen by a hash of id and text); prediction is one pass without a shuffle.
 
+``keep_identified`` also asks whether a text is of a learned language at all: the margin of its best family
+(the classifier's raw value, near 0 where nothing speaks for any family) must reach a part of what the
+labelled rows of the held-out fold reach.
+
 Defined cases: a text that is null or without letters is ``und`` with score 0; without any labelled row
-everything else is ``und`` as well; one learned language is predicted with score 1; repeated rows get
-equal results; ties go to the language that sorts first; an empty table gives an empty result; the
-columns lang, source and doc_id are never inputs of a prediction.
+everything else is ``und`` as well; one learned language is predicted with score 1; of more than ``SAMPLE``
+languages the most frequent are learned; repeated rows get equal results; ties go to the language that
+sorts first; an empty table gives an empty result; the columns lang, source and doc_id are never inputs of
+a prediction.
 """
 
 from __future__ import annotations
@@ -24,17 +29,22 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolake.llm.common import claim, fold
+from chronolake.llm.common import claim, fold, materialise
 
 BUCKETS, ORDERS = 4096, 4
 #: Most labelled rows that the models are fitted on.
 SAMPLE = 4000
 UNDETERMINED = "und"
+#: A text of a learned language reaches this part of the margin of 99 % of the held-out labelled rows.
+LEAST_MARGIN = 0.25
 #: Bytes whose n-grams are hashed at once.
 CHUNK = 1 << 20
+#: Texts whose vectors are judged at once.
+TEXTS = 256
 _ASCII = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _MULTIPLIERS = (0, 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 
@@ -81,10 +91,12 @@ class LanguageModel:
     pairs: list[list[tuple[int, int]]]
     of_pairs: list[np.ndarray]
 
-    def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """Language and score of each row: the product of both decisions' certainties."""
+    def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language and score of each row (the product of both decisions' certainties), and the margin of
+        its family."""
         x = np.hstack([x, np.ones((len(x), 1), "float32")])
-        first = 1 / (1 + np.exp(-4 * (x @ self.of_family.T)))
+        raw = x @ self.of_family.T
+        first = 1 / (1 + np.exp(-4 * raw))
         share = first / first.sum(axis=1, keepdims=True)
         family = first.argmax(axis=1)
         names, scores = np.empty(len(x), object), share[np.arange(len(x)), family].astype("float64")
@@ -106,7 +118,7 @@ class LanguageModel:
             else:
                 best = np.zeros(len(rows), int)
             names[rows] = np.array(languages, object)[best]
-        return names.tolist(), scores.clip(0, 1)
+        return names.tolist(), scores.clip(0, 1), raw.max(axis=1).astype("float64")
 
 
 def fit(x: np.ndarray, languages: list[str]) -> LanguageModel | None:
@@ -137,14 +149,12 @@ def fit(x: np.ndarray, languages: list[str]) -> LanguageModel | None:
 def learn(docs: DataFrame) -> LanguageModel | None:
     """Fits on a bounded sample of the rows outside fold 0 that have a language and a text."""
     held = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in held.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    each = SAMPLE // max(1, len(sizes))
-    if not each:
-        raise ValueError(f"more than {SAMPLE} languages")
     spot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003))
+    sizes = held.groupBy("lang").agg(F.count("*").alias("n"), F.min(spot).alias("low")).orderBy(F.desc("n"), "lang").limit(SAMPLE).collect()
+    each = SAMPLE // max(1, len(sizes))
     limit = F.lit(-1)
-    for lang, n in sizes.items():  # twice as many as are wanted, to rank few
-        limit = F.when(F.col("lang") == lang, F.lit(int(2_000_006 * each / n) + 2000)).otherwise(limit)
+    for r in sizes:  # twice as many as are wanted, to rank few; one text at least
+        limit = F.when(F.col("lang") == r["lang"], F.lit(max(int(2_000_006 * each / r["n"]) + 2000, r["low"] + 1))).otherwise(limit)
     chosen = held.select("lang", "text", spot.alias("spot")).where(F.col("spot") < limit)
     order = Window.partitionBy("lang").orderBy("spot", "text")
     chosen = chosen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select("lang", "text")
@@ -171,25 +181,28 @@ def _fetched(rows: DataFrame) -> tuple[np.ndarray, list[str]]:
 
 
 def _judged(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """Columns of ``docs`` by number, then lang_pred and score; one pass."""
+    """Columns of ``docs`` by number, then lang_pred, score and margin; one pass."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at_text = str(docs.columns.index("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [*(str(i) for i in range(len(docs.columns))), "lang_pred", "score", "margin"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("language")
         model = shared.value
         for batch in batches:
-            names, scores = np.full(len(batch), UNDETERMINED, object), np.zeros(len(batch))
-            texts = batch[at_text]
-            known = [i for i, t in enumerate(texts) if model is not None and t is not None and has_letters(t)]
-            for at in range(0, len(known), 512):
-                part = known[at : at + 512]
-                names[part], scores[part] = model.predict(np.stack([features(texts.iloc[i]) for i in part]))
-            yield batch.assign(lang_pred=names, score=scores)
+            for low in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(low, TEXTS)
+                texts = part[at_text].to_pylist()
+                found, scores, margins = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts)), np.zeros(len(texts))
+                known = [i for i, t in enumerate(texts) if model is not None and t is not None and has_letters(t)]
+                if known:
+                    found[known], scores[known], margins[known] = model.predict(np.stack([features(texts[i]) for i in known]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(scores), pa.array(margins)], names)
 
     plain = docs.select(*[docs[c].alias(str(i)) for i, c in enumerate(docs.columns)])
     types = [f"`{i}` {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)]
-    return plain.mapInPandas(run, ", ".join([*types, "lang_pred string", "score double"]))
+    return plain.mapInArrow(run, ", ".join([*types, "lang_pred string", "score double", "margin double"]))
 
 
 def predictions(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
@@ -199,6 +212,13 @@ def predictions(docs: DataFrame, model: LanguageModel | None = None) -> DataFram
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
-    """``docs`` without those whose language stays undetermined or scores below ``least_score``."""
-    found = _judged(docs, learn(docs)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
+    """``docs`` without those whose language stays undetermined, that score below ``least_score``, or whose
+    margin lies below ``LEAST_MARGIN`` of the labelled held-out rows' first percentile. Texts are judged
+    once and stored with what was found."""
+    at = {c: F.col(str(docs.columns.index(c))) for c in ("doc_id", "lang")}
+    judged = materialise(_judged(docs, learn(docs)), "language")
+    known = judged.where((fold(at["doc_id"]) == 0) & at["lang"].isNotNull() & (F.col("lang_pred") != UNDETERMINED))
+    low = known.agg(F.percentile_approx("margin", F.lit(0.01), 10_000).alias("q")).first()["q"]
+    least = LEAST_MARGIN * low if low is not None else float("-inf")
+    found = judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score) & (F.col("margin") >= least))
     return found.select(*[F.col(str(i)).alias(c) for i, c in enumerate(docs.columns)])

@@ -1,6 +1,10 @@
+import hashlib
+import math
 import random
 import zlib
 
+import numpy as np
+
 from chronolake.llm import language_id
 
 SYLLABLES = {
@@ -39,8 +43,6 @@ def test_held_out_accuracy_and_odd_rows(spark):
 
 def test_families_hold_the_languages_that_are_alike():
     data = list(rows())
-    import numpy as np
-
     model = language_id.fit(np.stack([language_id.features(t) for _, t, _, _ in data]), [x for _, _, x, _ in data])
     assert sorted(model.families) == [["aa", "ab"], ["ba", "bb"]]
 
@@ -55,6 +57,61 @@ def test_few_languages_and_rows(spark):
 
 def test_stage_keeps_what_has_a_language(spark):
     data = list(rows(120)) + [(1000, None, "aa", None), (1001, "12", "aa", None)]
+    rng = random.Random(4)
+    data += [(2000 + i, "".join(rng.choice("bcdhjnpqvw ") for _ in range(300)), None, None) for i in range(5)]
+    data += [(3000, "съешь же ещё этих мягких булок да выпей чаю " * 3, None, None)]
     kept = language_id.keep_identified(table(spark, data))
     assert kept.columns == ["doc_id", "text", "lang", "score"]
     assert sorted(r.doc_id for r in kept.collect()) == list(range(120))
+
+
+def test_predictions_equal_a_plain_reading_of_the_method(spark):
+    """One text at a time: its n-grams counted in a dict, the family of highest value, votes of pairs."""
+    data = list(rows(150, 3))
+    docs = table(spark, data)
+    model = language_id.learn(docs)
+    learned = [(language_id.features(t), x) for i, t, x, _ in data if zlib.crc32(str(i).encode()) % 5]
+    again = language_id.fit(*_in_order(learned))
+    assert again.families == model.families and np.allclose(again.of_family, model.of_family, atol=1e-4)
+    told = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predictions(docs, model).collect()}
+    for i, text, _, _ in data[:40]:
+        x = plain_features(text)
+        values = [float(np.dot(w[:-1], x) + w[-1]) for w in model.of_family]
+        sure = [1 / (1 + math.exp(-4 * v)) for v in values]
+        family = max(range(len(values)), key=lambda f: values[f])
+        names = model.families[family]
+        votes, certain = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0)
+        for (a, b), w in zip(model.pairs[family], model.of_pairs[family], strict=True):
+            p = 1 / (1 + math.exp(-4 * float(np.dot(w[:-1], x) + w[-1])))
+            votes[names[a if p >= 0.5 else b]] += 1
+            certain[names[a]] += p / (len(names) - 1)
+            certain[names[b]] += (1 - p) / (len(names) - 1)
+        best = max(names, key=lambda n: (votes[n] + certain[n] / 2))
+        score = sure[family] / sum(sure) * (certain[best] if len(names) > 1 else 1)
+        assert told[i][0] == best and abs(told[i][1] - score) < 1e-3
+
+
+def _in_order(learned):
+    learned = sorted(learned, key=lambda r: (r[1], hashlib.blake2b(r[0].tobytes(), digest_size=16).digest()))
+    return np.stack([x for x, _ in learned]), [n for _, n in learned]
+
+
+def plain_features(text):
+    """Counts of hashed n-grams, by a loop over places."""
+    data = b" " + b" ".join("".join(c.lower() if "A" <= c <= "Z" else c if c.isalpha() or ord(c) >= 128 else " " for c in text).encode().split()) + b" "
+    counts = np.zeros(language_id.BUCKETS)
+    for n in range(language_id.ORDERS):
+        for at in range(len(data) - n):
+            x = 0
+            for k in range(n + 1):
+                x = x + data[at] + 1 if k == 0 else x ^ (data[at + k] * language_id._MULTIPLIERS[k] & 0xFFFFFFFF)
+                x = x * 0x01000193 & 0xFFFFFFFF
+                x ^= x >> 15
+            counts[((x * 0x2C1B3C6D) & 0xFFFFFFFF) >> 20] += 1
+    return np.sqrt(counts / counts.sum())
+
+
+def test_a_language_of_repeats_and_more_languages_than_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 2)
+    data = [(1, "zwö fix grt", "rep", "s")] * 3000 + [(2, "ka lo mi", "aa", "s")] * 2 + [(3, "x", "bb", "s")]
+    assert language_id.learn(table(spark, data)).families == [["aa", "rep"]]
