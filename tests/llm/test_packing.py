@@ -1,3 +1,5 @@
+import random
+import sys
 import zlib
 
 import numpy as np
@@ -37,6 +39,36 @@ def test_pieces_and_places(spark):
     assert packing.pack_documents(docs.limit(0), VOCABULARY).count() == 0
 
 
+def test_words_of_all_letters():
+    peer, tokenizer = Tokenizer.from_file(VOCABULARY), packing.WordTokenizer(VOCABULARY)
+    rng, letters = random.Random(5), [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha()]
+    texts = [" ".join(f"{c} x{c}y. {c}," for c in letters[at : at + 50]) for at in range(0, len(letters), 50)]
+    texts += ["İstanbul is a city", "क़लम, ড়", "".join(tokenizer.broken) + "!"]
+    texts += [" ".join("".join(rng.choices(letters, k=rng.randrange(1, 6))) + rng.choice([".", "", "?!"]) for _ in range(30)) for _ in range(200)]
+    for at in range(0, len(texts), 300):
+        part = texts[at : at + 300]
+        true = peer.encode_batch(part, add_special_tokens=False)
+        assert [np.frombuffer(x, "<u4").tolist() for x in tokenizer.encode(part)] == [x.ids for x in true]
+    assert len(tokenizer.broken) == 60
+
+
+def test_the_memo_is_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO_BYTES", 20_000)
+    peer, tokenizer, rng = Tokenizer.from_file(VOCABULARY), packing.WordTokenizer(VOCABULARY), random.Random(6)
+    for _ in range(40):
+        part = [" ".join("w" + "abcdefgh"[rng.randrange(8)] * rng.randrange(1, 4) + str(rng.randrange(400)) for _ in range(40)) for _ in range(4)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in tokenizer.encode(part)] == [x.ids for x in peer.encode_batch(part, add_special_tokens=False)]
+        assert len(tokenizer.memo) < 700 and len(tokenizer.older) < 700
+
+
+def test_few_bins_beyond_the_least():
+    rng = np.random.default_rng(4)
+    lengths = np.minimum(rng.lognormal(6.3, 1, 16_384).astype(int) + 1, 2048)
+    runs = [sorted(lengths[at : at + packing.ARRIVALS].tolist(), reverse=True) for at in range(0, len(lengths), packing.ARRIVALS)]
+    used = max(b for b, _ in packing.best_fit([n for run in runs for n in run], open_bins=packing.OPEN_BINS)) + 1
+    assert used <= 1.005 * lengths.sum() / 2048 + 1
+
+
 def test_bounded_open_bins_close_the_fullest():
     lengths = np.random.default_rng(1).integers(1, 2049, 4000).tolist()
     for open_bins in (1, 4, 4096):
