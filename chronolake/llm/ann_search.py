@@ -16,8 +16,8 @@ Lists are split into blocks of bounded size, as are the queries that visit a lis
 a third of all rows is many tasks. What is broadcast is bounded by the parameters below.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and rows without an
-id take no part; a row never is a candidate of a query with its own id; rows that repeat id and vector
-count once; shorter vectors are padded with zeros; fewer candidates than k: all that were found; an
+id take no part; rows that repeat id and vector count once; a query's candidates are all rows but itself,
+other rows of its id included, and rows of one id ask apart; shorter vectors are padded with zeros; fewer candidates than k: all that were found; an
 empty table gives an empty result.
 """
 
@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronolake.llm.common import Scratch, k_means, squared
 from chronolake.llm.vectors import best, matrix, top_of, usable
 
 #: Rows that centroids and codebooks are fitted on.
@@ -80,26 +81,6 @@ def unit_rows(data: np.ndarray) -> np.ndarray:
     return data / np.sqrt((data * data).sum(axis=1, keepdims=True))
 
 
-def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a * a).sum(axis=1)[:, None] - 2 * a @ b.T + (b * b).sum(axis=1)[None, :]
-
-
-def k_means(data: np.ndarray, k: int, rounds: int, seed: int, spherical: bool) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    centres = data[rng.choice(len(data), k, replace=len(data) < k)].copy()
-    for _ in range(rounds):
-        near = (data @ centres.T).argmax(axis=1) if spherical else squared(data, centres).argmin(axis=1)
-        sizes = np.bincount(near, minlength=k)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, data)
-        full = sizes > 0
-        centres[full] = sums[full] / sizes[full, None]
-        centres[~full] = data[rng.choice(len(data), int((~full).sum()))]
-        if spherical:
-            centres /= np.maximum(np.sqrt((centres * centres).sum(axis=1, keepdims=True)), 1e-12)
-    return centres
-
-
 def fit(sample: np.ndarray, n_rows: int, k: int, seed: int = 11) -> Coder:
     """A coder for ``n_rows`` rows from a sample of unit vectors (its columns a multiple of SLICES)."""
     n_lists = max(1, min(MOST_LISTS, len(sample), int(math.sqrt(n_rows) / 2)))
@@ -150,8 +131,10 @@ def nearest(table: DataFrame, queries_of: str, k: int) -> DataFrame:
                 yield batch.assign(list_id=list(lists.astype("int32")))
 
     element = table.schema["embedding"].dataType.simpleString()
-    filed = rows.mapInPandas(file, f"vec_id long, embedding {element}, list_id int, code binary, left_out double")
-    visits = rows.where(queries_of).mapInPandas(visit, f"vec_id long, embedding {element}, list_id array<int>").withColumn("list_id", F.explode("list_id"))
+    scratch = Scratch(spark)
+    filed = scratch.store(rows.mapInPandas(file, f"vec_id long, row long, embedding {element}, list_id int, code binary, left_out double"), "filed")
+    visits = rows.where(queries_of).mapInPandas(visit, f"vec_id long, row long, embedding {element}, list_id array<int>")
+    visits = scratch.store(visits, "visits").withColumn("list_id", F.explode("list_id"))
 
     # blocks: counts by list are bounded by MOST_LISTS
     sizes = filed.groupBy("list_id").agg(F.count("*").alias("n"))
@@ -163,7 +146,7 @@ def nearest(table: DataFrame, queries_of: str, k: int) -> DataFrame:
     )
 
     def dealt(n: str) -> F.Column:
-        return F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+        return F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
 
     def every(n: str) -> F.Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -175,12 +158,12 @@ def nearest(table: DataFrame, queries_of: str, k: int) -> DataFrame:
         out = []
         if len(block) and len(asked):
             coder = shared.value
-            ids, data = block["vec_id"].to_numpy(), matrix(block["embedding"], dims, "float64")
+            ids, own, data = block["vec_id"].to_numpy(), block["row"].to_numpy(), matrix(block["embedding"], dims, "float64")
             codes = np.frombuffer(b"".join(block["code"]), "uint8").reshape(len(ids), -1)
             slack = block["left_out"].to_numpy() + 1e-9
             norms = np.sqrt((data * data).sum(axis=1))
             centroid = coder.centroids[int(block["list_id"].iloc[0])]
-            names, wanted = asked["vec_id"].to_numpy(), matrix(asked["embedding"], dims, "float64")
+            names, rows_of, wanted = asked["vec_id"].to_numpy(), asked["row"].to_numpy(), matrix(asked["embedding"], dims, "float64")
             units = unit_rows(wanted)
             for at in range(0, len(names), STEP):
                 part = units[at : at + STEP]
@@ -188,7 +171,7 @@ def nearest(table: DataFrame, queries_of: str, k: int) -> DataFrame:
                 for m, slices in enumerate(np.split(part, len(coder.books), axis=1)):
                     guess += (slices @ coder.books[m].T)[:, codes[:, m]]
                 for i, name in enumerate(names[at : at + STEP]):
-                    places = np.flatnonzero(ids != name)
+                    places = np.flatnonzero(own != rows_of[at + i])
                     if len(places) > k:
                         low = guess[i, places] - slack[places]
                         bar = np.partition(low, len(low) - k)[len(low) - k]
@@ -196,9 +179,9 @@ def nearest(table: DataFrame, queries_of: str, k: int) -> DataFrame:
                     query = wanted[at + i]
                     scores = (data[places] * query).sum(axis=1) / (norms[places] * math.sqrt((query * query).sum()))
                     top = top_of(scores, ids[places], k)
-                    out.append(pd.DataFrame({"query_id": name, "vec_id": ids[places][top], "score": scores[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                    out.append(pd.DataFrame({"query_id": name, "query_row": rows_of[at + i], "vec_id": ids[places][top], "score": scores[top]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "query_row": [], "vec_id": [], "score": []})
 
     keys = ["list_id", "r", "q"]
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
-    return best(hits, k)
+    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, query_row long, vec_id long, score double")
+    return scratch.finish(best(hits, k), "nearest")

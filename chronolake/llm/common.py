@@ -1,4 +1,5 @@
-"""What the corpus operators share: the scratch folder, row keys, text as bytes, folds."""
+"""What the corpus operators share: the scratch folder and stored tables, row keys, text as bytes, folds,
+centres of clusters."""
 
 from __future__ import annotations
 
@@ -9,6 +10,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,21 +19,56 @@ from pyspark.sql import functions as F
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir.
 
-    A folder of this machine is made and set only where that setting is absent, as in tests."""
+    Where it names none, a local session gets a folder of this machine; a cluster is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         found = tempfile.mkdtemp(prefix="chronolake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+class Scratch:
+    """Tables that one run of an operator stores in the shared scratch folder.
+
+    A stored table ends lineage: a lost executor costs a reread and never a recomputation of what led to
+    it. Inner tables are dropped as soon as what was made of them is stored; a table that the operator's
+    result reads stays, as its reader isn't known to have ended."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.inner: list[str] = []
+
+    def _written(self, df: DataFrame, name: str) -> tuple[str, DataFrame]:
+        path = f"{scratch_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return path, self.spark.read.schema(df.schema).parquet(path)
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as an inner table."""
+        path, table = self._written(df, name)
+        self.inner.append(path)
+        return table
+
+    def finish(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a table that stays; all inner tables go."""
+        _, table = self._written(df, name)
+        self.clear()
+        return table
+
+    def clear(self) -> None:
+        """Drops the inner tables, by the file system that holds them."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.inner:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.inner = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared scratch folder and reads it back: lineage ends here, so
-    a lost executor costs a reread and never a recomputation of what led to it."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` as a stored table that stays."""
+    return Scratch(df.sparkSession).finish(df, name)
 
 
 def content_key(*columns: Column) -> list[Column]:
@@ -55,6 +93,14 @@ def partitions_of(df: DataFrame) -> int:
 _kept: dict[str, Callable[[], None]] = {}
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the machine, as after a model was fitted."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def claim(owner: str, clear: Callable[[], None] | None = None) -> None:
     """Called by a task as it starts: a reused Python worker gives back what other operators kept in it.
 
@@ -63,7 +109,25 @@ def claim(owner: str, clear: Callable[[], None] | None = None) -> None:
     for o in others:
         _kept.pop(o)()
     if others or owner not in _kept:
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
     _kept[owner] = clear or (lambda: None)
+
+
+def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * a).sum(axis=1)[:, None] - 2 * a @ b.T + (b * b).sum(axis=1)[None, :]
+
+
+def k_means(data: np.ndarray, k: int, rounds: int, seed: int, spherical: bool) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    centres = data[rng.choice(len(data), k, replace=len(data) < k)].copy()
+    for _ in range(rounds):
+        near = (data @ centres.T).argmax(axis=1) if spherical else squared(data, centres).argmin(axis=1)
+        sizes = np.bincount(near, minlength=k)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, data)
+        full = sizes > 0
+        centres[full] = sums[full] / sizes[full, None]
+        centres[~full] = data[rng.choice(len(data), int((~full).sum()))]
+        if spherical:
+            centres /= np.maximum(np.sqrt((centres * centres).sum(axis=1, keepdims=True)), 1e-12)
+    return centres

@@ -1,20 +1,21 @@
 """Exact top-k inner products over an impact-ordered index, score at a time.
 
-Components are integers, floor(1024 * x). Rows are dealt into blocks. A block's postings lie in
-segments by descending quantised impact: segment b holds the components with 2**b <= |x| < 2**(b+1),
-of all dimensions. Queries (in blocks as well) are scored against whole segments, highest impact
-first. After each segment a row's score is known up to |query| * |what is left of the row|
-(Cauchy-Schwarz, with the norms of the remainders kept in the index). Rows whose upper bound lies below
-the k-th highest lower bound are out; processing stops when the bounds prove that few rows can still be
-members, and those alone are scored exactly, in integers. Each block gives k rows a query; these meet
-in one ranked window.
+Components are integers, floor(1024 * x). Rows are dealt into blocks. A block's postings (row, value), one
+for each component that isn't zero, lie in lists by quantised impact and dimension: segment b holds the
+lists of the components with 2**b <= |x| < 2**(b+1). Queries (in blocks as well) go through the segments
+by descending impact; a list adds its values, times the queries' component in its dimension, to the
+scores of its rows, and is passed over where no query has that component. After each segment a row's
+score is known up to |query| * |what is left of the row| (Cauchy-Schwarz, with the norms of the remainders
+kept in the index). Rows whose upper bound lies below the k-th highest lower bound are out; processing
+stops when the bounds prove that few rows can still be members, and those alone are scored exactly, in
+integers. Each block gives k rows a query; these meet in one ranked window.
 
 Every query meets every block by an equi-join on the block pair: a stated set of queries against all
 rows in blocks of bounded size.
 
 Defined cases: null vectors, or ones with null or non-finite components, and rows without an id take
-no part; a row never is a candidate of a query with its own id; rows that repeat id and vector count
-once; shorter vectors are padded with zeros; fewer candidates than k: all of them; an empty table gives
+no part; rows that repeat id and vector count once; a query's candidates are all rows but itself, other
+rows of its id included, and rows of one id ask apart; shorter vectors are padded with zeros; fewer candidates than k: all of them; an empty table gives
 an empty result.
 """
 
@@ -37,25 +38,34 @@ FEW = 8
 
 
 def quantised(table: DataFrame) -> DataFrame:
-    """vec_id and the integer vector."""
+    """vec_id, row and the integer vector."""
     scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE))
-    return usable(table, zero_too=True).select("vec_id", scaled.alias("vector"))
+    return usable(table, zero_too=True).select("vec_id", "row", scaled.alias("vector"))
 
 
 class ImpactBlock:
-    """A block's segments by descending impact, with the norms of what follows each."""
+    """A block's posting lists in segments by descending impact, with the norms of what follows each."""
 
     def __init__(self, rows: np.ndarray):
-        self.rows = rows
-        size = np.abs(rows)
-        bits = np.where(size > 0, np.frexp(size.astype("float64"))[1], 0)
-        self.segments, self.left = [], []
-        rest = rows.astype("float64")
-        for b in sorted(set(np.unique(bits).tolist()) - {0}, reverse=True):
-            part = np.where(bits == b, rows, 0).astype("float64")
-            rest = rest - part
-            self.segments.append(part)
-            self.left.append(np.sqrt((rest * rest).sum(axis=1)) * (1 + 1e-12))
+        self.n = len(rows)
+        place, dim = np.nonzero(rows)
+        value = rows[place, dim].astype("float64")
+        bits = np.frexp(np.abs(value))[1]
+        order = np.lexsort((dim, -bits))  # rows stay in order within a list
+        self.place, self.value, dim, bits = place[order], value[order], dim[order], bits[order]
+        starts = np.flatnonzero(np.r_[True, (dim[1:] != dim[:-1]) | (bits[1:] != bits[:-1])]) if len(dim) else np.empty(0, int)
+        rest = np.bincount(self.place, self.value**2, self.n)
+        self.segments: list[list[tuple[int, int, int]]] = []  # of lists: dimension, first and last posting
+        self.left: list[np.ndarray] = []
+        last = None
+        for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(dim)], strict=False):
+            if bits[low] != last:
+                self.segments.append([])
+                self.left.append(rest.copy())
+                last = bits[low]
+            self.segments[-1].append((int(dim[low]), low, high))
+            rest[self.place[low:high]] -= self.value[low:high] ** 2  # whole numbers: exact
+        self.left = [np.sqrt(x) * (1 + 1e-12) for x in [*self.left[1:], rest]]
 
     def possible(self, queries: np.ndarray, k: int, own: np.ndarray | None = None) -> list[np.ndarray]:
         """For each query, places of the rows that may be among its k best: proven to hold them all.
@@ -63,17 +73,18 @@ class ImpactBlock:
         ``own``: by query and row, rows that are no candidates of the query."""
         wide = queries.astype("float64")
         norms = np.sqrt((wide * wide).sum(axis=1)) * (1 + 1e-12)
-        n = len(self.rows)
-        known = np.zeros((len(queries), n))
-        own = np.zeros((len(queries), n), bool) if own is None else own
+        known = np.zeros((self.n, len(queries)))
+        own = np.zeros((len(queries), self.n), bool) if own is None else own
         may = ~own
-        for segment, left in zip(self.segments, self.left, strict=True):
-            known += wide @ segment.T
-            if n <= k:
+        for segment, left in zip(self.segments, self.left, strict=False):
+            for dim, low, high in segment:
+                if wide[:, dim].any():
+                    known[self.place[low:high]] += self.value[low:high, None] * wide[:, dim]
+            if self.n <= k:
                 continue
-            slack = norms[:, None] * left[None, :] + 0.5
-            least = np.partition(np.where(own, -np.inf, known - slack), n - k, axis=1)[:, n - k]
-            may = (known + slack >= least[:, None]) & ~own
+            score, slack = known.T.copy(), norms[:, None] * left[None, :] + 0.5
+            least = np.partition(np.where(own, -np.inf, score - slack), self.n - k, axis=1)[:, self.n - k]
+            may = (score + slack >= least[:, None]) & ~own
             if may.sum() <= FEW * k * len(queries):
                 break
         return [np.flatnonzero(m) for m in may]
@@ -89,41 +100,43 @@ def top_k(table: DataFrame, queries_of: str, k: int) -> DataFrame:
     per_block = min(BLOCK_ROWS, max(1024, shape["n"] // (2 * cores)))
     row_blocks, query_blocks = max(1, -(-shape["n"] // per_block)), max(1, -(-shape["q"] // BLOCK_QUERIES))
 
-    def dealt(df: DataFrame, n: int) -> F.Column:
-        return F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    def dealt(n: int) -> F.Column:
+        return F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
 
-    left = rows.withColumn("r", dealt(rows, row_blocks)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = queries.withColumn("q", dealt(queries, query_blocks)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
+    left = rows.withColumn("r", dealt(row_blocks)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    right = queries.withColumn("q", dealt(query_blocks)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
+    kinds = {"query_id": "int64", "query_row": "int64", "vec_id": "int64", "score": "int64"}
 
     def run(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(block) and len(asked):
-            ids, data = block["vec_id"].to_numpy(), matrix(block["vector"], dims, "int64")
-            names, wanted = asked["vec_id"].to_numpy(), matrix(asked["vector"], dims, "int64")
+            ids, names, data = block["vec_id"].to_numpy(), block["row"].to_numpy(), matrix(block["vector"], dims, "int64")
             index = ImpactBlock(data)
-            for at in range(0, len(names), STEP):
-                part = wanted[at : at + STEP]
-                own = names[at : at + STEP, None] == ids[None, :]
-                for name, query, places in zip(names[at : at + STEP], part, index.possible(part, k, own), strict=True):
+            for at in range(0, len(asked), STEP):
+                part = asked.iloc[at : at + STEP]
+                wanted, own = matrix(part["vector"], dims, "int64"), part["row"].to_numpy()
+                found = index.possible(wanted, k, own[:, None] == names[None, :])
+                for name, row, query, places in zip(part["vec_id"], own, wanted, found, strict=True):
                     scores = data[places] @ query
                     top = top_of(scores, ids[places], k)
-                    out.append(pd.DataFrame({"query_id": name, "vec_id": ids[places][top], "score": scores[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+                    out.append(pd.DataFrame({"query_id": name, "query_row": row, "vec_id": ids[places][top], "score": scores[top]}))
+        return pd.concat(out).astype(kinds) if out else pd.DataFrame({c: [] for c in kinds}).astype(kinds)
 
-    hits = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInPandas(run, "query_id long, vec_id long, score long")
+    hits = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInPandas(run, "query_id long, query_row long, vec_id long, score long")
     return best(hits, k)
 
 
 ORACLE = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
-  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+WITH d AS (
+  SELECT DISTINCT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM d
 ), scored AS (
-  SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum(list_transform(list_zip(q.x, r.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0
+  SELECT q.n, q.vec_id AS query_id, r.vec_id, CAST(list_sum(list_transform(list_zip(q.x, r.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v r ON q.n <> r.n WHERE q.vec_id % 100 = 0
 ), ranked AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored
+  SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """

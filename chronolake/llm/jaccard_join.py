@@ -4,13 +4,15 @@
    are one class with a count and never meet as pairs.
 2. MinHash banding. ``bands_for`` chooses how many bands of ``ROWS`` minima reach the target recall at the
    threshold. A shuffle on band hashes (aggregated before it) leaves the buckets of two classes or more.
+   The pairs that have a band in common are those that are verified, each once, whatever else is near.
 3. Buckets link their members to their least one, and the connected components of these links are the
-   scopes within which pairs are verified. A component of more than ``WIDE`` classes, which chains of
-   chance meetings can make, is verified bucket by bucket instead, each pair in its first common bucket.
-4. Verification on the full n-gram sets. The classes of a scope are dealt into tiles of ``TILE``, and each
-   two tiles meet in a group of rows; incidence matrices of the n-grams that the group shares give all
-   intersections at once. What leaves a group is a link count and a root for each class, not a row for
-   each pair.
+   scopes within which pairs are verified: pairs of a component without a common band are passed over. A
+   component of more than ``WIDE`` classes, which chains of chance meetings can make, is verified bucket by
+   bucket instead, each pair in its first common bucket; the pairs are the same.
+4. Verification on the full n-gram sets. The classes of a scope are dealt into tiles of about ``TILE`` sets
+   and ``TILE_GRAMS`` n-grams, and each two tiles meet in a group of rows; incidence matrices of the n-grams
+   that the group shares give all intersections at once. What leaves a group is a link count and a root for
+   each class, not a row for each pair.
 5. Components of the verified links are the near-duplicate groups.
 
 Defined cases: words are what white space separates, lower-cased; a text of one to four words has one
@@ -27,24 +29,24 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolake.llm.common import claim, content_key, materialise
+from chronolake.llm.common import Scratch, claim, content_key, materialise
 from chronolake.llm.components import components
 
 WORDS = 5
 THRESHOLD = 0.8
 #: Minima in a band, and the share of pairs at the threshold that shall meet.
 ROWS, RECALL = 8, 0.999
-#: Classes in a tile, and in a component that is verified as a whole.
-TILE, WIDE = 256, 4096
+#: Classes in a tile and n-grams in their sets, on average, and classes in a component that is verified as a whole.
+TILE, TILE_GRAMS, WIDE = 256, 1 << 20, 4096
 #: n-grams whose minima are taken at once, and columns of an incidence matrix.
 STRIP = 4096
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 #: Texts whose sets are held at once.
-TEXTS = 512
+TEXTS = 256
 
 
 def bands_for(threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -107,27 +109,30 @@ def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
-    """doc_id, t1, t2 (key of the text), c (digest of the n-gram set), v (its first 64 bits), bands."""
+    """doc_id, t1, t2 (key of the text), c (digest of the n-gram set), v (its first 64 bits), grams (its
+    size), bands."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, rng = Shingler(), np.random.default_rng(21)
         odd = rng.integers(0, 1 << 31, bands * rows, "uint32") * np.uint32(2) + np.uint32(1)
         plus = rng.integers(0, 1 << 32, bands * rows, "uint32")
         claim("jaccard")
         none = np.empty(0, "int64")
         for batch in batches:
-            for at in range(0, len(batch), TEXTS):
-                part = batch.iloc[at : at + TEXTS]
-                sets = [shingle(t) for t in part["text"]]
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                sets = [shingle(t) for t in part["text"].to_pylist()]
                 c = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 v = np.frombuffer(b"".join(c), "int64")[::2]
-                hashes = list(band_hashes(np.stack([minima(s, odd, plus) for s in sets]), bands, rows))
-                yield part.drop(columns="text").assign(c=c, v=v, bands=[h if len(s) else none for h, s in zip(hashes, sets, strict=True)])
+                hashes = band_hashes(np.stack([minima(s, odd, plus) for s in sets]), bands, rows)
+                found = [h if len(s) else none for h, s in zip(hashes, sets, strict=True)]
+                columns = [pa.array(c, pa.binary()), pa.array(v), pa.array([len(s) for s in sets], pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["t1"], part["t2"], *columns], ["doc_id", "t1", "t2", "c", "v", "grams", "bands"])
 
     text = F.coalesce("text", F.lit(""))
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", text.alias("text")).select("doc_id", "text", *[k.alias(f"t{i + 1}") for i, k in enumerate(content_key(F.col("text")))])
-    return keyed.select("doc_id", "t1", "t2", "text").mapInPandas(run, f"doc_id {kind}, t1 long, t2 long, c binary, v long, bands array<long>")
+    return keyed.select("doc_id", "t1", "t2", "text").mapInArrow(run, f"doc_id {kind}, t1 long, t2 long, c binary, v long, grams long, bands array<long>")
 
 
 def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -172,11 +177,10 @@ def _verified(rows: list[tuple], threshold: float) -> Iterator[tuple]:
     linked = both >= threshold * union - 1e-6
     if i == j:
         np.fill_diagonal(linked, False)
-    if by_band:
+    if linked.any():
         bands = [np.stack([np.asarray(r[8]) for r in side]) for side in (left, right)]
         first = _first_common(*bands)
-        own = int(np.flatnonzero(bands[0][0] == scope)[0])
-        linked &= first == own
+        linked &= first == int(np.flatnonzero(bands[0][0] == scope)[0]) if by_band else first >= 0
     n_left, n_right = np.array([r[7] for r in left]), np.array([r[7] for r in right])
     counts = {r[6]: int(n) for r, n in zip(left, linked @ n_right, strict=True)}
     if i != j:
@@ -197,17 +201,24 @@ def _verified(rows: list[tuple], threshold: float) -> Iterator[tuple]:
 def _tiles(threshold: float):
     columns = ["scope", "i", "j", "scope", "by_band", "tile", "c", "n", "bands", "shingles"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(rows: list[tuple]) -> pa.RecordBatch:
+        c, links, root = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), pa.array(links, pa.int64()), pa.array(root, pa.binary())], ["c", "links", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard")
         group: list[tuple] = []
         for batch in batches:
-            out = []
-            for key, rows in groupby(zip(*(batch[c] for c in columns), strict=True), key=lambda r: (r[3], r[4], r[1], r[2])):
-                if group and (group[0][3], group[0][4], group[0][1], group[0][2]) != key:
-                    out += _verified(group, threshold)
-                    group = []
-                group += rows
-            yield pd.DataFrame(out, columns=["c", "links", "root"])
-        yield pd.DataFrame(list(_verified(group, threshold)) if group else [], columns=["c", "links", "root"])
+            for at in range(0, batch.num_rows, TEXTS):
+                part, out = batch.slice(at, TEXTS), []
+                for key, rows in groupby(zip(*(part[c].to_pylist() for c in columns), strict=True), key=lambda r: (r[3], r[4], r[1], r[2])):
+                    if group and (group[0][3], group[0][4], group[0][1], group[0][2]) != key:
+                        out += _verified(group, threshold)
+                        group = []
+                    group += rows
+                if out:
+                    yield found(out)
+        yield found(list(_verified(group, threshold)) if group else [])
 
     return run
 
@@ -216,24 +227,29 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     """Two tables: (doc_id, t1, t2, c) of every row, with the key of its text and its class; and
     (c, n, links, class_id) of every class: its rows, the rows of other classes that it is linked to, and
     the least doc_id in its group."""
-    bands = bands_for(threshold, ROWS, recall)
-    rows = materialise(signed(docs, bands), "signed")
-    classes = rows.groupBy("c").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.min(F.struct("t1", "t2")).alias("t"), F.min("v").alias("v"))
-    classes = materialise(classes, "classes")
+    bands, scratch = bands_for(threshold, ROWS, recall), Scratch(docs.sparkSession)
+    signed_rows = scratch.store(signed(docs, bands), "signed")
+    classes = signed_rows.groupBy("c").agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.min(F.struct("t1", "t2")).alias("t"), F.min("v").alias("v"), F.max("grams").alias("grams")
+    )
+    classes = scratch.store(classes, "classes")
 
-    members = rows.select("v", F.explode("bands").alias("band"))
+    members = signed_rows.select("v", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low < high").select("band", "low")
-    met = materialise(members.join(buckets, "band").select("band", "v", "low").distinct(), "met")
-    scopes = components(met.select(F.col("v").alias("a"), F.col("low").alias("b")), "scopes")
-    sizes = scopes.groupBy("root").agg(F.count("*").alias("size"))
-    scopes = materialise(scopes.join(sizes, "root"), "scoped")
-
-    whole = scopes.where(F.col("size") <= WIDE).select("node", F.col("root").alias("scope"), F.lit(False).alias("by_band"), "size")
-    wide = met.join(scopes.where(F.col("size") > WIDE).select("node"), met["v"] == F.col("node")).select("node", F.col("band").alias("scope"))
-    wide = wide.join(wide.groupBy("scope").agg(F.count("*").alias("size")), "scope").select("node", "scope", F.lit(True).alias("by_band"), "size")
-    places = whole.unionByName(wide).withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
-
-    shingled = _shingles(docs, rows, classes, scopes)
+    met = scratch.store(members.join(buckets, "band").select("band", "v", "low").distinct(), "met")
+    scopes = components(met.select(F.col("v").alias("a"), F.col("low").alias("b")), scratch, "scopes")
+    grams = classes.groupBy("v").agg(F.max("grams").alias("grams"))
+    scopes = scratch.store(scopes.join(grams, scopes["node"] == grams["v"]).drop("v"), "sized")
+    sizes = [F.count("*").alias("size"), F.sum("grams").alias("all")]
+    scopes = scratch.store(scopes.join(scopes.groupBy("root").agg(*sizes), "root"), "scoped")
+
+    whole = scopes.where(F.col("size") <= WIDE).select("node", F.col("root").alias("scope"), F.lit(False).alias("by_band"), "size", "all")
+    wide = met.join(scopes.where(F.col("size") > WIDE).select("node", "grams"), met["v"] == F.col("node")).select("node", F.col("band").alias("scope"), "grams")
+    wide = wide.join(wide.groupBy("scope").agg(*sizes), "scope").select("node", "scope", F.lit(True).alias("by_band"), "size", "all")
+    tiles = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("all") / TILE_GRAMS)).cast("int")
+    places = whole.unionByName(wide).withColumn("tiles", tiles)
+
+    shingled = _shingles(docs, signed_rows, classes, scopes)
     dealt = (
         shingled.join(places, shingled["v"] == places["node"])
         .withColumn("tile", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int"))
@@ -241,10 +257,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         .select("scope", "by_band", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "c", "n", "bands", "shingles")
     )
     key = ["scope", "by_band", "i", "j"]
-    checked = dealt.repartition(*key).sortWithinPartitions(*key).mapInPandas(_tiles(threshold), "c binary, links long, root binary")
-    checked = materialise(checked, "verified")
+    checked = dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_tiles(threshold), "c binary, links long, root binary")
+    checked = scratch.store(checked, "verified")
     links = checked.groupBy("c").agg(F.sum("links").alias("links"))
-    groups = components(checked.select(F.col("c").alias("a"), F.col("root").alias("b")), "groups").select(F.col("node").alias("c"), "root")
+    groups = components(checked.select(F.col("c").alias("a"), F.col("root").alias("b")), scratch, "groups").select(F.col("node").alias("c"), "root")
 
     linked = classes.join(links, "c").join(groups, "c")
     least = linked.groupBy("root").agg(F.min("first_id").alias("class_id"))
@@ -252,7 +268,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     found = classes.join(named.withColumn("in", F.lit(True)), "c", "left").select(
         "c", "n", F.coalesce("links", F.lit(0)).alias("links"), F.when(F.col("in"), F.col("class_id")).otherwise(F.col("first_id")).alias("class_id")
     )
-    return rows.select("doc_id", "t1", "t2", "c"), materialise(found, "near-classes")
+    found = materialise(found, "near-classes")
+    return scratch.finish(signed_rows.select("doc_id", "t1", "t2", "c"), "near-rows"), found
 
 
 def _shingles(docs: DataFrame, rows: DataFrame, classes: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -261,19 +278,21 @@ def _shingles(docs: DataFrame, rows: DataFrame, classes: DataFrame, scopes: Data
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(text.alias("text")).select("text", *[k.alias(f"t{i + 1}") for i, k in enumerate(content_key(F.col("text")))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("jaccard")
         shingle, done = Shingler(), set()
         for batch in batches:
-            batch = batch[~batch["c"].duplicated() & ~batch["c"].isin(done)]
-            if len(batch):
-                if len(done) < MEMO_WORDS:
-                    done.update(batch["c"])
-                for at in range(0, len(batch), TEXTS):
-                    part = batch.iloc[at : at + TEXTS]
-                    yield part.drop(columns="text").assign(shingles=[shingle(t).tobytes() for t in part["text"]])
-
-    made = keyed.join(wanted, ["t1", "t2"]).select("c", "v", "n", "text").mapInPandas(run, "c binary, v long, n long, shingles binary")
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                first = {c: i for i, c in reversed(list(enumerate(part["c"].to_pylist()))) if c not in done}
+                if first:
+                    if len(done) < MEMO_WORDS:
+                        done.update(first)
+                    part = part.take(pa.array(sorted(first.values())))
+                    sets = pa.array([shingle(t).tobytes() for t in part["text"].to_pylist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([part["c"], part["v"], part["n"], sets], ["c", "v", "n", "shingles"])
+
+    made = keyed.join(wanted, ["t1", "t2"]).select("c", "v", "n", "text").mapInArrow(run, "c binary, v long, n long, shingles binary")
     one = made.groupBy("c").agg(F.first("v").alias("v"), F.first("n").alias("n"), F.first("shingles").alias("shingles"))
     bands = rows.select("c", "v", "bands").join(scopes.select(F.col("node").alias("v")), "v", "left_semi")
     return one.join(bands.groupBy("c").agg(F.first("bands").alias("bands")), "c")

@@ -1,8 +1,10 @@
+import os
 import random
 
 import pytest
 
 from chronolake.llm import jaccard_join
+from chronolake.llm.common import Scratch
 from chronolake.llm.components import components
 
 
@@ -75,6 +77,23 @@ def test_bands_reach_the_recall():
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 300), (250, 300)]
-    out = components(spark.createDataFrame(edges, "a long, b long"), "t")
+    scratch = Scratch(spark)
+    out = components(spark.createDataFrame(edges, "a long, b long"), scratch, "t")
     got = {r.node: r.root for r in out.collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 200: 200, 250: 200, 300: 200}
+    (path,) = scratch.inner
+    assert os.path.isdir(path)
+    scratch.clear()
+    assert not os.path.isdir(path) and not scratch.inner
+
+
+def test_large_components_give_the_pairs_of_small_ones(spark, monkeypatch):
+    """With few bands many pairs have none in common; which pairs are verified doesn't depend on ``WIDE``."""
+    monkeypatch.setattr(jaccard_join, "bands_for", lambda *_: 3)
+    docs = spark.createDataFrame(rows_(), "doc_id long, text string")
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    found = []
+    for wide in (4096, 4):
+        monkeypatch.setattr(jaccard_join, "WIDE", wide)
+        found.append(sorted(map(tuple, jaccard_join.links_by_document(docs).collect()), key=key))
+    assert found[0] == found[1] != sorted(brute(rows_()), key=key)
