@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolake.llm.common import claim, fold, materialise
+from chronolake.llm.common import claim, fold, give_back
 
 BUCKETS, ORDERS = 4096, 4
 #: Most labelled rows that the models are fitted on.
@@ -208,17 +208,21 @@ def _judged(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 def predictions(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row, by ``model`` or one learned from ``docs``."""
     found = _judged(docs.select("doc_id", "text"), model or learn(docs))
+    give_back()
     return found.select(F.col("0").alias("doc_id"), (fold(F.col("0")) == 0).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
     """``docs`` without those whose language stays undetermined, that score below ``least_score``, or whose
-    margin lies below ``LEAST_MARGIN`` of the labelled held-out rows' first percentile. Texts are judged
-    once and stored with what was found."""
-    at = {c: F.col(str(docs.columns.index(c))) for c in ("doc_id", "lang")}
-    judged = materialise(_judged(docs, learn(docs)), "language")
-    known = judged.where((fold(at["doc_id"]) == 0) & at["lang"].isNotNull() & (F.col("lang_pred") != UNDETERMINED))
+    margin lies below ``LEAST_MARGIN`` of the labelled held-out rows' first percentile. The held-out fold is
+    judged by itself first; then one pass judges and decides, and no text is stored or shuffled for it."""
+    model = learn(docs)
+    held = docs.where((fold(F.col("doc_id")) == 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = _judged(held.select("text"), model).where(F.col("lang_pred") != UNDETERMINED)
     low = known.agg(F.percentile_approx("margin", F.lit(0.01), 10_000).alias("q")).first()["q"]
     least = LEAST_MARGIN * low if low is not None else float("-inf")
+    judged = _judged(docs, model)
+    del model
+    give_back()
     found = judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score) & (F.col("margin") >= least))
     return found.select(*[F.col(str(i)).alias(c) for i, c in enumerate(docs.columns)])
