@@ -49,37 +49,81 @@ def test_base_scores_and_gain(spark, monkeypatch, head):
     assert len(same) == 3 and same.nunique() == 1
 
 
-def test_probabilities_sum_to_one(spark):
-    rows = rows_(120)[:120]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    keyed = maxent_lm._keyed(docs)
-    model, _ = maxent_lm.learn(keyed)
-    known = sorted({w for (_, t), k in zip(rows, keyed.collect(), strict=True) if not k.held_out for w in maxent_lm.words_of(t.encode())})
+def learned(spark, n=120):
+    rows = rows_(n)[:n]
+    keyed = maxent_lm._keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    model, rest = maxent_lm.learn(keyed)
+    counts = Counter()
+    for (_, t), k in zip(rows, keyed.collect(), strict=True):
+        if not k.held_out:
+            counts.update(maxent_lm.words_of(t.encode()))
+    return model, rest, counts
+
+
+def plain_log10(model, counts, words):
+    """log10 probability of each word of a text and of its end, from the model's tables, one at a time."""
+    hashes = {w: int(maxent_lm.word_hashes([w])[0]) for w in words}
+    slots = dict(zip(model.hashes.tolist(), model.slots.tolist(), strict=True))
+    classes = [int(model.classes[maxent_lm.ending(w)]) for w in words] + [maxent_lm.END_CLASS]
+    for at, (word, cls) in enumerate(zip([*words, None], classes, strict=True)):
+        def back(k, at=at):
+            if at < k:
+                return model.features, maxent_lm.START_CLASS, maxent_lm.WITHIN
+            h = (hashes[words[at - k]] & 0x7FFFFFFF) % model.features
+            return h, classes[at - k], h % maxent_lm.WITHIN
+
+        (one, c1, r1), (two, c2, r2) = back(1), back(2)
+        rows = [one, model.features + 1 + two, 2 * (model.features + 1) + c1 * (maxent_lm.CLASSES + 1) + c2, -1]
+        x = [sum(float(model.weights[r, c]) for r in rows) for c in range(maxent_lm.CLASSES)]
+        out = x[cls] - math.log(sum(map(math.exp, x)))
+        kinds = zip(model.extras, (c1, r1, r2), strict=True)
+        tables = [e[v * maxent_lm.CLASSES + cls] for e, v in kinds]
+        y = [float(model.base[cls, k]) + sum(float(t[k]) for t in tables) for k in range(model.n_slots + 1)]
+        slot = 0 if word is None else slots.get(hashes[word], model.n_slots)
+        out += y[slot] - math.log(sum(math.exp(v) for v in y if v > -1e300))
+        if slot == model.n_slots:
+            out += math.log(counts[word] + 0.5) - math.log(model.tail_mass[cls])
+        yield out / math.log(10)
+
+
+def test_scores_equal_a_plain_reading_of_the_model(spark, monkeypatch):
+    monkeypatch.setattr(maxent_lm, "SLOTS", 3)  # so that many words share their class's last item
+    model, _, counts = learned(spark)
+    assert model.mix.shape == (3, maxent_lm.CLASSES) and (model.mix != 0.5).any()
     reader = maxent_lm.Reader(model)
+    texts = [t.encode() for _, t in rows_()[:30]] + [b"never seen before", b"", rows_()[3][1].encode()]
+    other, sizes, _, _, found = maxent_lm.batch_scores(model, reader, texts)
+    for text, rare, n, score in zip(texts, other, sizes, found, strict=True):
+        words = maxent_lm.words_of(text)
+        rest = sum(k * math.log10(counts[w] + 0.5) for w, k in rare.items())
+        assert n == len(words) + 1 and score + rest == pytest.approx(sum(plain_log10(model, counts, words)), abs=1e-3)
+
+
+def test_probabilities_sum_to_one(spark):
+    model, _, counts = learned(spark)
+    known = sorted(counts)
     for context in ([], [known[0]], [known[5], known[9]], [b"never-seen", known[2]]):
-        def log_p(word, context=context):
-            text = b" ".join([*context, word]) if word else b" ".join(context)
-            _, _, first, (h, cls, slot, count) = reader.read([text])
-            f, before = maxent_lm.feature_rows(h, cls, first)
-            x = model.class_logits(f).astype("float64")
-            at = len(context)
-            p = x[at, cls[at]] - math.log(np.exp(x[at]).sum()) + model.within[before[at], cls[at], slot[at]] * math.log(10)
-            return p + (math.log(max(count[at], 0) + 0.5) - math.log(model.tail_mass[cls[at]]) if slot[at] == maxent_lm.SLOTS else 0)
-
-        total = math.exp(log_p(b"")) + sum(math.exp(log_p(w)) for w in known)
+        of = lambda word, context=context: 10 ** list(plain_log10(model, counts, [*context, word]))[len(context)]
+        total = 10 ** list(plain_log10(model, counts, context))[-1] + sum(map(of, known))
         # one unseen word of every class; the end's class has none
-        f, before = maxent_lm.feature_rows(*[c for c in _context(reader, context)])
-        x = model.class_logits(f)[-1].astype("float64")
-        share = np.exp(x) / np.exp(x).sum()
-        tail = 10.0 ** model.within[before[-1], :, maxent_lm.SLOTS]
-        unseen = share * tail * 0.5 / model.tail_mass
-        total += unseen[: maxent_lm.END_CLASS].sum()
-        assert total == pytest.approx(1, abs=1e-4)
-
-
-def _context(reader, context):
-    _, _, first, (h, cls, _, _) = reader.read([b" ".join(context)])
-    return h, cls, first
+        new = {}
+        for i in range(20_000):
+            word = b"?%d" % i
+            new.setdefault(int(model.classes[maxent_lm.ending(word)]), word)
+        total += sum(of(w) for w in new.values())
+        assert len(new) == maxent_lm.END_CLASS and total == pytest.approx(1, abs=1e-4)
+
+
+def test_hashed_features_reach_the_words(spark):
+    """Two words of one class whose use depends on the word before alone."""
+    pairs = [("left", "xxing"), ("right", "yying")]
+    rows = [(i, " ".join(" ".join(pairs[(i * 7 + k * k) % 2]) for k in range(30))) for i in range(300)]
+    keyed = maxent_lm._keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    model, _ = maxent_lm.learn(keyed)
+    assert model.classes[maxent_lm.ending(b"xxing")] == model.classes[maxent_lm.ending(b"yying")]
+    reader = maxent_lm.Reader(model)
+    told = maxent_lm.batch_scores(model, reader, [b"left xxing", b"left yying", b"right yying", b"right xxing"])[-1]
+    assert told[0] > told[1] + 1 and told[2] > told[3] + 1
 
 
 def test_small_tables(spark):

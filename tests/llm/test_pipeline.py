@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from chronolake.llm import jaccard_join, language_id, quality, suffix_dedup
-from chronolake.llm.suffix_dedup import LENGTH
+from chronolake.llm.suffix_dedup import PASSAGE as LENGTH
 
 SYLLABLES = {"aa": ["ka", "lo", "mi", "tes"], "bb": ["zwö", "fix", "grt", "sol"]}
 
@@ -36,12 +36,12 @@ def write(spark, folder):
     return docs
 
 
-def test_run_equals_the_stages_by_brute_force(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(quality, "SAMPLE", 100)
+def test_run_equals_the_stages_by_brute_force(spark, tmp_path):
     folder = str(tmp_path)
     docs = write(spark, folder)
     # the first two stages decide by model: their row-wise operators say what is left
-    told = {r.doc_id for r in language_id.predictions(docs).collect() if r.lang_pred != "und" and r.score >= 0.3}
+    told = {r.doc_id for r in language_id.keep_identified(docs).collect()}
+    assert told <= {r.doc_id for r in language_id.predictions(docs).collect() if r.lang_pred != "und" and r.score >= 0.3}
     left = docs.where(docs.doc_id.isin([i for i in told if i is not None]) | docs.doc_id.isNull())
     good = {r.doc_id for r in quality.judged(left, quality.labels_of(spark, folder)).collect() if r.keep}
     texts = {r.doc_id: r.text for r in left.collect() if r.doc_id in good}
@@ -85,4 +85,4 @@ def test_stages_keep_the_columns(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns, name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "quality classifier", "n-gram Jaccard join", "suffix-array dedup", "best-fit packing"]
-    assert jaccard_join.THRESHOLD == 0.8 and suffix_dedup.LENGTH == 400
+    assert jaccard_join.THRESHOLD == 0.8 and suffix_dedup.LENGTH == 400 and suffix_dedup.PASSAGE < 50 * 6

@@ -8,7 +8,7 @@ from chronolake.llm import suffix_dedup
 from chronolake.llm.suffix_dedup import LENGTH
 
 
-def brute(texts):
+def brute(texts, LENGTH=LENGTH):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + LENGTH] for d in data for i in range(len(d) - LENGTH + 1))
     for d in data:
@@ -46,7 +46,53 @@ def test_against_brute_force(spark, monkeypatch, hot):
     rows = texts()
     docs = spark.createDataFrame([(i % 110, t, 1, "k") for i, t in enumerate(rows)], "doc_id long, text string, n_bytes int, k1 string")
     got = Counter(tuple(r) for r in suffix_dedup.removal_digests(docs.repartition(5)).collect())
-    assert got == Counter((i % 110, *b) for i, b in enumerate(brute(rows)))
+    shared = [n for _, n, _, _ in brute(rows, suffix_dedup.PASSAGE)]
+    assert got == Counter((i % 110, *b, n) for (i, b), n in zip(enumerate(brute(rows)), shared, strict=True))
+
+
+@pytest.mark.parametrize("hot", [512, 3])
+def test_groups_hold_all_occurrences(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rows = list(enumerate(texts()))
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, size int")
+    data = {i: (t or "").encode() for i, t in rows}
+    groups = {}
+    for r in suffix_dedup.repeat_groups(docs.repartition(3), 200).collect():
+        groups.setdefault((r.repeat, r["size"]), []).append((r.doc_id, r.start))
+    under = {i: bytearray(len(d)) for i, d in data.items()}
+    for (_, size), places in groups.items():
+        (string,) = {data[i][at : at + size] for i, at in places}
+        assert len(string) == size >= 200
+        true = []
+        for i, d in data.items():
+            at = d.find(string)
+            while at >= 0:
+                true.append((i, at))
+                under[i][at : at + size] = b"\1" * size
+                at = d.find(string, at + 1)
+        assert sorted(places) == sorted(true) and len(true) > 1
+    assert [sum(u) for u in under.values()] == [n for _, n, _, _ in brute([t for _, t in rows], 200)]
+
+
+def test_maximal_repeats_equal_brute_force():
+    rng = random.Random(5)
+    for _ in range(200):
+        fragments = {"".join(rng.choice("ab") for _ in range(rng.randrange(7))) + "#" + "".join(rng.choice("ab") for _ in range(rng.randrange(7))) for _ in range(rng.randrange(1, 12))}
+        given = [(f.encode(), f.index("#")) for f in sorted(fragments)]
+        holders = {}
+        for i, (f, at) in enumerate(given):
+            for left in range(at + 1):
+                for right in range(1, len(f) - at + 1):
+                    holders.setdefault((left, f[at - left : at + right]), set()).add(i)
+        true = set()
+        for (left, string), own in holders.items():
+            right = len(string) - left
+            before = {given[i][0][given[i][1] - left - 1 : given[i][1] - left] if given[i][1] > left else i for i in own}
+            after = {given[i][0][given[i][1] + right : given[i][1] + right + 1] or i for i in own}
+            if len(string) >= 4 and len(own) > 1 and len(before) > 1 and len(after) > 1:
+                true.add((left, right, frozenset(own)))
+        got = [(left, right, frozenset(own)) for left, right, own in suffix_dedup.maximal_repeats(given, 4)]
+        assert len(got) == len(set(got)) and set(got) == true
 
 
 def test_chunks_agree_with_the_whole(monkeypatch):
