@@ -6,12 +6,19 @@ log P(text) is the sum over its words and its end of log P(class | context) + lo
   the endings before them. Endings (hashed) are clustered by these into ``CLASSES`` - 1 classes, so a word's
   class follows from its spelling and words that were never seen have one; the end has its own.
 * Features of the class softmax, hashed into ``FEATURES`` rows each: the word before (n-gram), the word
-  before that (skip), and the pair of their classes. Within a class the ``SLOTS`` most frequent words (both
-  are least sizes, and grow with the number of frequent words up to a stated bound) and one item for all others form a softmax that depends on the class before; the others share their item's
-  probability by (count + 0.5), unseen ones together counting once, so that all sums to one.
+  before that (skip), and the pair of their classes.
+* Within a class the ``SLOTS`` most frequent words (both are least sizes, and grow with the number of
+  frequent words up to a stated bound) and one item for all others form a second softmax, with features of
+  the same kinds: the class before, the word before and the word before that, the words hashed into
+  ``WITHIN`` rows. The words of the last item share its probability by (count + 0.5), unseen ones together
+  counting once, so that all sums to one.
 * Training is distributed: in each of ``ROUNDS`` rounds the tasks take the weights by broadcast, make
-  minibatch gradient updates over their own documents of that round's share (together: all), and hand
-  over how far they moved; the moves are averaged by number of tokens.
+  minibatch gradient updates of the class weights over their own documents of that round's share (together:
+  all), and hand over how far they moved; the moves are averaged by number of tokens. They hand over as well
+  how often each word of a slot met each value of a feature. Weights within the classes are fitted to these
+  counts by gradient ascent, each kind by itself; in the last round the tasks also sum gradient and
+  curvature of how much each kind counts beside the others (``mix``, by class), on documents that the
+  weights then used don't know. What a task hands over meets in ``PIECES`` groups.
 * Scoring is one pass in sparse numpy batches. Words that occur ``2**b`` times or more, at most
   ``HEAD_WORDS`` of them, have their counts broadcast (by 64-bit hash); the others, which are rare by
   construction, meet theirs in a join.
@@ -35,12 +42,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolake.llm.ann_search import k_means
-from chronolake.llm.common import content_key, fold, materialise
+from chronolake.llm.common import Scratch, content_key, fold, give_back, k_means, materialise
 
 CLASSES, ENDINGS, AROUND = 64, 2048, 128
 #: Least and most sizes of the context model; ``sizes_of`` picks them by the corpus. Weights go to each task.
 SLOTS, FEATURES, MOST_SLOTS, MOST_FEATURES = 64, 2048, 128, 8192
+#: Hashed rows of each word feature within the classes.
+WITHIN = 128
+#: Parts into which the weights are cut where the tasks' moves meet.
+PIECES = 64
 #: A word that is counted in these sizes occurs 2**OFTEN times or more.
 OFTEN = 6
 ROUNDS, STEP_TOKENS, RATE = 3, 4096, 0.1
@@ -68,9 +78,10 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def _logits(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    x = w[rows[0]]
-    x += w[rows[1]]
-    x += w[rows[2]]
+    x = np.take(w, rows[0], axis=0)
+    more = np.empty_like(x)
+    for which in rows[1:]:
+        x += np.take(w, which, axis=0, out=more, mode="clip")
     x += w[-1]
     return x
 
@@ -100,12 +111,31 @@ class Model:
     slots: np.ndarray
     tail_mass: np.ndarray  # by class: (count + 0.5) of the words without a slot, and 0.5 for the unseen
     weights: np.ndarray  # by feature row and class
-    within: np.ndarray  # log10 probability by class before, class, slot
+    base: np.ndarray  # log share of each slot in its class; -inf: no such slot
+    extras: list[np.ndarray]  # by kind of feature: weights of slots, a row for each value and class
+    mix: np.ndarray  # by kind of feature and class
+
+    def weigh(self) -> None:
+        """Takes ``mix`` into the weights."""
+        for kind, extra in enumerate(self.extras):
+            extra *= np.tile(self.mix[kind], len(extra) // CLASSES)[:, None]
+
+    def within_logits(self, values: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Of the slots in each token's class, given the values of its three features."""
+        x = np.take(self.base, classes, axis=0)
+        more = np.empty_like(x)
+        for extra, value in zip(self.extras, values, strict=True):
+            x += np.take(extra, value * CLASSES + classes, axis=0, out=more, mode="clip")
+        return x
 
     def class_logits(self, rows: np.ndarray) -> np.ndarray:
         return _logits(self.weights, rows)
 
 
+#: Values of the features within classes: the class before, the word before, the word before that.
+VALUES = (CLASSES + 1, WITHIN + 1, WITHIN + 1)
+
+
 def sizes_of(levels: dict[int, int]) -> tuple[int, int]:
     """Feature rows and slots for a corpus with ``levels[b]`` words that occur 2**b to 2**(b+1) - 1 times."""
     often = sum(k for b, k in levels.items() if b >= OFTEN)
@@ -136,6 +166,12 @@ def feature_rows(words: np.ndarray, classes: np.ndarray, first: np.ndarray, feat
     return np.stack([one, features + 1 + two, pair]), c1
 
 
+def within_values(rows: np.ndarray, before: np.ndarray, features: int) -> np.ndarray:
+    """Values of the three features within classes: the class before, and the two words before by hash."""
+    one, two = rows[0], rows[1] - (features + 1)
+    return np.stack([before, np.where(one == features, WITHIN, one % WITHIN), np.where(two == features, WITHIN, two % WITHIN)])
+
+
 def n_rows(features: int) -> int:
     return 2 * (features + 1) + (CLASSES + 1) ** 2 + 1  # the last is the bias
 
@@ -271,23 +307,23 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _within(cells: np.ndarray, exists: np.ndarray, rounds: int = 60, keep: float = 4.0) -> np.ndarray:
-    """log10 P(slot | class before, class): weights of slots and of slots with the class before, by gradient
-    ascent on the gathered counts, with a quadratic penalty on the latter. ``exists``: slots of each class."""
-    cells = cells.astype("float64")
+def _base(cells: np.ndarray, exists: np.ndarray) -> np.ndarray:
+    """Log share of each slot in its class. ``exists``: slots of each class."""
     used = np.where(exists, cells.sum(axis=0) + 0.1, 0)
     with np.errstate(divide="ignore"):
-        base = np.log(used / used.sum(axis=1, keepdims=True))
+        return np.log(used / used.sum(axis=1, keepdims=True))
+
+
+def _extra(cells: np.ndarray, base: np.ndarray, rounds: int = 60, keep: float = 4.0) -> np.ndarray:
+    """Weights of slots with each value of a feature, beside ``base``, by gradient ascent on the gathered
+    counts (value, class, slot), with a quadratic penalty; a row for each value and class."""
     total = cells.sum(axis=2, keepdims=True)
-    extra, rate = np.zeros_like(cells), 1.0 / (0.25 * total + keep)
+    extra, rate = np.zeros(cells.shape), 1.0 / (0.25 * total + keep)
     for _ in range(rounds):
-        x = base[None] + extra
-        p = np.exp(x - x.max(axis=2, keepdims=True))
+        p = np.exp(base[None] + extra)
         p /= p.sum(axis=2, keepdims=True)
         extra += rate * (cells - total * p - keep * extra)
-    x = base[None] + extra
-    x -= x.max(axis=2, keepdims=True)
-    return ((x - np.log(np.exp(x).sum(axis=2, keepdims=True))) / math.log(10)).astype("float32")
+    return extra.reshape(-1, cells.shape[2]).astype("float32")
 
 
 def learn(keyed: DataFrame) -> tuple[Model | None, DataFrame]:
@@ -313,7 +349,8 @@ def learn(keyed: DataFrame) -> tuple[Model | None, DataFrame]:
             of = shared.value[[ending(w) for w in batch["word"]]] if len(batch) else []
             yield pd.DataFrame({"h": word_hashes(batch["word"].tolist()), "cls": of, "n": batch["n"]})
 
-    every = materialise(counts.mapInPandas(classed, "h long, cls int, n long"), "classed")
+    scratch = Scratch(spark)
+    every = scratch.store(counts.mapInPandas(classed, "h long, cls int, n long"), "classed")
     sums = every.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("k")).toPandas().set_index("cls")
     head = every.where(F.col("n") >= 2.0**least).toArrow()
     h, cls, n = (head[c].to_numpy().astype("int64") for c in ("h", "cls", "n"))
@@ -334,59 +371,103 @@ def learn(keyed: DataFrame) -> tuple[Model | None, DataFrame]:
     bias[END_CLASS] += n_docs
     weights = np.zeros((n_rows(features), CLASSES), "float32")
     weights[-1] = np.log(bias / bias.sum())
-    model = Model(features, n_slots, tokens, int(sums["k"].sum()) + 1, n_docs, classes, h[order], n[order], slot[order], mass, weights, None)
-    slots = np.zeros((CLASSES + 1) * CLASSES * (n_slots + 1))
-    for turn in range(ROUNDS):
-        part = train.where(F.pmod("k2", F.lit(ROUNDS)) == turn)
-        moved, seen = _round(part, model)
-        model.weights = model.weights + moved
-        slots += seen
-    cells = slots.reshape(CLASSES + 1, CLASSES, n_slots + 1)
     exists = np.zeros((CLASSES, n_slots + 1), bool)
     exists[cls[own], slot[own]] = True
     exists[:END_CLASS, n_slots] = exists[END_CLASS, 0] = True  # unseen words belong to the last item of their class
-    model.within = _within(cells, exists)
+    none = np.zeros((CLASSES, n_slots + 1), "float32")
+    model = Model(features, n_slots, tokens, int(sums["k"].sum()) + 1, n_docs, classes, h[order], n[order], slot[order], mass, weights, none, [], np.full((3, CLASSES), 0.5))
+    cells = [np.zeros((k, CLASSES, n_slots + 1)) for k in VALUES]
+
+    def fitted() -> tuple[np.ndarray, list[np.ndarray]]:
+        base = _base(cells[0], exists)
+        return base.astype("float32"), [_extra(c, base) for c in cells]
+
+    for turn in range(ROUNDS):
+        part, last = train.where(F.pmod("k2", F.lit(ROUNDS)) == turn), turn == ROUNDS - 1
+        if last:
+            model.base, model.extras = fitted()
+        moved, seen, slopes = _round(part, model, last)
+        model.weights = model.weights + moved
+        at = 0
+        for c in cells:
+            c += seen[at : at + c.size].reshape(c.shape)
+            at += c.size
+    gradient, curvature = slopes[: 3 * CLASSES].reshape(3, CLASSES), slopes[3 * CLASSES :].reshape(3, 3, CLASSES)
+    step = np.linalg.solve(curvature.transpose(2, 0, 1) + 10.0 * np.eye(3), gradient.T[:, :, None])[:, :, 0].T
+    model.mix = np.clip(model.mix + step, 0, 1)
+    model.base, model.extras = fitted()
+    model.weigh()
+    scratch.clear()
+    give_back()
     return model, rest
 
 
-def _round(part: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """How far all tasks together move the weights, and counts of (class before, class, slot)."""
+def _round(part: DataFrame, model: Model, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How far all tasks together move the class weights, how often slots met values of the features within
+    classes and, in the last round, gradient and curvature of the mix."""
     shared = part.sparkSession.sparkContext.broadcast(model)
+    width = model.n_slots + 1
+    n_cells, n_slopes = sum(VALUES) * CLASSES * width, 12 * CLASSES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
         reader, w = Reader(model), model.weights.copy()
         heat = np.ones(w.shape, "float32")
-        slots, n = np.zeros((CLASSES + 1) * CLASSES * (model.n_slots + 1), "int64"), 0
+        seen, slopes, n = np.zeros(n_cells, "int64"), np.zeros(n_slopes), 0
         for batch in batches:
             texts = batch["data"].tolist()
             for at in range(0, len(texts), BATCH):
                 _, _, first, (words, classes, slot, _) = reader.read(texts[at : at + BATCH])
-                rows, c1 = feature_rows(words, classes, first, model.features)
-                slots += np.bincount((c1 * CLASSES + classes) * (model.n_slots + 1) + slot, minlength=len(slots))
+                rows, before = feature_rows(words, classes, first, model.features)
+                values = within_values(rows, before, model.features)
+                low = 0
+                for value, k in zip(values, VALUES, strict=True):
+                    high = low + k * CLASSES * width
+                    seen[low:high] += np.bincount((value * CLASSES + classes) * width + slot, minlength=high - low)
+                    low = high
                 n += len(words)
                 for i in range(0, len(words), STEP_TOKENS):
-                    _update(w, heat, rows[:, i : i + STEP_TOKENS], classes[i : i + STEP_TOKENS])
+                    step = slice(i, i + STEP_TOKENS)
+                    _update(w, heat, rows[:, step], classes[step])
+                    if last:
+                        _add_slopes(slopes, model, values[:, step], classes[step], slot[step])
         if n:
             moved = ((w - model.weights) * np.float32(n)).ravel()
-            for k, x in enumerate(np.array_split(moved, 16)):
-                yield pd.DataFrame({"k": [k], "n": [n], "x": [x.astype("float32").tobytes()]})
-            for k, x in enumerate(np.array_split(slots, 16)):
-                yield pd.DataFrame({"k": [16 + k], "n": [n], "x": [x.astype("int64").tobytes()]})
+            for k, (x, y) in enumerate(zip(np.array_split(moved, PIECES), np.array_split(seen, PIECES), strict=True)):
+                yield pd.DataFrame({"k": [k, PIECES + k], "n": n, "x": [x.astype("float32").tobytes(), y.astype("int32").tobytes()]})
+            yield pd.DataFrame({"k": [2 * PIECES], "n": [n], "x": [slopes.tobytes()]})
 
     def added(group: pd.DataFrame) -> pd.DataFrame:
         k = int(group["k"].iloc[0])
-        kind = "float32" if k < 16 else "int64"
+        kind = "float32" if k < PIECES else "int32" if k < 2 * PIECES else "float64"
         total = sum(np.frombuffer(x, kind).astype("float64") for x in group["x"])
         return pd.DataFrame({"k": [k], "n": [group["n"].sum()], "x": [total.tobytes()]})
 
     out = part.select("data").mapInPandas(run, "k int, n long, x binary").groupBy("k").applyInPandas(added, "k int, n long, x binary")
     rows = out.toPandas().sort_values("k")
     if not len(rows):
-        return np.zeros_like(model.weights), 0
+        return np.zeros_like(model.weights), np.zeros(n_cells), np.zeros(n_slopes)
     parts = [np.frombuffer(x, "float64") for x in rows["x"]]
-    moved = np.concatenate(parts[:16]) / rows["n"].iloc[0]
-    return moved.reshape(model.weights.shape).astype("float32"), np.concatenate(parts[16:])
+    moved = np.concatenate(parts[:PIECES]) / rows["n"].iloc[0]
+    return moved.reshape(model.weights.shape).astype("float32"), np.concatenate(parts[PIECES : 2 * PIECES]), parts[-1]
+
+
+def _add_slopes(slopes: np.ndarray, model: Model, values: np.ndarray, classes: np.ndarray, slot: np.ndarray) -> None:
+    """Adds these tokens' gradient (kind, class) and curvature (kind, kind, class) of their log probability
+    within the class by the mix, at the mix as it is."""
+    parts = [np.take(e, v * CLASSES + classes, axis=0) for e, v in zip(model.extras, values, strict=True)]
+    x = np.take(model.base, classes, axis=0)
+    for kind, part in enumerate(parts):
+        x += part * model.mix[kind][classes].astype("float32")[:, None]
+    p, ones, own = _softmax(x), np.ones(x.shape[1], x.dtype), np.arange(len(classes))
+    weighted = [p * part for part in parts]
+    means = [y @ ones for y in weighted]
+    at = 3 * CLASSES
+    for i, part in enumerate(parts):
+        slopes[i * CLASSES : (i + 1) * CLASSES] += np.bincount(classes, part[own, slot] - means[i], CLASSES)
+        for j, y in enumerate(weighted):
+            slopes[at : at + CLASSES] += np.bincount(classes, np.einsum("ij,ij->i", part, y) - means[i] * means[j], CLASSES)
+            at += CLASSES
 
 
 def _update(w: np.ndarray, heat: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
@@ -406,18 +487,25 @@ def _update(w: np.ndarray, heat: np.ndarray, rows: np.ndarray, classes: np.ndarr
     w[-1] -= RATE * g / np.sqrt(heat[-1])
 
 
+def _log_share(x: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Log of the share that each row's item ``which`` has in its softmax; ``x`` is used up."""
+    own = x[np.arange(len(x)), which]
+    return own - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
+
+
 def batch_scores(model: Model, reader: Reader, texts: list[bytes]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each text: the words that aren't head words, with their number; tokens; known head words; the sum of
     log10(count + 0.5) over head words; and the log10 probability, both still without that sum over the others."""
     words, sizes, first, (hashes, classes, slot, count) = reader.read(texts)
-    rows, c1 = feature_rows(hashes, classes, first, model.features)
+    rows, before = feature_rows(hashes, classes, first, model.features)
+    values = within_values(rows, before, model.features)
     scores = np.empty(len(hashes))
     for i in range(0, len(hashes), STEP_TOKENS):
         part = slice(i, i + STEP_TOKENS)
         x = _less_top(model.class_logits(rows[:, part]))
-        own = x[np.arange(len(x)), classes[part]]
-        scores[part] = (own - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))) / math.log(10)
-    scores += model.within[c1, classes, slot]
+        scores[part] = _log_share(x, classes[part])
+        scores[part] += _log_share(_less_top(model.within_logits(values[:, part], classes[part])), slot[part])
+    scores /= math.log(10)
     half = np.log10(np.maximum(count, 0) + 0.5)
     half[count < 0] = 0
     tail = (slot == model.n_slots) & (classes != END_CLASS)
