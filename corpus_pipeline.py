@@ -36,8 +36,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that also start elsewhere are cut out; every document stays, n_chars follows."""
-    cleaned = suffix_dedup.remove_repeats(docs).drop("removed")
+    """Strings of ``suffix_dedup.PASSAGE`` bytes that also start elsewhere are cut out: passages of over 50
+    words are longer. Every document stays, n_chars follows."""
+    cleaned = suffix_dedup.remove_repeats(docs, suffix_dedup.PASSAGE).drop("removed")
     if "n_chars" not in docs.columns:
         return cleaned
     kind = docs.schema["n_chars"].dataType
