@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,6 +105,41 @@ def probabilities(points: DataFrame, limits: DataFrame) -> DataFrame:
     return points.join(limits, "series_id").select("series_id", "t", (1 / (1 + F.exp(-(F.col("score") - F.col("threshold")) / scale))).alias("probability"))
 
 
+def _moments(rows: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Means and sample covariances of columns: one row of sums."""
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    r = rows.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.covar_samp(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    cov = np.zeros((len(columns), len(columns)))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = r[f"c{i}_{j}"]
+    return np.array([r[f"m{i}"] for i in range(len(columns))]), cov
+
+
+def align(source: DataFrame, target: DataFrame, columns: list[str], epsilon: float = 1e-6) -> DataFrame:
+    """``source`` with its columns transformed to the means and covariances of ``target``'s: whitened by its own
+    covariance, coloured by the other. Columns squared come to the driver, no rows."""
+    (m, a), (n, b) = _moments(source, columns), _moments(target, columns)
+
+    def power(cov: np.ndarray, p: float) -> np.ndarray:
+        values, vectors = np.linalg.eigh(cov + epsilon * np.eye(len(columns)))
+        return (vectors * np.maximum(values, epsilon) ** p) @ vectors.T
+
+    w = power(a, -0.5) @ power(b, 0.5)
+    new = {c: sum(((F.col(x) - float(m[i])) * float(w[i, k]) for i, x in enumerate(columns)), F.lit(float(n[k]))) for k, c in enumerate(columns)}
+    return source.withColumns(new)
+
+
+def transfer_report(rows: DataFrame, domain: str, source: str, target: str, columns: list[str]) -> DataFrame:
+    """column, n_source, n_target, source_mean, target_mean, mean_shift, source_std, target_std of two domains."""
+    sides = {"source": F.col(domain) == source, "target": F.col(domain) == target}
+    parts = []
+    for c in columns:
+        of = {k: F.when(v, F.col(c)) for k, v in sides.items()}
+        parts.append(F.struct(F.lit(c).alias("column"), *[F.count_if(v).alias(f"n_{k}") for k, v in sides.items()], *[F.avg(x).alias(f"{k}_mean") for k, x in of.items()], *[F.stddev_pop(x).alias(f"{k}_std") for k, x in of.items()]))
+    out = rows.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    return out.withColumn("mean_shift", F.col("target_mean") - F.col("source_mean"))
+
+
 def detect(long: DataFrame, width: int = 8, stride: int = 2) -> DataFrame:
     """The whole chain: windows, statistics, scores, points, MAD threshold, events, regimes."""
     windows = window_statistics(sliding(long, width, stride))

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolake.operators.layouts import by_series, to_panel, whole_series
+from chronolake.operators.layouts import by_series, whole_series
 
 BASIC = ["mean", "median", "std", "max", "min", "q5", "q25", "q75", "q95"]
 
@@ -118,13 +119,25 @@ def benford(long: DataFrame) -> DataFrame:
 
 
 def moving_median(long: DataFrame) -> DataFrame:
-    """moving_median: mean of the medians of all windows of max(2, n // 10) values."""
-    panel = to_panel(long).withColumn("n", F.size("values"))
-    panel = panel.withColumn("span", F.greatest(F.lit(2), F.floor(F.col("n") / 10).cast("int")))
-    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - F.col("span") + 1)), lambda i: F.array_sort(F.slice("values", i, F.col("span"))))
-    low, high = F.floor((F.col("span") - 1) / 2).cast("int"), F.floor(F.col("span") / 2).cast("int")
-    medians = F.transform(parts, lambda x: (F.get(x, low) + F.get(x, high)) / 2)
-    return panel.select("series_id", (F.aggregate(medians, F.lit(0.0), lambda a, x: a + x) / F.size(medians)).alias("moving_median"))
+    """moving_median: mean of the medians of all windows of max(2, n // 10) values; one value where there is none.
+
+    A running median over each series' values, which one task holds."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        v = group.sort_values("t")["value"]
+        medians = v.rolling(max(2, len(v) // 10)).median().dropna()
+        return pd.DataFrame({"series_id": group["series_id"].iloc[:1], "moving_median": [medians.mean() if len(medians) else v.median()]})
+
+    kind = long.schema["series_id"].dataType.simpleString()
+    return long.select("series_id", "t", "value").groupBy("series_id").applyInPandas(run, f"series_id {kind}, moving_median double")
+
+
+def distribution_entropy(long: DataFrame) -> DataFrame:
+    """base_entropy: natural entropy of the values as shares of their sum (positive shares count); below: values under
+    0.01."""
+    p = F.try_divide(F.col("value"), F.sum("value").over(whole_series()))
+    rows = long.select("series_id", "value", p.alias("p"))
+    return rows.groupBy("series_id").agg((-F.sum(F.when(F.col("p") > 0, F.col("p") * F.ln("p")))).alias("base_entropy"), F.count_if(F.col("value") < 0.01).alias("below"))
 
 
 def all_features(long: DataFrame) -> DataFrame:

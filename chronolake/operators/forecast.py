@@ -87,16 +87,25 @@ def _by_series(long: DataFrame, forecast, horizon: int) -> DataFrame:
     return long.select("series_id", "t", "value").groupBy("series_id").applyInPandas(run, f"series_id {kind}, h long, y double")
 
 
-def ridge(x: np.ndarray, y: np.ndarray, strength: float) -> np.ndarray:
-    """Coefficients, the intercept (not penalised) last."""
-    x = np.column_stack([x, np.ones(len(x))])
-    penalty = strength * np.eye(x.shape[1])
-    penalty[-1, -1] = 0
-    return np.linalg.lstsq(x.T @ x + penalty, x.T @ y, rcond=None)[0]
+#: Most lags of the models that are fitted to one series: what they solve has so many rows and columns.
+MOST_LAGS = 128
+#: Windows of a series that are looked at together.
+CHUNK = 8192
 
 
-def _recursive(x: np.ndarray, y: np.ndarray, tail: np.ndarray, horizon: int, strength: float) -> list[float]:
-    w, out = ridge(x, y, strength), []
+def windows_of(v: np.ndarray, width: int) -> np.ndarray:
+    return np.lib.stride_tricks.sliding_window_view(v, width)
+
+
+def _recursive(v: np.ndarray, lag: int, horizon: int, strength: float) -> list[float]:
+    """Ridge on the ``lag`` values before, applied to its own forecasts; sums of products by chunks of windows."""
+    gram, top, x = np.zeros((lag + 1, lag + 1)), np.zeros(lag + 1), windows_of(v[:-1], lag)
+    for at in range(0, len(x), CHUNK):
+        part = np.column_stack([x[at : at + CHUNK], np.ones(len(x[at : at + CHUNK]))])
+        gram += part.T @ part
+        top += part.T @ v[lag + at : lag + at + len(part)]
+    gram[np.arange(lag), np.arange(lag)] += strength
+    w, tail, out = np.linalg.lstsq(gram, top, rcond=None)[0], v[-lag:], []
     for _ in range(horizon):
         out.append(float(tail @ w[:-1] + w[-1]))
         tail = np.r_[tail[1:], out[-1]]
@@ -104,51 +113,129 @@ def _recursive(x: np.ndarray, y: np.ndarray, tail: np.ndarray, horizon: int, str
 
 
 def lagged_ridge(long: DataFrame, horizon: int, strength: float = 1.0) -> DataFrame:
-    """Ridge regression of each value on the tenth of the series (at least 2) before it, applied recursively."""
+    """Ridge regression of each value on the tenth of the series (2 to ``MOST_LAGS``) before it, applied recursively."""
 
     def forecast(v: np.ndarray, h: int) -> list[float]:
-        w = min(max(2, round(0.1 * len(v))), len(v) - 1)
-        if w < 1:
-            return [float(v[-1])] * h
-        x = np.lib.stride_tricks.sliding_window_view(v[:-1], w)
-        return _recursive(x, v[w:], v[-w:], h, strength)
+        w = min(max(2, round(0.1 * len(v))), len(v) - 1, MOST_LAGS)
+        return _recursive(v, w, h, strength) if w >= 1 else [float(v[-1])] * h
 
     return _by_series(long, forecast, horizon)
 
 
-def truncated(m: np.ndarray, share: float) -> np.ndarray:
-    """The least rank of a matrix that explains ``share`` of its squared singular values."""
-    u, s, v = np.linalg.svd(m, full_matrices=False)
+def directions(v: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values, largest first, and right singular vectors (as columns) of the trajectory matrix (windows as
+    rows), from its products summed by chunks."""
+    gram, x = np.zeros((width, width)), windows_of(v, width)
+    for at in range(0, len(x), CHUNK):
+        gram += x[at : at + CHUNK].T @ x[at : at + CHUNK]
+    values, vectors = np.linalg.eigh(gram)
+    return np.sqrt(np.maximum(values[::-1], 0)), vectors[:, ::-1]
+
+
+def rank_of(s: np.ndarray, share: float, least: int = 1) -> int:
+    """The least rank that explains ``share`` of the squared singular values."""
     energy = np.cumsum(s * s)
-    k = int(np.searchsorted(energy, share * energy[-1])) + 1 if energy[-1] > 0 else 1
-    return (u[:, :k] * s[:k]) @ v[:k]
+    rank = int(np.searchsorted(energy, share * energy[-1] * (1 - 1e-12))) + 1 if energy[-1] > 0 else 1
+    return min(len(s), max(least, rank))
+
+
+def trajectory_width(n: int) -> int:
+    """A third of the series, at most ``MOST_LAGS``."""
+    return max(1, min(n // 3, MOST_LAGS))
 
 
-def diagonals(m: np.ndarray) -> np.ndarray:
-    """A trajectory matrix (windows as rows) back to a series, by averages over the anti-diagonals."""
-    rows, width = m.shape
-    at = np.arange(rows)[:, None] + np.arange(width)[None, :]
-    return np.bincount(at.ravel(), m.ravel()) / np.bincount(at.ravel())
+def smoothed(v: np.ndarray, share: float) -> np.ndarray:
+    """The series from its trajectory matrix at low rank, by averages over the anti-diagonals, chunk by chunk."""
+    width = trajectory_width(len(v))
+    s, vectors = directions(v, width)
+    basis, x = vectors[:, : rank_of(s, share)], windows_of(v, width)
+    total, times = np.zeros(len(v)), np.zeros(len(v))
+    for at in range(0, len(x), CHUNK):
+        part = x[at : at + CHUNK] @ basis @ basis.T
+        for k in range(width):
+            total[at + k : at + k + len(part)] += part[:, k]
+            times[at + k : at + k + len(part)] += 1
+    return total / times
 
 
 def ssa(long: DataFrame, horizon: int, share: float = 0.95) -> DataFrame:
     """Singular spectrum analysis: the trajectory matrix at low rank, averaged back, then lagged ridge."""
 
     def forecast(v: np.ndarray, h: int) -> list[float]:
-        w = max(2, len(v) // 3)
         if len(v) < 4:
             return [float(v[-1])] * h
-        smooth = diagonals(truncated(np.lib.stride_tricks.sliding_window_view(v, w), share))
-        lag = min(w, 12, len(v) - 2)
-        return _recursive(np.lib.stride_tricks.sliding_window_view(smooth[:-1], lag), smooth[lag:], smooth[-lag:], h, 1e-3)
+        return _recursive(smoothed(v, share), min(max(2, len(v) // 3), 12, len(v) - 2), h, 1e-3)
+
+    return _by_series(long, forecast, horizon)
+
+
+def low_rank_ridge(long: DataFrame, horizon: int, share: float = 0.95, strength: float = 1.0) -> DataFrame:
+    """Ridge regression of the ``horizon`` values that follow on the window before them, a tenth of the series
+    (horizon + 2 to ``MOST_LAGS``), projected on its leading directions (two at least)."""
+
+    def forecast(v: np.ndarray, h: int) -> list[float]:
+        w = min(max(h + 2, round(0.1 * len(v))), MOST_LAGS)
+        if len(v) < w + h + 2:
+            return [float(v[-1])] * h
+        x, y = windows_of(v[:-h], w), windows_of(v[w:], h)
+        s, vectors = directions(v[:-h], w)
+        basis = vectors[:, : rank_of(s, share, 2)]
+        k = basis.shape[1]
+        gram, top = np.zeros((k + 1, k + 1)), np.zeros((k + 1, h))
+        for at in range(0, len(x), CHUNK):
+            part = np.column_stack([x[at : at + CHUNK] @ basis, np.ones(len(x[at : at + CHUNK]))])
+            gram += part.T @ part
+            top += part.T @ y[at : at + CHUNK]
+        gram[np.arange(k), np.arange(k)] += strength
+        return (np.r_[v[-w:] @ basis, 1.0] @ np.linalg.lstsq(gram, top, rcond=None)[0]).tolist()
 
     return _by_series(long, forecast, horizon)
 
 
+def forced_operator(long: DataFrame, horizon: int, share: float = 0.99, decay: float = 0.85) -> DataFrame:
+    """Leading coordinates of the trajectory matrix, the last of them as a forcing: linear transitions of the others
+    by all of them, and of the forcing by itself; forecasts advance the state, the forcing fading by ``decay``."""
+
+    def forecast(v: np.ndarray, h: int) -> list[float]:
+        w = min(max(h + 2, round(0.15 * len(v))), MOST_LAGS, len(v) - 1)
+        if len(v) < w + 3 or w < 2:
+            return [float(v[-1])] * h
+        s, vectors = directions(v, w)
+        basis = vectors[:, : rank_of(s, share, 2)]
+        z = windows_of(v, w) @ basis
+        if len(z) < 3:
+            return [float(v[-1])] * h
+        design = np.column_stack([z[:-1], np.ones(len(z) - 1)])
+        move = np.linalg.lstsq(design, z[1:, :-1], rcond=None)[0]
+        force = np.linalg.lstsq(np.column_stack([z[:-1, -1], np.ones(len(z) - 1)]), z[1:, -1], rcond=None)[0]
+        state, out = z[-1], []
+        for _ in range(h):
+            state = np.r_[np.r_[state, 1.0] @ move, decay * (force[0] * state[-1] + force[1])]
+            out.append(float((basis @ state)[-1]))
+        return out
+
+    return _by_series(long, forecast, horizon)
+
+
+def autoregression(long: DataFrame, horizon: int, order: int = 3) -> DataFrame:
+    """Least squares on the ``order`` values before, applied recursively."""
+    return _by_series(long, lambda v, h: _recursive(v, min(order, len(v) - 1), h, 1e-9) if len(v) > 2 else [float(v[-1])] * h, horizon)
+
+
 def hybrid(forecasts: DataFrame, truth: DataFrame) -> DataFrame:
-    """series_id, model, weight: inverse mean squared errors on ``truth``, normalised; equal where all are 0.
+    """series_id, model, weight: least-squares weights of the models on ``truth`` by pseudo-inverse, negative ones as
+    0, normalised; equal where none is positive.
+
+    ``forecasts``: series_id, model, h, y; ``truth``: series_id, h, value. A series' forecasts are one task's matrix of
+    horizon times models."""
 
-    ``forecasts``: series_id, model, h, y; ``truth``: series_id, h, value."""
-    errors = forecasts.join(truth, ["series_id", "h"]).groupBy("series_id", "model").agg(F.avg((F.col("y") - F.col("value")) ** 2).alias("mse"))
-    inverse = errors.withColumn("i", 1 / F.greatest("mse", F.lit(1e-12)))
-    return inverse.select("series_id", "model", (F.col("i") / F.sum("i").over(whole_series())).alias("weight"))
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        wide = group.pivot(index="h", columns="model", values="y").dropna()
+        y = group.groupby("h")["value"].first().loc[wide.index]
+        w = np.maximum(np.linalg.pinv(wide.to_numpy()) @ y.to_numpy(), 0) if len(wide) else np.zeros(wide.shape[1])
+        w = w / w.sum() if w.sum() > 0 else np.full(len(w), 1 / max(1, len(w)))
+        return pd.DataFrame({"series_id": group["series_id"].iloc[0], "model": wide.columns, "weight": w})
+
+    kind = forecasts.schema["series_id"].dataType.simpleString()
+    both = forecasts.join(truth, ["series_id", "h"]).select("series_id", "model", "h", "y", "value")
+    return both.groupBy("series_id").applyInPandas(run, f"series_id {kind}, model string, weight double")

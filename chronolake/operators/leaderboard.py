@@ -91,3 +91,69 @@ def melt(wide: DataFrame, key: str, values: list[str]) -> DataFrame:
     long = wide.unpivot([key], values, "model", "value")
     text = F.regexp_replace(F.col("value").cast("string"), ",", ".")
     return long.withColumn("value", text.try_cast("double"))
+
+
+#: Metrics of which more is better.
+HIGHER = ("accuracy", "balanced_accuracy", "f1", "f1_macro", "precision", "recall", "r2", "roc_auc")
+
+
+def direction(metric: Column, default: str = "higher") -> Column:
+    """``higher`` or ``lower``: which values of a metric are better, by its name; ``default`` without a name."""
+    name = F.lower(F.trim(F.coalesce(metric, F.lit(""))))
+    return F.when(name == "", default).when(name.isin(*HIGHER), "higher").otherwise("lower")
+
+
+def numbered(records: DataFrame, higher: bool) -> DataFrame:
+    """model, mean, place: as ``leaderboard``, but each model has a place of its own, ties by name."""
+    means = records.groupBy("model").agg(F.avg("value").alias("mean"))
+    return means.withColumn("place", F.row_number().over(Window.orderBy(_order("mean", higher), "model")).cast("long"))
+
+
+def wins(records: DataFrame, own: str, higher: bool = False) -> DataFrame:
+    """dataset, difference (the best of the others against ``own``, positive where that is better), outcome."""
+    best = F.max if higher else F.min
+    both = records.groupBy("dataset").agg(best(F.when(F.col("model") != own, F.col("value"))).alias("o"), best(F.when(F.col("model") == own, F.col("value"))).alias("s"))
+    difference = F.col("s") - F.col("o") if higher else F.col("o") - F.col("s")
+    return both.where("o IS NOT NULL AND s IS NOT NULL").select("dataset", difference.alias("difference"), F.when(difference > 0, "win").otherwise("loss").alias("outcome"))
+
+
+def with_diagnostics(records: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """Records with the diagnostics of their dataset and model, where there are any; one row of these each."""
+    return records.join(diagnostics.dropDuplicates(["dataset", "model"]), ["dataset", "model"], "left")
+
+
+def exploded(rows: DataFrame, key: str, cell: str, separator: str = ",") -> DataFrame:
+    """key, item: a row for each part of a cell that lists them; blanks around parts and empty parts go."""
+    parts = F.filter(F.transform(F.split(cell, separator), lambda x: F.trim(x)), lambda x: x != "")
+    return rows.select(key, F.explode(parts).alias("item"))
+
+
+def sampled(records: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` of the keys, the same on every run: those of least hash, with all their rows."""
+    keys = records.select(key).distinct().orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return records.join(F.broadcast(keys), key, "left_semi")
+
+
+def notable(individuals: DataFrame, n: int, higher: bool = True) -> DataFrame:
+    """The ``n`` best individuals of each generation with their place; ties by name."""
+    w = Window.partitionBy("generation").orderBy(_order("fitness", higher), "individual")
+    return individuals.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= n)
+
+
+def dynamics(individuals: DataFrame) -> DataFrame:
+    """generation, n, best, mean, worst fitness, mean complexity (nodes of a pipeline)."""
+    return individuals.groupBy("generation").agg(
+        F.count("*").alias("n"), F.max("fitness").alias("best"), F.avg("fitness").alias("mean"), F.min("fitness").alias("worst"), F.avg(F.size(F.split("operations", ","))).alias("complexity")
+    )
+
+
+def operation_frequency(individuals: DataFrame) -> DataFrame:
+    """operation, n, share: how often operations occur in the pipelines."""
+    each = individuals.select(F.explode(F.split("operations", ",")).alias("operation")).groupBy("operation").agg(F.count("*").alias("n"))
+    total = each.agg(F.sum("n").alias("all"))
+    return each.crossJoin(F.broadcast(total)).select("operation", "n", (F.col("n") / F.col("all")).alias("share"))
+
+
+def family_stages(records: DataFrame, stage: str) -> DataFrame:
+    """Means and counts by a stage column and model."""
+    return records.groupBy(stage, "model").agg(F.avg("value").alias("mean"), F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolake.operators.layouts import whole_series
+from chronolake.operators.matrix import anchored_pairs
+
 HEADS = {
     "logit": lambda: LogisticRegression(regParam=0.01),
     "dt": lambda: DecisionTreeClassifier(seed=1),
@@ -58,6 +62,55 @@ def rank_ensemble(scores: DataFrame, how: str = "mean") -> DataFrame:
     return both.groupBy("sample_id").agg(F.max_by("class", F.struct(F.round("s", 9), -F.col("class"))).alias("label"))
 
 
+def class_anchors(panel: DataFrame, each: int = 8) -> DataFrame:
+    """``each`` rows of every class, by a hash of their id: the rows that all others are compared with."""
+    w = Window.partitionBy("target").orderBy(F.xxhash64("sample_id"), "sample_id")
+    return panel.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= each).drop("_n")
+
+
+def pair_features(pairs: DataFrame, mode: str = "concat_absdiff") -> DataFrame:
+    """``pairs`` (i, j, a, b) with features: both vectors and their differences (``concat_diff``, ``concat_absdiff``),
+    or these alone (``diff_only``)."""
+    diff = F.zip_with("b", "a", lambda x, y: F.abs(x - y) if mode == "concat_absdiff" else x - y)
+    return pairs.withColumn("features", diff if mode == "diff_only" else F.concat("b", "a", diff))
+
+
+def pairwise_classes(train: DataFrame, rows: DataFrame, each: int = 8, mode: str = "concat_absdiff", trees: int = 30) -> DataFrame:
+    """sample_id, class, probability of ``rows`` (sample_id, values) by pairwise difference learning: a forest learns from
+    the pairs of ``train`` with its anchors whether two samples differ in class; a class' probability is the mean
+    similarity to its anchors, normalised, and equal for all classes where there is none."""
+    anchors = class_anchors(train, each)
+    labels = anchors.select(F.col("sample_id").alias("i"), F.col("target").alias("class"))
+    own = train.select(F.col("sample_id").alias("j"), F.col("target").alias("tj"))
+    pairs = pair_features(anchored_pairs(train, anchors), mode).join(F.broadcast(labels), "i").join(own, "j")
+    table = pairs.select(array_to_vector("features").alias("features"), (F.col("class") != F.col("tj")).cast("double").alias("label"))
+    model = RandomForestClassifier(numTrees=trees, seed=1).fit(table)
+    asked = pair_features(anchored_pairs(rows, anchors), mode).join(F.broadcast(labels), "i").withColumn("features", array_to_vector("features"))
+    same = model.transform(asked).select(F.col("j").alias("sample_id"), "class", F.get(vector_to_array("probability"), F.lit(0)).alias("same"))
+    means = same.groupBy("sample_id", "class").agg(F.avg("same").alias("s"))
+    w = Window.partitionBy("sample_id")
+    total = F.sum("s").over(w)
+    return means.select("sample_id", "class", F.when(total <= 1e-12, 1 / F.count("*").over(w)).otherwise(F.col("s") / total).alias("probability"))
+
+
+def pairwise_values(train: DataFrame, rows: DataFrame, anchors: DataFrame, mode: str = "concat_diff", trees: int = 30) -> DataFrame:
+    """sample_id, y: regression by pairwise differences: a forest learns how far a sample's target lies above an
+    anchor's; a prediction is the mean over anchors of their target and that difference."""
+    own = train.select(F.col("sample_id").alias("j"), F.col("target").alias("tj"))
+    known = anchors.select(F.col("sample_id").alias("i"), F.col("target").alias("ti"))
+    pairs = pair_features(anchored_pairs(train, anchors), mode).join(F.broadcast(known), "i").join(own, "j")
+    model = RandomForestRegressor(numTrees=trees, seed=1).fit(pairs.select(array_to_vector("features").alias("features"), (F.col("tj") - F.col("ti")).alias("label")))
+    asked = pair_features(anchored_pairs(rows, anchors), mode).join(F.broadcast(known), "i").withColumn("features", array_to_vector("features"))
+    return model.transform(asked).groupBy(F.col("j").alias("sample_id")).agg(F.avg(F.col("ti") + F.col("prediction")).alias("y"))
+
+
+def calibrated(scores: DataFrame, key: str) -> DataFrame:
+    """``scores`` (key, y_true of 0 and 1, score) with probability: a sigmoid of the score, fitted on a fifth of the keys."""
+    table = VectorAssembler(inputCols=["score"], outputCol="_x").transform(scores)
+    model = LogisticRegression(featuresCol="_x", labelCol="y_true", probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c").fit(table.where(held_out(key)))
+    return model.transform(table).withColumn("probability", F.get(vector_to_array("_p"), F.lit(1))).drop("_x", "_p", "_r", "_c")
+
+
 def split_conformal(residuals: DataFrame, forecasts: DataFrame, level: float = 0.9) -> DataFrame:
     """``forecasts`` (series_id, h, y) with low, high: the quantile of the absolute residuals (series_id, e)."""
     q = residuals.groupBy("series_id").agg(F.percentile(F.abs("e"), F.lit(level)).alias("q"))
@@ -65,22 +118,23 @@ def split_conformal(residuals: DataFrame, forecasts: DataFrame, level: float = 0
 
 
 def inject(long: DataFrame, kind: str, start: int, end: int, size: float) -> DataFrame:
-    """``long`` with an anomaly on start <= t <= end: shift, dispersion (about the mean), peak (triangle), trend,
-    noise (by a hash); and is_anomaly."""
+    """``long`` with an anomaly on start <= t <= end: shift, shift_down, dispersion and squeeze (about the
+    mean), peak and dip (triangles), trend, noise (by a hash); and is_anomaly."""
     inside = F.col("t").between(start, end)
     share = (F.col("t") - start) / max(1, end - start)
     changed = {
         "shift": F.col("value") + size,
+        "shift_down": F.col("value") - size,
         "dispersion": F.lit(None),
+        "squeeze": F.lit(None),
+        "dip": F.col("value") - size * (1 - F.abs(2 * share - 1)),
         "peak": F.col("value") + size * (1 - F.abs(2 * share - 1)),
         "trend": F.col("value") + size * share,
         "noise": F.col("value") + size * (F.pmod(F.xxhash64("series_id", "t"), F.lit(2001)) / 1000 - 1),
     }[kind]
-    if kind == "dispersion":
-        from chronolake.operators.layouts import whole_series
-
+    if kind in ("dispersion", "squeeze"):
         mean = F.avg(F.when(inside, F.col("value"))).over(whole_series())
-        changed = mean + (F.col("value") - mean) * size
+        changed = mean + (F.col("value") - mean) * (size if kind == "dispersion" else 1 / size)
     return long.withColumn("value", F.when(inside, changed).otherwise(F.col("value"))).withColumn("is_anomaly", inside.cast("long"))
 
 

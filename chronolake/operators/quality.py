@@ -37,19 +37,32 @@ def gap_statistics(long: DataFrame, factor: float = 1.5) -> DataFrame:
     )
 
 
-def regular_grid(rows: DataFrame, key: str, slot_seconds: int, policy: str = "mark_only") -> DataFrame:
-    """key, slot (start of each slot from the key's first to its last), value, is_gap.
-
-    Slots with several values hold their mean. Empty slots stay null (``mark_only``), take the value before,
-    at the head the one after (``forward_fill``), or lie on the line between both (``interpolate_linear``)."""
-    slot = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / slot_seconds)
-    filled = rows.select(key, slot.alias("s"), "value").groupBy(key, "s").agg(F.avg("value").alias("value"))
-    every = filled.groupBy(key).agg(F.min("s").alias("a"), F.max("s").alias("b"))
-    every = every.select(key, F.explode(F.sequence("a", "b")).alias("s"))
-    grid = every.join(filled, [key, "s"], "left").withColumn("is_gap", F.col("value").isNull())
+def regular_grid(long: DataFrame, policy: str = "mark_only", step_seconds: float | None = None) -> DataFrame:
+    """series_id, slot (0, 1, ...), second (since the epoch), value, is_gap: each series on a grid from its first
+    time to its last. Slots are ``step_seconds`` apart, or the median of the positive steps between its times.
+
+    A value goes to the slot nearest to its time (halves to the even one); of several the latest stays. Empty
+    slots stay null (``mark_only``), take the value before, at the head the one after (``forward_fill``), or lie
+    on the line between both (``interpolate_linear``); is_gap tells them, filled or not, and slots that stay null."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = long.select("series_id", "t", micros.alias("at"), "value").withColumn("d", F.col("at") - F.lag("at").over(by_series()))
+    step = F.lit(step_seconds * 1e6) if step_seconds else F.coalesce(F.percentile(F.when(F.col("d") > 0, F.col("d")), F.lit(0.5)), F.lit(1e6))
+    each = rows.groupBy("series_id").agg(F.min("at").alias("a"), F.max("at").alias("b"), step.alias("dt"))
+    each = each.withColumn("n", F.ceil((F.col("b") - F.col("a")) / F.col("dt") + 0.5))
+    slot = F.least(F.bround((F.col("at") - F.col("a")) / F.col("dt")).cast("long"), F.col("n") - 1)
+    held = rows.join(each, "series_id").groupBy("series_id", slot.alias("slot")).agg(F.max_by(F.struct("value"), F.struct("at", "t")).alias("v"))
+    every = each.select("series_id", "a", "dt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
+    grid = every.join(held, ["series_id", "slot"], "left")
+    grid = grid.select("series_id", "slot", ((F.col("a") + F.col("slot") * F.col("dt")) / 1e6).alias("second"), F.col("v.value").alias("value"), F.col("v").isNull().alias("empty"))
     if policy != "mark_only":
-        grid = grid.withColumn("value", fill(key, "s", "value", policy))
-    return grid.select(key, F.timestamp_seconds(F.col("s") * slot_seconds).alias("slot"), "value", "is_gap")
+        grid = grid.withColumn("value", fill("series_id", "slot", "value", policy))
+    return grid.select("series_id", "slot", "second", "value", (F.col("empty") | F.col("value").isNull()).alias("is_gap"))
+
+
+def carried_index(long: DataFrame) -> DataFrame:
+    """series_id, t, carried: the place of the latest value that isn't missing; null before the first."""
+    known = F.when(F.col("value").isNotNull(), F.col("t"))
+    return long.select("series_id", "t", F.max(known).over(by_series().rowsBetween(Window.unboundedPreceding, 0)).alias("carried"))
 
 
 def fill(key: str, order: str, value: str, policy: str) -> Column:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolake.operators.forecast import diagonals, truncated
+from chronolake.operators.forecast import directions, rank_of, smoothed, trajectory_width, windows_of
 from chronolake.operators.layouts import by_series
 
 
@@ -25,16 +26,44 @@ def per_series(long: DataFrame, make: Callable[[np.ndarray], dict], columns: str
     return long.select("series_id", "t", "value").groupBy("series_id").applyInPandas(run, f"series_id {kind}, {columns}")
 
 
+def _reach(x: float, hull: list[tuple[int, float]], sign: int) -> float:
+    """The greatest sign * (y - x * i) over the points (i, y) of a hull that is convex to that side."""
+    low, high = 0, len(hull) - 1
+    while low < high:
+        middle = (low + high) // 2
+        (i, y), (j, z) = hull[middle], hull[middle + 1]
+        if sign * (z - x * j) > sign * (y - x * i):
+            low = middle + 1
+        else:
+            high = middle
+    i, y = hull[low]
+    return sign * (y - x * i)
+
+
+def _onto(hull: list[tuple[int, float]], point: tuple[int, float], sign: int) -> None:
+    while len(hull) > 1:
+        (a, p), (b, q) = hull[-2], hull[-1]
+        if sign * ((q - p) * (point[0] - b) - (point[1] - q) * (b - a)) > 0:
+            break
+        hull.pop()
+    hull.append(point)
+
+
 def hurst(long: DataFrame) -> DataFrame:
-    """hurst: slope of log(R / S) on log n over all prefixes of two values or more."""
+    """hurst: slope of log(R / S) on log n over all prefixes of two values or more. The range of a prefix's running
+    sums about their mean line is read from the convex hulls of the sums, which grow with it."""
 
     def make(v: np.ndarray) -> dict:
         n = np.arange(1, len(v) + 1)
         sums, squares = np.cumsum(v), np.cumsum(v * v)
         mean = sums / n
         deviation = np.sqrt(np.maximum(squares / n - mean * mean, 0))
-        spread = np.array([np.ptp(sums[: k + 1] - mean[k] * n[: k + 1]) for k in range(len(v))])
-        good = (deviation > 1e-12) & (spread > 0) & (n > 1)
+        upper, lower, spread = [], [], np.zeros(len(v))
+        for k, (y, m) in enumerate(zip(sums.tolist(), mean.tolist(), strict=True)):
+            _onto(upper, (k + 1, y), 1)
+            _onto(lower, (k + 1, y), -1)
+            spread[k] = _reach(m, upper, 1) + _reach(m, lower, -1)
+        good = (deviation > 1e-12) & (spread > 1e-12) & (n > 1)
         return {"hurst": np.polyfit(np.log(n[good]), np.log(spread[good] / deviation[good]), 1)[0] if good.sum() > 1 else 0.0}
 
     return per_series(long, make, "hurst double")
@@ -78,26 +107,48 @@ def short_time_spectrum(long: DataFrame, width: int = 16, hop: int = 8) -> DataF
 
 
 def singular_values(long: DataFrame, share: float = 0.95) -> DataFrame:
-    """rank (least that explains ``share`` of the squared singular values), hard_rank (those of at least
-    2.858 medians), condition of the trajectory matrix of a third of the series."""
+    """Of the trajectory matrix of a third of the series (``forecast.MOST_LAGS`` at most): rank (least that explains
+    ``share`` of the squared singular values), hard_rank (those of at least 2.858 medians), condition, and
+    leading (the first's part of the sum of all, in percent)."""
 
     def make(v: np.ndarray) -> dict:
-        s = np.linalg.svd(np.lib.stride_tricks.sliding_window_view(v, max(1, len(v) // 3)), compute_uv=False)
-        energy = np.cumsum(s * s)
-        rank = int(np.searchsorted(energy, share * energy[-1])) + 1 if energy[-1] > 0 else 0
-        return {"rank": rank, "hard_rank": int((s >= 2.858 * np.median(s)).sum()), "condition": s[0] / max(s[-1], 1e-12)}
+        s, _ = directions(v, trajectory_width(len(v)))
+        rank = rank_of(s, share) if s.any() else 0
+        leading = 100 * s[0] / s.sum() if s.any() else 0.0
+        return {"rank": rank, "hard_rank": int((s >= 2.858 * np.median(s)).sum()), "condition": s[0] / max(s[-1], 1e-6 * s[0], 1e-12), "leading": leading}
 
-    return per_series(long, make, "rank long, hard_rank long, condition double")
+    return per_series(long, make, "rank long, hard_rank long, condition double, leading double")
 
 
 def low_rank(long: DataFrame, share: float = 0.9) -> DataFrame:
     """t, value of each series rebuilt from its trajectory matrix at low rank."""
+    return per_series(long, lambda v: {"t": np.arange(len(v)), "value": smoothed(v, share)}, "t long, value double")
 
-    def make(v: np.ndarray) -> dict:
-        out = diagonals(truncated(np.lib.stride_tricks.sliding_window_view(v, max(1, len(v) // 3)), share))
-        return {"t": np.arange(len(v)), "value": out}
 
-    return per_series(long, make, "t long, value double")
+def dynamic_modes(long: DataFrame, width: int = 8, rank: int = 4) -> DataFrame:
+    """mode, growth (absolute value), frequency (turns a step), amplitude of the exact dynamic modes of each series'
+    windows: the eigenvalues of the linear operator, of at most ``rank``, that takes each window to the next."""
+
+    def make(v: np.ndarray) -> dict:
+        w = min(width, len(v) // 2)
+        if w < 1 or len(v) < w + 2:
+            return {"mode": np.empty(0, "int64"), "growth": np.empty(0), "frequency": np.empty(0), "amplitude": np.empty(0)}
+        x = windows_of(v, w)
+        a, b = x[:-1], x[1:]
+        gram, cross = a.T @ a, a.T @ b
+        values, vectors = np.linalg.eigh(gram)
+        keep = np.argsort(-values)[:rank]
+        keep = keep[values[keep] > 1e-10 * max(values.max(), 1e-300)]
+        if not len(keep):
+            return {"mode": np.empty(0, "int64"), "growth": np.empty(0), "frequency": np.empty(0), "amplitude": np.empty(0)}
+        u, s2 = vectors[:, keep], values[keep]
+        operator = (u.T @ cross @ u) / s2[:, None]
+        turns, right = np.linalg.eig(operator.T)
+        start = np.linalg.lstsq(right, (x[0] @ u).astype(complex), rcond=None)[0]
+        order = np.lexsort((np.angle(turns), -np.abs(turns)))
+        return {"mode": np.arange(len(order)), "growth": np.abs(turns)[order], "frequency": np.angle(turns)[order] / (2 * np.pi), "amplitude": np.abs(start)[order]}
+
+    return per_series(long, make, "mode long, growth double, frequency double, amplitude double")
 
 
 def haar(long: DataFrame) -> DataFrame:
@@ -123,39 +174,46 @@ def kalman(long: DataFrame, process: float = 0.01, noise: float = 1.0) -> DataFr
     return per_series(long, make, "t long, level double")
 
 
-def subspace_change(long: DataFrame, width: int = 6) -> DataFrame:
-    """t, score: 1 - the squared overlap of the leading directions of the past and the coming windows."""
+def subspace_change(long: DataFrame, width: int = 6, chunk: int = 2048) -> DataFrame:
+    """t, score: 1 - the squared overlap of the leading directions of the past and the coming windows, ``chunk``
+    places of a series at once."""
 
     def make(v: np.ndarray) -> dict:
-        scores = np.zeros(len(v))
-        for t in range(2 * width, len(v) - 2 * width + 1):
-            past = np.linalg.svd(np.lib.stride_tricks.sliding_window_view(v[t - 2 * width : t], width).T, full_matrices=False)[0][:, :2]
-            coming = np.linalg.svd(np.lib.stride_tricks.sliding_window_view(v[t : t + 2 * width], width).T, full_matrices=False)[0][:, 0]
-            scores[t] = max(0.0, 1 - float(((past.T @ coming) ** 2).sum()))
+        scores, span = np.zeros(len(v)), 2 * width
+        first, last = span, len(v) - span
+        for at in range(first, last + 1, chunk):
+            t = np.arange(at, min(at + chunk, last + 1))
+            inside = t[:, None, None] + np.arange(width)[None, :, None] + np.arange(width + 1)[None, None, :]
+            past = np.linalg.svd(v[inside - span], full_matrices=False)[0][:, :, :2]
+            coming = np.linalg.svd(v[inside], full_matrices=False)[0][:, :, 0]
+            overlap = np.einsum("twk,tw->tk", past, coming)
+            scores[t] = np.maximum(0.0, 1 - (overlap**2).sum(axis=1))
         return {"t": np.arange(len(v)), "score": scores}
 
     return per_series(long, make, "t long, score double")
 
 
-def kernel_features(long: DataFrame, dilations: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
+def kernel_features(long: DataFrame, dilations: tuple[int, ...] = (1, 2, 4), together: int = 12) -> DataFrame:
     """kernel, dilation, ppv: share of positive values of the series under nine-tap kernels of three 2s and six
-    -1s (all 84 of them), against the median response as bias."""
-    from itertools import combinations
-
+    -1s (all 84 of them), against the median response as bias; ``together`` kernels at once."""
     kernels = np.full((84, 9), -1.0)
     for i, c in enumerate(combinations(range(9), 3)):
         kernels[i, list(c)] = 2.0
 
     def make(v: np.ndarray) -> dict:
-        rows = []
+        which, width, shares = [], [], []
         for d in dilations:
-            if len(v) < 8 * d + 1:
+            n = len(v) - 8 * d
+            if n < 1:
                 continue
-            at = np.arange(len(v) - 8 * d)[:, None] + d * np.arange(9)[None, :]
-            y = v[at] @ kernels.T
-            rows += [(k, d, float((y[:, k] > np.median(y[:, k])).mean())) for k in range(84)]
-        k, d, p = zip(*rows, strict=True) if rows else ((), (), ())
-        return {"kernel": np.array(k, "int64"), "dilation": np.array(d, "int64"), "ppv": np.array(p, "float64")}
+            taps = np.stack([v[d * k : d * k + n] for k in range(9)])
+            for at in range(0, 84, together):
+                y = kernels[at : at + together] @ taps
+                shares.append((y > np.median(y, axis=1, keepdims=True)).mean(axis=1))
+            which.append(np.arange(84))
+            width.append(np.full(84, d))
+        none = np.empty(0, "int64")
+        return {"kernel": np.concatenate([none, *which]), "dilation": np.concatenate([none, *width]), "ppv": np.concatenate([np.empty(0), *shares])}
 
     return per_series(long, make, "kernel long, dilation long, ppv double")
 

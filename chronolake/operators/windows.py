@@ -68,6 +68,12 @@ def window_statistics(points: DataFrame) -> DataFrame:
     )
 
 
+def gap_fractions(points: DataFrame, most: float = 0.5) -> DataFrame:
+    """gap_fraction (the share of missing values) of each window of ``sliding``, and valid: at most ``most``."""
+    share = F.avg(F.when(F.col("value").isNull(), 1.0).otherwise(0.0))
+    return points.groupBy("series_id", "window_id").agg(share.alias("gap_fraction"), (share <= most).alias("valid"))
+
+
 def pages(long: DataFrame, width: int) -> DataFrame:
     """Blocks of ``width`` values that don't overlap, as rows of ``sliding``; a partial last one is dropped."""
     return sliding(long, width, width)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from chronolake.operators import features, forecast, learn, spectral, windows
 from chronolake.plans.inputs import LONG, PANEL, long, panel, query, read
+from chronolake.session import shared_folder
 from chronolake.streaming import online
 
 query("lagged_ridge", lambda s, d: forecast.lagged_ridge(long(s, d), 5))
 query("ssa_forecast", lambda s, d: forecast.ssa(long(s, d), 5))
+query("low_rank_ridge", lambda s, d: forecast.low_rank_ridge(long(s, d), 5))
+query("forced_operator", lambda s, d: forecast.forced_operator(long(s, d), 5))
+query("autoregression", lambda s, d: forecast.autoregression(long(s, d), 5))
+query("dynamic_modes", lambda s, d: spectral.dynamic_modes(long(s, d)))
 query("hurst", lambda s, d: spectral.hurst(long(s, d)))
 query("fourier_spectrum", lambda s, d: spectral.spectrum(long(s, d)))
 query("dominant_period", lambda s, d: spectral.dominant_period(long(s, d)))
@@ -41,7 +45,7 @@ query("rf_features", lambda s, d: learn.fit_predict(_features(s, d), "series_id"
 query("logit_pca", lambda s, d: learn.fit_predict(_features(s, d), "series_id", ["mean", "median", "std", "q5", "q25", "q75"], "logit", 3)[1])
 query("ridge_regressor", lambda s, d: learn.fit_predict(_features(s, d).withColumn("target", F.col("energy")), "series_id", ["mean", "std", "max"], "ridge")[1])
 
-SHIFTS = {"shift": "value + 50", "trend": "value + 50 * (t - 10) / 10.0", "peak": "value + 50 * (1 - abs(2 * ((t - 10) / 10.0) - 1))", "dispersion": "m + (value - m) * 50"}
+SHIFTS = {"shift_down": "value - 50", "dip": "value - 50 * (1 - abs(2 * ((t - 10) / 10.0) - 1))", "squeeze": "m + (value - m) / 50", "shift": "value + 50", "trend": "value + 50 * (t - 10) / 10.0", "peak": "value + 50 * (1 - abs(2 * ((t - 10) / 10.0) - 1))", "dispersion": "m + (value - m) * 50"}
 for kind, value in SHIFTS.items():
     query(
         f"inject_{kind}",
@@ -53,22 +57,16 @@ for kind, value in SHIFTS.items():
 
 def _scores(s, d):
     """Three models' scores of three classes, from components of the vectors."""
-    cells = panel(s, d).select("sample_id", F.posexplode(F.slice("values", 1, 9)).alias("k", "score"))
-    return cells.select("sample_id", (F.col("k") % 3).alias("model"), F.floor(F.col("k") / 3).alias("class"), (F.abs("score") + 0.01).alias("score"))
+    cells = panel(s, d).select("sample_id", F.posexplode("values").alias("k", "score"))
+    return cells.select("sample_id", (F.col("k") % 3).alias("model"), (F.floor(F.col("k") / 3) % 3).alias("class"), (F.abs("score") + 0.01).alias("score"))
 
 
 for how, agg in (("mean", "avg(s)"), ("max", "max(s)"), ("product", "exp(sum(ln(s)))")):
     query(
         f"rank_ensemble_{how}",
         lambda s, d, h=how: learn.rank_ensemble(_scores(s, d), h),
-        f"{PANEL}, CS AS (SELECT sample_id, CAST(k // 3 AS BIGINT) AS c, abs(v[k + 1]) + 0.01 AS s FROM P, (SELECT unnest(range(0, 9)) AS k)), AG AS (SELECT sample_id, c, round({agg}, 9) AS s FROM CS GROUP BY 1, 2) ||| SELECT sample_id, arg_max(c, (s, -c)) AS label FROM AG GROUP BY 1",
+        f"{PANEL}, CS AS (SELECT sample_id, CAST(k // 3 % 3 AS BIGINT) AS c, abs(v[k + 1]) + 0.01 AS s FROM (SELECT sample_id, v, unnest(range(0, len(v))) AS k FROM P)), AG AS (SELECT sample_id, c, round({agg}, 9) AS s FROM CS GROUP BY 1, 2) ||| SELECT sample_id, arg_max(c, (s, -c)) AS label FROM AG GROUP BY 1",
     )
-query(
-    "forecast_intervals",
-    lambda s, d: learn.split_conformal(long(s, d).select("series_id", (F.col("value") - 50).alias("e")), forecast.naive(long(s, d), 3, "last")),
-    f"{LONG}, Q AS (SELECT series_id, quantile_cont(abs(value - 50), 0.9) AS q, arg_max(value, t) AS y FROM L GROUP BY 1) ||| SELECT series_id, h, y, y - q AS low, y + q AS high FROM Q, (SELECT unnest(range(1, 4)) AS h)",
-    "low high",
-)
 query(
     "occlusion",
     lambda s, d: learn.occlusion(long(s, d), F.avg("value"), 10),
@@ -79,8 +77,7 @@ query(
 
 # ---- streams: the table read as a stream of files, drained into Parquet
 def _drained(s, d, make):
-    # the shared folder that the session names; a folder of this machine only where it names none, as in tests
-    base = (s.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
     schema = read(s, d, "events").schema
     stream = s.readStream.schema(schema).parquet(f"{d}/events.parquet*")  # a pattern fits a file and a folder alike
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))

@@ -86,8 +86,8 @@ query(
 )
 query(
     "pareto_front",
-    lambda s, d: metrics.pareto(read(s, d, "part").where("p_size <= 10").select("p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("size")), "p_partkey", ["p_retailprice", "size"]),
-    "SELECT p_partkey, p_retailprice, CAST(p_size AS DOUBLE) AS size FROM part a WHERE p_size <= 10 AND NOT EXISTS (SELECT 1 FROM part b WHERE b.p_size <= 10 AND b.p_retailprice <= a.p_retailprice AND b.p_size <= a.p_size AND (b.p_retailprice < a.p_retailprice OR b.p_size < a.p_size))",
+    lambda s, d: metrics.pareto(read(s, d, "part").select("p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("size")), "p_partkey", ["p_retailprice", "size"]),
+    "SELECT p_partkey, p_retailprice, CAST(p_size AS DOUBLE) AS size FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_retailprice <= a.p_retailprice AND b.p_size <= a.p_size AND (b.p_retailprice < a.p_retailprice OR b.p_size < a.p_size))",
 )
 CHANGES = f"{LONG}, TC AS (SELECT series_id, t FROM L WHERE t % 20 = 10), HT AS (SELECT series_id, t FROM L WHERE value > 150), JW AS (SELECT HT.series_id, HT.t, TC.t AS w FROM HT LEFT JOIN TC ON HT.series_id = TC.series_id AND HT.t BETWEEN TC.t AND TC.t + 6)"
 
@@ -107,8 +107,8 @@ query(
 query(
     "nab_score",
     lambda s, d: metrics.nab_score(*_changes(s, d), 6),
-    f"{CHANGES}, GN AS (SELECT series_id, w, CASE WHEN w IS NULL THEN -0.11 * count(*) ELSE 0.5 - 0.5 * tanh(3 * (2 * (min(t) - w) / 6 - 1)) END AS g FROM JW GROUP BY series_id, w), WN AS (SELECT series_id, sum(g) AS g, count(w) AS hit FROM GN GROUP BY 1), "
-    "KK AS (SELECT series_id, count(*) AS k FROM TC GROUP BY 1) ||| SELECT series_id, 100 * (coalesce(g, 0) - (k - coalesce(hit, 0)) + k) / (0.9975273768433653 * k + k) AS score FROM KK LEFT JOIN WN USING (series_id)",
+    f"{CHANGES}, GN AS (SELECT series_id, w, CASE WHEN w IS NULL THEN -0.11 * count(*) ELSE 0.555 * (1 - tanh(pi() * (floor((min(t) - w) / 6 * 999) / 999) - pi() / 2) / tanh(pi() / 2)) - 0.11 END AS g FROM JW GROUP BY series_id, w), WN AS (SELECT series_id, sum(g) AS g, count(w) AS hit FROM GN GROUP BY 1), "
+    "KK AS (SELECT series_id, count(*) AS k FROM TC GROUP BY 1) ||| SELECT series_id, 100 * (coalesce(g, 0) - (k - coalesce(hit, 0)) + k) / (2 * k) AS score FROM KK LEFT JOIN WN USING (series_id)",
     "score",
 )
 
@@ -156,20 +156,20 @@ query(
 )
 
 # ---- vectors
-PAIRS = f"{PANEL}, PP AS (SELECT a.sample_id AS i, b.sample_id AS j, a.v AS x, b.v AS y, list_zip(a.v, b.v) AS z, a.target AS ti, b.target AS tj FROM P a JOIN P b ON a.sample_id <> b.sample_id WHERE a.sample_id < 8)"
+PAIRS = f"{PANEL}, PP AS (SELECT a.sample_id AS i, b.sample_id AS j, a.v AS x, b.v AS y, list_zip(a.v, b.v) AS z, a.target AS ti, b.target AS tj FROM P a JOIN P b ON a.sample_id <> b.sample_id WHERE a.sample_id % 50 = 0)"
 query(
     "distances_all",
-    lambda s, d: matrix.distances(panel(s, d), panel(s, d).where("sample_id < 8")),
+    lambda s, d: matrix.distances(panel(s, d), panel(s, d).where("sample_id % 50 = 0")),
     f"{PAIRS} ||| SELECT i, j, list_distance(x, y) AS euclidean, list_sum(list_transform(z, lambda p: abs(p[1] - p[2]))) AS cityblock, list_max(list_transform(z, lambda p: abs(p[1] - p[2]))) AS chebyshev, "
     "power(list_sum(list_transform(z, lambda p: power(abs(p[1] - p[2]), 3))), 1.0 / 3) AS minkowski, list_cosine_distance(x, y) AS cosine, "
     "1 - list_sum(list_transform(z, lambda p: (p[1] - list_avg(x)) * (p[2] - list_avg(y)))) / sqrt(list_sum(list_transform(x, lambda a: power(a - list_avg(x), 2))) * list_sum(list_transform(y, lambda a: power(a - list_avg(y), 2)))) AS correlation, "
     "list_sum(list_transform(z, lambda p: CASE WHEN abs(p[1]) + abs(p[2]) = 0 THEN 0 ELSE abs(p[1] - p[2]) / (abs(p[1]) + abs(p[2])) END)) AS canberra FROM PP",
     " ".join(matrix.METRICS),
 )
-query("kernel_rbf", lambda s, d: matrix.rbf_kernel(panel(s, d), panel(s, d).where("sample_id < 8"), 0.5), f"{PAIRS} ||| SELECT i, j, exp(-0.5 * power(list_distance(x, y), 2)) AS k FROM PP", "k")
+query("kernel_rbf", lambda s, d: matrix.rbf_kernel(panel(s, d), panel(s, d).where("sample_id % 50 = 0"), 0.5), f"{PAIRS} ||| SELECT i, j, exp(-0.5 * power(list_distance(x, y), 2)) AS k FROM PP", "k")
 query(
     "pdl_pairs",
-    lambda s, d: matrix.pair_learning(panel(s, d), panel(s, d).where("sample_id < 8")).select("i", "j", "differs", F.aggregate("diff", F.lit(0.0), lambda a, x: a + x).alias("total"), "target_delta"),
+    lambda s, d: matrix.pair_learning(panel(s, d), panel(s, d).where("sample_id % 50 = 0")).select("i", "j", "differs", F.aggregate("diff", F.lit(0.0), lambda a, x: a + x).alias("total"), "target_delta"),
     f"{PAIRS} ||| SELECT i, j, CAST(ti <> tj AS BIGINT) AS differs, list_sum(list_transform(z, lambda p: abs(p[1] - p[2]))) AS total, CAST(tj - ti AS DOUBLE) AS target_delta FROM PP",
     "total",
 )
@@ -212,12 +212,3 @@ query(
     "SELECT l_orderkey, l_linenumber, a AS alpha, b AS beta, sqrt(a * a + b * b) AS amplitude, atan2(b, a) AS phase FROM (SELECT l_orderkey, l_linenumber, (2 * l_quantity - l_discount - l_tax) / 3 AS a, (l_discount - l_tax) / sqrt(3) AS b FROM lineitem)",
     "alpha beta amplitude phase",
 )
-query(
-    "hybrid_weights",
-    lambda s, d: forecast.hybrid(
-        forecast.naive(_train(s, d), 5, "last").withColumn("model", F.lit("last")).unionByName(forecast.naive(_train(s, d), 5, "mean").withColumn("model", F.lit("mean"))),
-        _predicted(s, d).select("series_id", "h", F.col("y_true").alias("value")),
-    ),
-    f"{TRUTH}, ER AS (SELECT series_id, 'last' AS model, 1 / greatest(avg(power(y_true - lst, 2)), 1e-12) AS i FROM TE JOIN DR USING (series_id) GROUP BY 1 UNION ALL SELECT series_id, 'mean', 1 / greatest(avg(power(y_true - m, 2)), 1e-12) FROM TE JOIN DR USING (series_id) GROUP BY 1) ||| SELECT series_id, model, i / sum(i) OVER (PARTITION BY series_id) AS weight FROM ER",
-    "weight",
-)

@@ -54,20 +54,25 @@ query(
     4,
 )
 GRID = (
-    "S AS (SELECT event_type, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS s, avg(value) AS value FROM events GROUP BY ALL), "
-    "B AS (SELECT event_type, unnest(generate_series(min(s), max(s))) AS s FROM S GROUP BY event_type), "
-    "G AS (SELECT B.event_type, B.s, S.value, S.value IS NULL AS is_gap FROM B LEFT JOIN S USING (event_type, s)), "
-    "W AS (SELECT *, last_value(value IGNORE NULLS) OVER w AS p, last_value(CASE WHEN value IS NOT NULL THEN s END IGNORE NULLS) OVER w AS ps, "
-    "first_value(value IGNORE NULLS) OVER v AS n, first_value(CASE WHEN value IS NOT NULL THEN s END IGNORE NULLS) OVER v AS ns FROM G "
-    "WINDOW w AS (PARTITION BY event_type ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), v AS (PARTITION BY event_type ORDER BY s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
-)
-for policy, value in (("mark_only", "value"), ("forward_fill", "coalesce(p, n)"), ("interpolate_linear", "coalesce(value, p + (n - p) * (s - ps) / (ns - ps), p, n)")):
+    f"{LONG}, GM AS (SELECT series_id, t, epoch_us(ts) AS m, value, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY series_id ORDER BY t) AS d FROM L), "
+    "GS AS (SELECT series_id, min(m) AS a, max(m) AS b, coalesce(median(CASE WHEN d > 0 THEN d END), 1000000) AS dt FROM GM GROUP BY 1), "
+    "GN AS (SELECT *, CAST(ceil((b - a) / dt + 0.5) AS BIGINT) AS n FROM GS), "
+    "GH AS (SELECT series_id, least(CAST(round_even((m - a) / dt, 0) AS BIGINT), n - 1) AS slot, arg_max(value, (m, t)) AS value FROM GM JOIN GN USING (series_id) GROUP BY 1, 2), "
+    "GE AS (SELECT series_id, a, dt, unnest(range(0, n)) AS slot FROM GN), "
+    "G AS (SELECT GE.series_id, GE.slot, (a + GE.slot * dt) / 1e6 AS second, GH.value, GH.series_id IS NULL AS is_gap FROM GE LEFT JOIN GH ON GE.series_id = GH.series_id AND GE.slot = GH.slot), "
+    "W AS (SELECT *, last_value(value IGNORE NULLS) OVER w AS p, last_value(CASE WHEN value IS NOT NULL THEN slot END IGNORE NULLS) OVER w AS ps, "
+    "first_value(value IGNORE NULLS) OVER v AS n, first_value(CASE WHEN value IS NOT NULL THEN slot END IGNORE NULLS) OVER v AS ns FROM G "
+    "WINDOW w AS (PARTITION BY series_id ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), v AS (PARTITION BY series_id ORDER BY slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"
+)
+for policy, value in (("mark_only", "value"), ("forward_fill", "coalesce(p, n)"), ("interpolate_linear", "coalesce(value, p + (n - p) * (slot - ps) / (ns - ps), p, n)")):
     query(
         {"mark_only": "resample_grid_mark", "forward_fill": "resample_grid_ffill", "interpolate_linear": "resample_grid_linear"}[policy],
-        lambda s, d, policy=policy: quality.regular_grid(read(s, d, "events"), "event_type", 3600, policy).withColumn("slot", F.unix_seconds("slot")),
-        f"{GRID} ||| SELECT event_type, s * 3600 AS slot, {value} AS value, is_gap FROM W",
-        "value",
+        lambda s, d, policy=policy: quality.regular_grid(long(s, d), policy),
+        f"{GRID} ||| SELECT series_id, slot, second, {value} AS value, is_gap FROM W",
+        "value second",
+        3,
     )
+query("carry_index", lambda s, d: quality.carried_index(holed(s, d)), f"{HOLED} ||| SELECT series_id, t, max(CASE WHEN value IS NOT NULL THEN t END) OVER (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS carried FROM H")
 query(
     "robust_scale",
     lambda s, d: quality.robust_scale(long(s, d)),
@@ -154,6 +159,12 @@ for name, columns in (("feat_cross_rate", "cross_rate"), ("feat_autocorr", "auto
 query("feat_shannon", lambda s, d: features.entropy(long(s, d)), f"{LONG}, {SHANNON} ||| SELECT series_id, shannon FROM EN", "shannon")
 query("feat_benford", lambda s, d: features.benford(long(s, d)), f"{LONG}, {BENFORD} ||| SELECT series_id, benford FROM BF", "benford")
 query("feat_moving_median", lambda s, d: features.moving_median(long(s, d)), f"{LONG}, {MEDIANS} ||| SELECT series_id, moving_median FROM MM", "moving_median")
+query(
+    "feat_base_entropy",
+    lambda s, d: features.distribution_entropy(long(s, d)),
+    f"{LONG}, PE AS (SELECT series_id, value, value / nullif(sum(value) OVER (PARTITION BY series_id), 0) AS p FROM L) ||| SELECT series_id, -sum(p * ln(p)) FILTER (p > 0) AS base_entropy, count(*) FILTER (value < 0.01) AS below FROM PE GROUP BY 1",
+    "base_entropy",
+)
 ALL = [*features.BASIC, *"skewness kurtosis slope iqr energy ptp crest n_peaks mean_peak_distance cross_rate autocorrelation mobility complexity petrosian ema shannon benford moving_median".split()]
 query(
     "feat_global",
@@ -180,6 +191,13 @@ query(
     f"{LONG}, {WINDOWS.format(w=10, s=10)} ||| SELECT series_id, window_id, {BASIC_SQL} FROM WP GROUP BY series_id, window_id",
     " ".join(features.BASIC),
 )
+query(
+    "window_gaps",
+    lambda s, d: windows.gap_fractions(windows.sliding(holed(s, d), 8, 3), 0.2),
+    f"{HOLED}, NW AS (SELECT series_id, count(*) AS n FROM H GROUP BY 1), WI AS (SELECT series_id, unnest(range(0, (n - 8) // 3 + 1)) AS window_id FROM NW WHERE n >= 8), WP AS (SELECT series_id, window_id, value FROM WI JOIN H USING (series_id) WHERE t >= window_id * 3 AND t < window_id * 3 + 8) "
+    "||| SELECT series_id, window_id, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) AS gap_fraction, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) <= 0.2 AS valid FROM WP GROUP BY 1, 2",
+    "gap_fraction",
+)
 query("diagonal_average", lambda s, d: windows.diagonal_average(windows.sliding(long(s, d), 8, 2)), f"{LONG}, {WINDOWS.format(w=8, s=2)} ||| SELECT series_id, t, avg(value) AS value FROM WP GROUP BY 1, 2", "value")
 query(
     "supervised_windows",

@@ -58,7 +58,7 @@ query(
 
 
 def _kernels(s, d):
-    pairs = matrix.anchored_pairs(panel(s, d), panel(s, d).where("sample_id < 8"))
+    pairs = matrix.anchored_pairs(panel(s, d), panel(s, d).where("sample_id % 50 = 0"))
     dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     return pairs.select("i", "j", dot.alias("linear"), F.pow(dot + 1, F.lit(3.0)).alias("polynomial"), F.exp(-0.1 * matrix.distance(F.col("a"), F.col("b"), "cityblock")).alias("laplacian"))
 
@@ -84,7 +84,7 @@ query(
 
 
 def _intervals(s, d):
-    o = read(s, d, "orders").where("o_orderkey < 400")
+    o = read(s, d, "orders")
     start = (F.col("o_orderkey") * 50).cast("long")
     return o.select(F.col("o_orderpriority").alias("class"), start.alias("start"), (start + F.col("o_custkey") % 4 * 5 + 5).alias("end"))
 
@@ -92,7 +92,7 @@ def _intervals(s, d):
 query(
     "interval_splitter",
     lambda s, d: tables.modal_intervals(_intervals(s, d)),
-    'I AS (SELECT o_orderpriority AS class, o_orderkey * 50 AS a, o_orderkey * 50 + o_custkey % 4 * 5 + 5 AS b FROM orders WHERE o_orderkey < 400), M AS (SELECT arg_max(n, (k, n)) AS m FROM (SELECT b - a AS n, count(*) AS k FROM I GROUP BY 1)), '
+    'I AS (SELECT o_orderpriority AS class, o_orderkey * 50 AS a, o_orderkey * 50 + o_custkey % 4 * 5 + 5 AS b FROM orders), M AS (SELECT arg_max(n, (k, n)) AS m FROM (SELECT b - a AS n, count(*) AS k FROM I GROUP BY 1)), '
     'P AS (SELECT class, a, m, unnest(range(0, greatest(1, (b - a) // m))) AS i FROM I, M) ||| SELECT class, a + i * m AS "start", a + i * m + m AS "end" FROM P',
 )
 query("split_temporal", lambda s, d: tables.temporal_split(long(s, d), 0.5, 0.25), f"{LONG}, N AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM L) ||| SELECT series_id, t, CASE WHEN t / n < 0.5 THEN 'train' WHEN t / n < 0.75 THEN 'calibration' ELSE 'test' END AS part FROM N")

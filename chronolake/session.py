@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, which all machines share. Where it names none, a
+    local session uses a folder of this machine; a cluster is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        found = tempfile.mkdtemp(prefix="chronolake-")
+    return found.rstrip("/")
+
+
 def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
     """A UTC session with adaptive execution, for tests and the bench."""
     return (

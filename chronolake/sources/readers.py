@@ -1,4 +1,7 @@
-"""Readers of series files into layouts, and sinks of result tables. All are lazy and split by file or line."""
+"""Readers of series files into layouts, and sinks of result tables. All are lazy and split by file or line.
+
+sample_id is a hash of a line's file and its place among the lines that are read: equal lines keep ids of their own,
+and ids stay the same as long as the files and the split size do."""
 
 from __future__ import annotations
 
@@ -6,38 +9,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _lines(spark: SparkSession, path: str, skip: str) -> DataFrame:
+    """value, sample_id of the lines that don't match ``skip``."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"))
+    return lines.where(~F.col("value").rlike(skip)).select("value", F.xxhash64("file", "place").alias("sample_id"))
+
+
 def _labelled(lines: DataFrame, separator: str) -> DataFrame:
     """sample_id, label, values from lines of a label and numbers; '?' and blanks are null."""
     parts = F.filter(F.split(F.trim("value"), separator), lambda x: x != "")
-    rows = lines.where(F.trim("value") != "").select(F.xxhash64("value").alias("sample_id"), parts.alias("p"))
+    rows = lines.select("sample_id", parts.alias("p"))
     return rows.select("sample_id", F.get("p", F.lit(0)).alias("label"), F.transform(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), lambda x: x.try_cast("double")).alias("values"))
 
 
 def read_tsv(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:
     """Label first, no header."""
-    return _labelled(spark.read.text(path), separator)
+    return _labelled(_lines(spark, path, r"^\s*$"), separator)
 
 
 def read_txt(spark: SparkSession, path: str) -> DataFrame:
     """Label first, separated by white space."""
-    return _labelled(spark.read.text(path), r"\s+")
+    return _labelled(_lines(spark, path, r"^\s*$"), r"\s+")
 
 
 def read_arff(spark: SparkSession, path: str) -> DataFrame:
     """ARFF data rows: values, then the label."""
-    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*([%@].*)?$"))
+    lines = _lines(spark, path, r"^\s*([%@].*)?$")
     parts = F.split(F.trim("value"), r"\s*,\s*")
-    rows = lines.select(F.xxhash64("value").alias("sample_id"), parts.alias("p"))
+    rows = lines.select("sample_id", parts.alias("p"))
     return rows.select("sample_id", F.element_at("p", -1).alias("label"), F.transform(F.slice("p", 1, F.size("p") - 1), lambda x: x.try_cast("double")).alias("values"))
 
 
 def read_ts(spark: SparkSession, path: str, labelled: bool = True) -> DataFrame:
     """sample_id, channel, label, values from .ts files: dimensions and the label between colons; (time, value)
     tuples give their values; '?' is null."""
-    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*([#@].*)?$"))
+    lines = _lines(spark, path, r"^\s*([#@].*)?$")
     parts = F.split(F.trim("value"), ":")
     label = F.element_at("p", -1) if labelled else F.lit(None).cast("string")
-    rows = lines.select(F.xxhash64("value").alias("sample_id"), parts.alias("p"))
+    rows = lines.select("sample_id", parts.alias("p"))
     rows = rows.select("sample_id", label.alias("label"), F.posexplode(F.slice("p", 1, F.size("p") - int(labelled))).alias("channel", "text"))
     plain = F.regexp_replace("text", r"\([^,()]*,([^()]*)\)", "$1")
     return rows.select("sample_id", "channel", "label", F.transform(F.split(plain, ","), lambda x: F.trim(x).try_cast("double")).alias("values"))
@@ -92,16 +101,18 @@ def read_results(spark: SparkSession, sources: dict[str, str], schema: str) -> D
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there anything at ``path``, in the file system that it names?"""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def append_new(results: DataFrame, path: str, keys: list[str]) -> None:
     """Appends the rows whose keys the table at ``path`` doesn't have yet: a run that is resumed repeats nothing."""
     spark = results.sparkSession
-    try:
-        done = spark.read.parquet(path).select(*keys).distinct()
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        done = None
-    fresh = results if done is None else results.join(done, keys, "left_anti")
+    fresh = results
+    if exists(spark, path):
+        fresh = results.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
     fresh.write.mode("append").parquet(path)
 
 
