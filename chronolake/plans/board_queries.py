@@ -49,7 +49,7 @@ def _history(s, d):
 
 HISTORY = "HI AS (SELECT CAST(month(o_orderdate) AS INT) AS generation, o_orderkey AS individual, o_totalprice AS fitness, concat_ws(',', 'scale', CASE WHEN o_orderstatus = 'O' THEN 'lag' END, lower(substr(o_orderpriority, 1, 1))) AS operations FROM orders)"
 query("evolution_dynamics", lambda s, d: leaderboard.dynamics(_history(s, d)), f"{HISTORY} ||| SELECT generation, count(*) AS n, max(fitness) AS best, avg(fitness) AS mean, min(fitness) AS worst, avg(len(string_split(operations, ','))) AS complexity FROM HI GROUP BY 1", "best mean worst complexity", 3)
-query("operation_frequency", lambda s, d: leaderboard.operation_frequency(_history(s, d)), f"{HISTORY}, OP AS (SELECT unnest(string_split(operations, ',')) AS operation FROM HI) ||| SELECT operation, count(*) AS n, count(*) / (SELECT count(*) FROM OP) AS share FROM OP GROUP BY 1", "share")
+query("evolution_operations", lambda s, d: leaderboard.operation_frequency(_history(s, d)), f"{HISTORY}, OP AS (SELECT unnest(string_split(operations, ',')) AS operation FROM HI) ||| SELECT operation, count(*) AS n, count(*) / (SELECT count(*) FROM OP) AS share FROM OP GROUP BY 1", "share")
 query("notable_pipelines", lambda s, d: leaderboard.notable(_history(s, d), 3), f"{HISTORY} ||| SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY generation ORDER BY fitness DESC, individual) AS place FROM HI) WHERE place <= 3", "fitness", 3)
 query("stage_summary", lambda s, d: leaderboard.family_stages(records(s, d), "dataset"), f"{RECORDS} ||| SELECT dataset, model, avg(value) AS mean, count(*) AS n, min(value) AS least, max(value) AS most FROM R GROUP BY 1, 2", "mean least most", 3)
 query(

@@ -36,11 +36,16 @@ def first_only(stream: DataFrame, keys: list[str], late: str = "1 hour") -> Data
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def online_z(stream: DataFrame, limit: float = 3.0) -> DataFrame:
+def online_z(stream: DataFrame, limit: float = 3.0, late: str = "1 hour", idle_hours: int = 24 * 30) -> DataFrame:
     """user_id, ts, value, z, is_anomaly: each value against the running mean and deviation of those before it
-    (Welford); state is three numbers a user."""
+    (Welford); state is three numbers a user, and goes ``idle_hours`` after a user's last value.
+
+    A user's rows of one trigger are put in order in one task; how many files a trigger reads bounds them."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, mean, m2 = state.get if state.exists else (0, 0.0, 0.0)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         z = []
@@ -52,10 +57,11 @@ def online_z(stream: DataFrame, limit: float = 3.0) -> DataFrame:
             mean += step / n
             m2 += step * (x - mean)
         state.update((n, mean, m2))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_hours * 3_600_000)
         yield pd.DataFrame({"user_id": key[0], "ts": rows["ts"], "value": rows["value"], "z": z, "is_anomaly": [abs(x) > limit for x in z]})
 
-    rows = stream.select("user_id", "ts", "event_id", "value").groupBy("user_id")
-    return rows.applyInPandasWithState(run, "user_id long, ts timestamp, value double, z double, is_anomaly boolean", "n long, mean double, m2 double", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.withWatermark("ts", late).select("user_id", "ts", "event_id", "value").groupBy("user_id")
+    return rows.applyInPandasWithState(run, "user_id long, ts timestamp, value double, z double, is_anomaly boolean", "n long, mean double, m2 double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(result: DataFrame, path: str, checkpoint: str) -> DataFrame:
