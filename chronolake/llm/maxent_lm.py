@@ -24,7 +24,8 @@ log P(text) is the sum over its words and its end of log P(class | context) + lo
   construction, meet theirs in a join.
 
 Defined cases: null counts as empty, which is one token, the end; without any training document both
-scores are 0 per token; texts that repeat are scored alike and count as often as they come; a null id is
+scores are 0 per token; the trained score depends, slightly, on how many tasks the input splits into, as their
+moves are averaged; texts that repeat are scored alike and count as often as they come; a null id is
 in fold 0; an empty table gives an empty result; other columns are not read.
 """
 
@@ -49,6 +50,9 @@ CLASSES, ENDINGS, AROUND = 64, 2048, 128
 SLOTS, FEATURES, MOST_SLOTS, MOST_FEATURES = 64, 2048, 128, 8192
 #: Hashed rows of each word feature within the classes.
 WITHIN = 128
+#: Tasks of a round at most, or twice the session's cores where that is more: what each hands over is as large as
+#: the weights, however small its share.
+LEAST_TASKS = 64
 #: Parts into which the weights are cut where the tasks' moves meet.
 PIECES = 64
 #: A word that is counted in these sizes occurs 2**OFTEN times or more.
@@ -443,7 +447,8 @@ def _round(part: DataFrame, model: Model, last: bool) -> tuple[np.ndarray, np.nd
         total = sum(np.frombuffer(x, kind).astype("float64") for x in group["x"])
         return pd.DataFrame({"k": [k], "n": [group["n"].sum()], "x": [total.tobytes()]})
 
-    out = part.select("data").mapInPandas(run, "k int, n long, x binary").groupBy("k").applyInPandas(added, "k int, n long, x binary")
+    tasks = max(LEAST_TASKS, 2 * part.sparkSession.sparkContext.defaultParallelism)
+    out = part.select("data").coalesce(tasks).mapInPandas(run, "k int, n long, x binary").groupBy("k").applyInPandas(added, "k int, n long, x binary")
     rows = out.toPandas().sort_values("k")
     if not len(rows):
         return np.zeros_like(model.weights), np.zeros(n_cells), np.zeros(n_slopes)
@@ -465,9 +470,10 @@ def _add_slopes(slopes: np.ndarray, model: Model, values: np.ndarray, classes: n
     at = 3 * CLASSES
     for i, part in enumerate(parts):
         slopes[i * CLASSES : (i + 1) * CLASSES] += np.bincount(classes, part[own, slot] - means[i], CLASSES)
-        for j, y in enumerate(weighted):
-            slopes[at : at + CLASSES] += np.bincount(classes, np.einsum("ij,ij->i", part, y) - means[i] * means[j], CLASSES)
-            at += CLASSES
+        for j in range(i, 3):  # symmetric
+            more = np.bincount(classes, np.einsum("ij,ij->i", part, weighted[j]) - means[i] * means[j], CLASSES)
+            for k in {3 * i + j, 3 * j + i}:
+                slopes[at + k * CLASSES : at + (k + 1) * CLASSES] += more
 
 
 def _update(w: np.ndarray, heat: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
