@@ -166,10 +166,12 @@ def line_lengths(long: DataFrame, threshold: float = 0.7) -> DataFrame:
         for batch in batches:
             out = []
             for key, values, block in zip(batch["series_id"], batch["values"], batch["block"], strict=True):
-                x, found = np.asarray(values), {"diagonal": np.zeros(len(values) + 1, "int64")}
-                for d in range(max(1, block * LINES), min(len(x), (block + 1) * LINES)):
-                    lengths = runs((np.abs(x[d:] - x[:-d]) <= eps)[None, :])
-                    found["diagonal"][: len(lengths)] += lengths
+                x, found = np.asarray(values), {}
+                offset = np.arange(max(1, block * LINES), min(len(x), (block + 1) * LINES))
+                if len(offset):
+                    ahead = np.arange(len(x) - offset[0]) + offset[:, None]
+                    other = x[np.minimum(ahead, len(x) - 1)]
+                    found["diagonal"] = runs((np.abs(other - x[: other.shape[1]]) <= eps) & (ahead < len(x)))
                 near = np.abs(x[block * LINES : (block + 1) * LINES, None] - x[None, :]) <= eps
                 found["vertical"], found["white"] = runs(near), runs(~near)
                 out += [(key, kind, int(k), int(lengths[k])) for kind, lengths in found.items() for k in np.flatnonzero(lengths)]
