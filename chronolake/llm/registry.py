@@ -6,7 +6,20 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolake.llm import ann_search, byte_bpe, impact_search, jaccard_join, language_id, maxent_lm, packing, quality, suffix_dedup, url_filter
+from chronolake.llm import (
+    ann_search,
+    byte_bpe,
+    impact_search,
+    jaccard_join,
+    language_id,
+    maxent_lm,
+    packing,
+    quality,
+    resampling,
+    suffix_dedup,
+    url_filter,
+    vector_codes,
+)
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +65,14 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id % 100 = 0", 10)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_digests(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
@@ -64,8 +85,11 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_vector_codes": op11_vector_codes,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE = {
     "op6_url_filters": url_filter.ORACLE,
     "op10_exact_top_k": impact_search.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
 }
