@@ -152,7 +152,7 @@ def encode(table: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds:
 
 def _long(name: str, known: Column) -> Column:
     """The sum ``name`` as a long; null where a part of it is unknown, or where it is none."""
-    return F.when(known & (F.col(name) < _LONG), F.col(name)).cast("long").alias(name)
+    return F.when(known & (F.col(name) <= _LONG - 1), F.col(name)).cast("long").alias(name)
 
 
 def decode(codes: DataFrame, books: Books, scale: int = SCALE) -> DataFrame:
@@ -177,29 +177,29 @@ def oracle(parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, sca
     """DuckDB SQL for ``code_digests``, a common table for each round; for vectors of one length that ``parts`` divides."""
 
     def assigned(book: str, more: str = "") -> str:
-        return f"""(SELECT at, part, min(d * {entries} + entry) % {entries} AS entry, min(d * {entries} + entry) // {entries} AS error{more} FROM (
-    SELECT p.at, p.part, b.entry, list_sum(list_transform(list_zip(p.part, b.part), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
-    FROM parts p JOIN {book} b ON p.at = b.at) GROUP BY at, part)"""
+        return f"""(SELECT pos, part, min(d * {entries} + entry) % {entries} AS entry, min(d * {entries} + entry) // {entries} AS error{more} FROM (
+    SELECT p.pos, p.part, b.entry, list_sum(list_transform(list_zip(p.part, b.part), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM parts p JOIN {book} b ON p.pos = b.pos) GROUP BY pos, part)"""
 
     tables = [
         f"""v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS n, vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS x
   FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
-        f"cut AS MATERIALIZED (SELECT n, vec_id, label, at, x[at * (len(x) // {parts}) + 1 : (at + 1) * (len(x) // {parts})] AS part FROM v, range({parts}) r(at))",
-        "parts AS MATERIALIZED (SELECT at, part, count(*) AS weight FROM cut GROUP BY at, part)",
-        f"b0 AS MATERIALIZED (SELECT at, n - 1 AS entry, part FROM cut WHERE n <= {entries})",
+        f"cut AS MATERIALIZED (SELECT n, vec_id, label, pos, x[pos * (len(x) // {parts}) + 1 : (pos + 1) * (len(x) // {parts})] AS part FROM v, range({parts}) r(pos))",
+        "parts AS MATERIALIZED (SELECT pos, part, count(*) AS weight FROM cut GROUP BY pos, part)",
+        f"b0 AS MATERIALIZED (SELECT pos, n - 1 AS entry, part FROM cut WHERE n <= {entries})",
     ]
     for i in range(rounds):
         tables.append(
             f"""b{i + 1} AS MATERIALIZED (
-  WITH s AS (SELECT a.at, a.entry, generate_subscripts(a.part, 1) AS dim, unnest(a.part) * p.weight AS x, p.weight FROM {assigned(f"b{i}")} a JOIN parts p USING (at, part)),
-  t AS (SELECT at, entry, dim, sum(x)::BIGINT AS x, sum(weight)::BIGINT AS w FROM s GROUP BY ALL),
-  m AS (SELECT at, entry, list((x - ((x % w) + w) % w) // w ORDER BY dim) AS part FROM t GROUP BY at, entry)
-  SELECT b.at, b.entry, coalesce(m.part, b.part) AS part FROM b{i} b LEFT JOIN m USING (at, entry))"""
+  WITH s AS (SELECT a.pos, a.entry, generate_subscripts(a.part, 1) AS dim, unnest(a.part) * p.weight AS x, p.weight FROM {assigned(f"b{i}")} a JOIN parts p USING (pos, part)),
+  t AS (SELECT pos, entry, dim, sum(x)::BIGINT AS x, sum(weight)::BIGINT AS w FROM s GROUP BY ALL),
+  m AS (SELECT pos, entry, list((x - ((x % w) + w) % w) // w ORDER BY dim) AS part FROM t GROUP BY pos, entry)
+  SELECT b.pos, b.entry, coalesce(m.part, b.part) AS part FROM b{i} b LEFT JOIN m USING (pos, entry))"""
         )
     last = f"b{rounds}"
     tables += [
-        f"coded AS MATERIALIZED (SELECT c.n, c.vec_id, c.label, string_agg(printf('%02x', a.entry), '' ORDER BY c.at) AS code, sum(a.error)::BIGINT AS error FROM cut c JOIN {assigned(last)} a USING (at, part) GROUP BY c.n, c.vec_id, c.label)",
-        f"sha AS (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY at, entry)) AS codebooks_sha256 FROM {last})",
+        f"coded AS MATERIALIZED (SELECT c.n, c.vec_id, c.label, string_agg(printf('%02x', a.entry), '' ORDER BY c.pos) AS code, sum(a.error)::BIGINT AS error FROM cut c JOIN {assigned(last)} a USING (pos, part) GROUP BY c.n, c.vec_id, c.label)",
+        f"sha AS (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY pos, entry)) AS codebooks_sha256 FROM {last})",
     ]
     return "WITH " + ",\n".join(tables) + "\nSELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded, sha"
 
