@@ -14,6 +14,7 @@ from chronolake.llm import (
     language_id,
     maxent_lm,
     packing,
+    passage_trees,
     quality,
     resampling,
     suffix_dedup,
@@ -69,6 +70,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_digests(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_passage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_trees.removal_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -86,10 +91,12 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_exact_top_k": op10_exact_top_k,
     "op11_vector_codes": op11_vector_codes,
+    "op12_passage_trees": op12_passage_trees,
     "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE = {
     "op6_url_filters": url_filter.ORACLE,
     "op10_exact_top_k": impact_search.ORACLE,
     "op11_vector_codes": vector_codes.ORACLE,
+    "op12_passage_trees": passage_trees.ORACLE,
 }
