@@ -16,8 +16,9 @@ Lists are split into blocks of bounded size, as are the queries that visit a lis
 a third of all rows is many tasks. What is broadcast is bounded by the parameters below.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and rows without an
-id take no part; rows that repeat id and vector count once; a query's candidates are all rows but itself,
-other rows of its id included, and rows of one id ask apart; shorter vectors are padded with zeros; fewer candidates than k: all that were found; an
+id take no part; rows that repeat id and vector are kept as one with a number, yet each asks and each answers; a
+query's candidates are all rows but itself, other rows of its id included, and rows of one id ask apart; vectors
+are scaled by powers of two, so that no component is too large or small; shorter vectors are padded with zeros; fewer candidates than k: all that were found; an
 empty table gives an empty result.
 """
 
@@ -76,8 +77,14 @@ class Coder:
         return codes, np.sqrt(left)
 
 
+def scaled(data: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component near 1: its cosines stay as they are,
+    and no square overflows or vanishes."""
+    return np.ldexp(data, -np.frexp(np.abs(data).max(axis=1, keepdims=True))[1])
+
+
 def unit_rows(data: np.ndarray) -> np.ndarray:
-    data = data / np.maximum(np.abs(data).max(axis=1, keepdims=True), 1e-300)
+    data = scaled(data)
     return data / np.sqrt((data * data).sum(axis=1, keepdims=True))
 
 
@@ -132,8 +139,8 @@ def nearest(table: DataFrame, queries_of: str, k: int) -> DataFrame:
 
     element = table.schema["embedding"].dataType.simpleString()
     scratch = Scratch(spark)
-    filed = scratch.store(rows.mapInPandas(file, f"vec_id long, row long, embedding {element}, list_id int, code binary, left_out double"), "filed")
-    visits = rows.where(queries_of).mapInPandas(visit, f"vec_id long, row long, embedding {element}, list_id array<int>")
+    filed = scratch.store(rows.mapInPandas(file, f"vec_id long, row long, times long, embedding {element}, list_id int, code binary, left_out double"), "filed")
+    visits = rows.where(queries_of).mapInPandas(visit, f"vec_id long, row long, times long, embedding {element}, list_id array<int>")
     visits = scratch.store(visits, "visits").withColumn("list_id", F.explode("list_id"))
 
     # blocks: counts by list are bounded by MOST_LISTS
@@ -158,12 +165,13 @@ def nearest(table: DataFrame, queries_of: str, k: int) -> DataFrame:
         out = []
         if len(block) and len(asked):
             coder = shared.value
-            ids, own, data = block["vec_id"].to_numpy(), block["row"].to_numpy(), matrix(block["embedding"], dims, "float64")
+            ids, own, times, data = block["vec_id"].to_numpy(), block["row"].to_numpy(), block["times"].to_numpy(), scaled(matrix(block["embedding"], dims, "float64"))
             codes = np.frombuffer(b"".join(block["code"]), "uint8").reshape(len(ids), -1)
             slack = block["left_out"].to_numpy() + 1e-9
             norms = np.sqrt((data * data).sum(axis=1))
             centroid = coder.centroids[int(block["list_id"].iloc[0])]
-            names, rows_of, wanted = asked["vec_id"].to_numpy(), asked["row"].to_numpy(), matrix(asked["embedding"], dims, "float64")
+            names, rows_of, wanted = asked["vec_id"].to_numpy(), asked["row"].to_numpy(), scaled(matrix(asked["embedding"], dims, "float64"))
+            asked_times = asked["times"].to_numpy()
             units = unit_rows(wanted)
             for at in range(0, len(names), STEP):
                 part = units[at : at + STEP]
@@ -171,7 +179,7 @@ def nearest(table: DataFrame, queries_of: str, k: int) -> DataFrame:
                 for m, slices in enumerate(np.split(part, len(coder.books), axis=1)):
                     guess += (slices @ coder.books[m].T)[:, codes[:, m]]
                 for i, name in enumerate(names[at : at + STEP]):
-                    places = np.flatnonzero(own != rows_of[at + i])
+                    places = np.flatnonzero((own != rows_of[at + i]) | (times > 1))
                     if len(places) > k:
                         low = guess[i, places] - slack[places]
                         bar = np.partition(low, len(low) - k)[len(low) - k]
@@ -179,9 +187,11 @@ def nearest(table: DataFrame, queries_of: str, k: int) -> DataFrame:
                     query = wanted[at + i]
                     scores = (data[places] * query).sum(axis=1) / (norms[places] * math.sqrt((query * query).sum()))
                     top = top_of(scores, ids[places], k)
-                    out.append(pd.DataFrame({"query_id": name, "query_row": rows_of[at + i], "vec_id": ids[places][top], "score": scores[top]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "query_row": [], "vec_id": [], "score": []})
+                    hit = places[top]
+                    found = {"query_id": name, "query_row": rows_of[at + i], "asked": asked_times[at + i], "vec_id": ids[hit], "score": scores[top], "times": times[hit] - (own[hit] == rows_of[at + i])}
+                    out.append(pd.DataFrame(found))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("query_id", "query_row", "asked", "vec_id", "score", "times")})
 
     keys = ["list_id", "r", "q"]
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, query_row long, vec_id long, score double")
+    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, query_row long, asked long, vec_id long, score double, times long")
     return scratch.finish(best(hits, k), "nearest")
