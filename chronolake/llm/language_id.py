@@ -68,18 +68,51 @@ def features(text: str) -> np.ndarray:
 
 
 def linear_svm(x: np.ndarray, positive: np.ndarray, rounds: int = 60, keep: float = 1e-4) -> np.ndarray:
-    """Weights (the last is the bias) of a linear classifier with squared hinge loss, by accelerated gradient."""
+    """Weights (the last is the bias) of linear classifiers with squared hinge loss, by accelerated gradient: one
+    for each column of ``positive``, all at once, as rows of the result."""
     y = np.where(positive, 1, -1).astype("float32")
-    weight = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())).astype("float32")
-    w = look = np.zeros(x.shape[1] + 1, "float32")
-    step = 1 / (2 * float(weight.sum()) * 2 + keep)
+    shares = [0.5 / np.maximum(1, which.sum(axis=0)) for which in (positive, ~positive)]
+    weight = np.where(positive, *shares).astype("float32")
+    w = look = np.zeros((x.shape[1] + 1, positive.shape[1]), "float32")
+    step = (1 / (4 * weight.sum(axis=0) + keep)).astype("float32")
     for i in range(rounds):
         pull = weight * y * np.maximum(0, 1 - y * (x @ look[:-1] + look[-1]))
-        grad = -2 * np.r_[pull @ x, pull.sum()] + keep * look
+        grad = -2 * np.vstack([x.T @ pull, pull.sum(axis=0)]) + np.float32(keep) * look
         new = look - step * grad
-        look = new + i / (i + 3) * (new - w)
+        look = new + np.float32(i / (i + 3)) * (new - w)
         w = new
-    return w
+    return np.ascontiguousarray(w.T)
+
+
+def grouped(profile: np.ndarray, wanted: int) -> list[list[int]]:
+    """Rows of ``profile`` in ``wanted`` groups: the two most alike on average join, again and again; ties to the
+    first. Every group knows its best partner among the later ones, so that a step compares few pairs anew."""
+    alike = (profile @ profile.T).astype("float64")
+    n, members = len(alike), {i: [i] for i in range(len(alike))}
+    sizes, there = np.ones(n), np.ones(n, bool)
+
+    def partner(i: int) -> tuple[float, int]:
+        means = np.where(there[i + 1 :], alike[i, i + 1 :] / (sizes[i] * sizes[i + 1 :]), -np.inf)
+        at = int(means.argmax()) if len(means) else 0
+        return (float(means[at]), i + 1 + at) if len(means) else (-np.inf, i)
+
+    known = [partner(i) for i in range(n)]
+    while len(members) > wanted:
+        i = max(members, key=lambda g: (known[g][0], -g))
+        j = known[i][1]
+        members[i] += members.pop(j)
+        alike[i] += alike[j]
+        alike[:, i] += alike[:, j]
+        sizes[i] += sizes[j]
+        there[j] = False
+        known[i] = partner(i)
+        for g in members:
+            if g < i:
+                mean = float(alike[g, i] / (sizes[g] * sizes[i]))
+                known[g] = partner(g) if known[g][1] in (i, j) else max(known[g], (mean, i), key=lambda p: (p[0], -p[1]))
+            elif g < j and known[g][1] == j:
+                known[g] = partner(g)
+    return list(members.values())
 
 
 @dataclass
@@ -127,23 +160,27 @@ def fit(x: np.ndarray, languages: list[str]) -> LanguageModel | None:
     names = sorted(set(languages))
     if not names:
         return None
-    profile = np.stack([x[labels == n].mean(axis=0) for n in names])
+    order = np.argsort(labels, kind="stable")
+    ends = np.searchsorted(labels[order], np.array(names, object), side="right").tolist()
+    of = {name: order[low:high] for name, low, high in zip(names, [0, *ends[:-1]], ends, strict=True)}  # its rows
+    profile = np.stack([x[of[n]].mean(axis=0) for n in names])
     profile /= np.sqrt((profile * profile).sum(axis=1, keepdims=True))
-    groups = [[i] for i in range(len(names))]
-    while len(groups) > (len(names) + 1) // 2:
-        i, j = max(combinations(range(len(groups)), 2), key=lambda p: float(np.mean(profile[groups[p[0]]] @ profile[groups[p[1]]].T)))
-        groups[i] += groups.pop(j)
-    families = [[names[i] for i in sorted(g)] for g in groups]
-    of_family = [linear_svm(x, np.isin(labels, f)) for f in families] if len(families) > 1 else [np.zeros(x.shape[1] + 1, "float32")]
+    families = [[names[i] for i in sorted(g)] for g in grouped(profile, (len(names) + 1) // 2)]
+    family = {name: n for n, f in enumerate(families) for name in f}
+    own = np.array([family[name] for name in languages])
+    of_family = np.zeros((1, x.shape[1] + 1), "float32")
+    if len(families) > 1:  # so many at once that what they need is as large as the sample at most
+        parts = [np.arange(at, min(at + BUCKETS, len(families))) for at in range(0, len(families), BUCKETS)]
+        of_family = np.concatenate([linear_svm(x, own[:, None] == part[None, :]) for part in parts])
     pairs = [list(combinations(range(len(f)), 2)) for f in families]
     of_pairs = []
     for f, wanted in zip(families, pairs, strict=True):
         found = []
         for a, b in wanted:
-            rows = np.isin(labels, [f[a], f[b]])
-            found.append(linear_svm(x[rows], labels[rows] == f[a]))
+            rows = np.sort(np.concatenate([of[f[a]], of[f[b]]]))
+            found.append(linear_svm(x[rows], (labels[rows] == f[a])[:, None])[0])
         of_pairs.append(np.array(found))
-    return LanguageModel(families, np.array(of_family), pairs, of_pairs)
+    return LanguageModel(families, of_family, pairs, of_pairs)
 
 
 def learn(docs: DataFrame) -> LanguageModel | None:
@@ -152,10 +189,10 @@ def learn(docs: DataFrame) -> LanguageModel | None:
     spot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003))
     sizes = held.groupBy("lang").agg(F.count("*").alias("n"), F.min(spot).alias("low")).orderBy(F.desc("n"), "lang").limit(SAMPLE).collect()
     each = SAMPLE // max(1, len(sizes))
-    limit = F.lit(-1)
-    for r in sizes:  # twice as many as are wanted, to rank few; one text at least
-        limit = F.when(F.col("lang") == r["lang"], F.lit(max(int(2_000_006 * each / r["n"]) + 2000, r["low"] + 1))).otherwise(limit)
-    chosen = held.select("lang", "text", spot.alias("spot")).where(F.col("spot") < limit)
+    # Twice as many as are wanted, to rank few; one text at least. A row for each of at most SAMPLE languages.
+    limits = [(r["lang"], max(int(2_000_006 * each / r["n"]) + 2000, r["low"] + 1)) for r in sizes]
+    limits = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, limit long"))
+    chosen = held.select("lang", "text", spot.alias("spot")).join(limits, "lang").where(F.col("spot") < F.col("limit"))
     order = Window.partitionBy("lang").orderBy("spot", "text")
     chosen = chosen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select("lang", "text")
 

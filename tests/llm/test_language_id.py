@@ -115,3 +115,28 @@ def test_a_language_of_repeats_and_more_languages_than_the_sample(spark, monkeyp
     monkeypatch.setattr(language_id, "SAMPLE", 2)
     data = [(1, "zwö fix grt", "rep", "s")] * 3000 + [(2, "ka lo mi", "aa", "s")] * 2 + [(3, "x", "bb", "s")]
     assert language_id.learn(table(spark, data)).families == [["aa", "rep"]]
+
+
+def test_groups_by_average_likeness():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        n = int(rng.integers(1, 12))
+        profile = rng.random((n, 5))
+        profile /= np.sqrt((profile * profile).sum(axis=1, keepdims=True))
+        true = [[i] for i in range(n)]
+        while len(true) > (n + 1) // 2:
+            i, j = max(((i, j) for i in range(len(true)) for j in range(i + 1, len(true))), key=lambda p: np.mean(profile[true[p[0]]] @ profile[true[p[1]]].T))
+            true[i] += true.pop(j)
+        assert sorted(map(sorted, language_id.grouped(profile, (n + 1) // 2))) == sorted(map(sorted, true))
+
+
+def test_more_languages_than_are_learned(spark):
+    """5000 languages of a text each: the 4000 that sort first are learned, and nothing breaks."""
+    letters = "abcdefghij"
+    rows = [(i, " ".join([letters[int(d)] * 3 for d in f"{i:05d}"] * 2), f"l{i:05d}") for i in range(6300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").where(language_id.fold(language_id.F.col("doc_id")) != 0)
+    assert docs.count() > 5000
+    model = language_id.learn(docs)
+    assert sum(map(len, model.families)) == 4000
+    out = language_id.predictions(docs.orderBy("lang").limit(200), model).collect()
+    assert len(out) == 200 and all(0 <= r.score <= 1 and r.lang_pred.startswith("l") for r in out)
