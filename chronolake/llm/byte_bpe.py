@@ -5,7 +5,8 @@ the rank table and a bounded memo of pre-tokens in each Python worker.
 
 Defined cases: a null or empty text has no ids; text that is not valid Unicode was already replaced by
 Spark's string reader; repeated rows give repeated results; an empty table gives an empty result;
-further columns of the input are ignored.
+further columns of the input are ignored; a rank file with ranks above 65,535 is a ValueError; a very long text is
+split and merged pre-token by pre-token.
 """
 
 from __future__ import annotations
@@ -83,6 +84,8 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
+        if max(ranks.values()) >= len(BITS) ** 2:
+            raise ValueError(f"ranks above {len(BITS) ** 2 - 1} don't fit the queue of ranks")
         self.ranks = ranks
         self.words = {i: b for b, i in ranks.items()}
         self.split = regex.compile(pattern).findall

@@ -234,8 +234,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     )
     classes = scratch.store(classes, "classes")
 
-    members = signed_rows.select("v", F.explode("bands").alias("band"))
+    banded = scratch.store(signed_rows.groupBy("c", "v").agg(F.first("bands").alias("bands")), "bands")  # a class's rows share them
+    members = banded.select("v", F.explode("bands").alias("band"))
     buckets = members.groupBy("band").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low < high").select("band", "low")
+    buckets = scratch.store(buckets, "buckets")
     met = scratch.store(members.join(buckets, "band").select("band", "v", "low").distinct(), "met")
     scopes = components(met.select(F.col("v").alias("a"), F.col("low").alias("b")), scratch, "scopes")
     grams = classes.groupBy("v").agg(F.max("grams").alias("grams"))
@@ -249,7 +251,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     tiles = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("all") / TILE_GRAMS)).cast("int")
     places = whole.unionByName(wide).withColumn("tiles", tiles)
 
-    shingled = _shingles(docs, signed_rows, classes, scopes)
+    shingled = _shingles(docs, banded, classes, scopes)
     dealt = (
         shingled.join(places, shingled["v"] == places["node"])
         .withColumn("tile", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int"))
@@ -272,7 +274,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     return scratch.finish(signed_rows.select("doc_id", "t1", "t2", "c"), "near-rows"), found
 
 
-def _shingles(docs: DataFrame, rows: DataFrame, classes: DataFrame, scopes: DataFrame) -> DataFrame:
+def _shingles(docs: DataFrame, banded: DataFrame, classes: DataFrame, scopes: DataFrame) -> DataFrame:
     """c, v, n, bands, shingles (sorted, as bytes) of the classes that have a scope; one text of each is read."""
     wanted = classes.join(scopes.select(F.col("node").alias("v")), "v").select("t.t1", "t.t2", "c", "v", "n")
     text = F.coalesce("text", F.lit(""))
@@ -294,8 +296,7 @@ def _shingles(docs: DataFrame, rows: DataFrame, classes: DataFrame, scopes: Data
 
     made = keyed.join(wanted, ["t1", "t2"]).select("c", "v", "n", "text").mapInArrow(run, "c binary, v long, n long, shingles binary")
     one = made.groupBy("c").agg(F.first("v").alias("v"), F.first("n").alias("n"), F.first("shingles").alias("shingles"))
-    bands = rows.select("c", "v", "bands").join(scopes.select(F.col("node").alias("v")), "v", "left_semi")
-    return one.join(bands.groupBy("c").agg(F.first("bands").alias("bands")), "c")
+    return one.join(banded, ["c", "v"])
 
 
 def links_by_document(docs: DataFrame) -> DataFrame:

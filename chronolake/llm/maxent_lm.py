@@ -552,7 +552,7 @@ def scores(docs: DataFrame) -> DataFrame:
     pairs = one.select("k1", "k2", F.inline("pairs")).withColumnRenamed("rare", "word").join(rest, "word", "left")
     n = F.coalesce("n", F.lit(0))
     sums = pairs.groupBy("k1", "k2").agg(F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(n + 0.5)).alias("rest"))
-    both = scored.join(sums, ["k1", "k2"], "left")
+    both = scored.join(materialise(sums, "rare-words"), ["k1", "k2"], "left")
     whole = math.log10(model.train_tokens + 0.5 * (model.train_words + 1))
     rest_sum = F.coalesce("rest", F.lit(0.0))
     return both.select(

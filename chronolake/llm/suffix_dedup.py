@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolake.llm.common import Scratch, claim, content_key
+from chronolake.llm.common import Scratch, claim, content_key, materialise
 
 LENGTH = 400
 #: Bytes of a passage that documents share: passages of over 50 words of prose have more.
@@ -439,7 +439,7 @@ def removal_digests(docs: DataFrame, length: int = LENGTH, passage: int = PASSAG
     rows, _ = _keyed(docs.select("doc_id", "text"))
     shared = repeated_starts(rows, passage)
     spans = _longer_starts(rows, shared, passage, length)
-    both = shared.withColumnRenamed("spans", "shared").join(spans, ["k1", "k2"], "left")
+    both = materialise(shared.withColumnRenamed("spans", "shared").join(spans, ["k1", "k2"], "left"), "all-spans")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolake.llm.common import materialise
+
 #: Rules of the registered query: fixed values (host, path prefix, verdict).
 RULES = [
     ("net", "/", "block"),
@@ -75,6 +77,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     best = hits.groupBy("host", "path").agg(
         F.max(F.struct(F.length("rule").alias("n"), "host_length", (F.col("rule_verdict") == "block").alias("b"), "rule", "rule_verdict")).alias("best")
     )
+    best = materialise(best, "best-rules")  # so that Spark can split the join of a very common url
     joined = urls.join(best, ["host", "path"], "left")
     return joined.select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")
