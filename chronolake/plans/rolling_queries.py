@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronolake.operators import detect, features, forecast, learn, matrix, metrics, rolling
+from chronolake.operators import detect, features, forecast, kernels, learn, matrix, metrics, rolling
 from chronolake.plans.inputs import LABELLED, LONG, PANEL, labelled, long, panel, query, read
 from chronolake.plans.record_queries import CLASSES, CONFUSION, RECUR, TRUTH, _predicted, _train
 from chronolake.plans.series_queries import BASIC_SQL
@@ -125,24 +125,26 @@ query(
     "rr det adll div edl lam avll evl awll ewll rdrr rld",
 )
 
-# ---- kernels over a stated set of samples
+# ---- kernels of all samples with landmarks, the sixteen of least id
 KERNEL = (
-    f"{PANEL}, A0 AS (SELECT * FROM P WHERE sample_id % 50 = 0), KM AS (SELECT a.sample_id AS i, b.sample_id AS j, a.target = b.target AS same, exp(-0.5 * power(list_distance(a.v, b.v), 2)) AS k FROM A0 a, A0 b), "
-    "KC AS (SELECT i, j, same, k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER () AS k FROM KM)"
+    f"{PANEL}, A0 AS (SELECT * FROM P ORDER BY sample_id LIMIT 16), KM AS (SELECT a.sample_id AS i, b.sample_id AS j, a.target AS c, exp(-0.5 * power(list_distance(a.v, b.v), 2)) AS k FROM P a, A0 b), "
+    "KZ AS (SELECT i, j, k - avg(k) OVER (PARTITION BY j) AS z FROM KM), KY AS (SELECT sample_id AS i, c, CAST(target = c AS INT) - avg(CAST(target = c AS INT)) OVER (PARTITION BY c) AS y FROM P, (SELECT DISTINCT target AS c FROM P)), "
+    "KK AS (SELECT sum(s * s) AS kk FROM (SELECT sum(a.z * b.z) AS s FROM KZ a JOIN KZ b ON a.i = b.i GROUP BY a.j, b.j)), KI AS (SELECT sum(s * s) AS ky FROM (SELECT sum(z * y) AS s FROM KZ JOIN KY USING (i) GROUP BY j, c)), "
+    "YY AS (SELECT sum(s * s) AS yy FROM (SELECT sum(a.y * b.y) AS s FROM KY a JOIN KY b ON a.i = b.i GROUP BY a.c, b.c))"
 )
 
 
-def _kernel(s, d):
-    return matrix.kernel_matrix(panel(s, d).where("sample_id % 50 = 0"), "rbf", 0.5)
+def _landmark_kernel(s, d):
+    return kernels.landmark_kernel(panel(s, d), *kernels.first_landmarks(panel(s, d), 16), "rbf", 0.5)
 
 
-query("kernel_centred", lambda s, d: matrix.trace_normalised(matrix.centred(_kernel(s, d))), f"{KERNEL} ||| SELECT i, j, k / (SELECT sum(k) / count(*) FROM KC WHERE i = j) AS k FROM KC", "k")
-query(
-    "kernel_alignment",
-    lambda s, d: matrix.alignment(_kernel(s, d), panel(s, d).select("sample_id", "target")),
-    f"{KERNEL}, KY AS (SELECT k, y - avg(y) OVER (PARTITION BY i) - avg(y) OVER (PARTITION BY j) + avg(y) OVER () AS y FROM (SELECT i, j, k, CAST(same AS DOUBLE) AS y FROM KC)) ||| SELECT coalesce(sum(k * y) / nullif(sqrt(sum(k * k)) * sqrt(sum(y * y)), 0), 0.0) AS alignment FROM KY",
-    "alignment",
-)
+def _alignment(s, d):
+    products = kernels.kernel_products(panel(s, d), {"rbf": ("rbf", 0.5)}, kernels.first_landmarks(panel(s, d), 16)[1], whole=False)
+    return s.createDataFrame([(products.n, products.likeness(0, 1))], "n long, alignment double")
+
+
+query("kernel_centred", lambda s, d: kernels.centred_landmarks(_landmark_kernel(s, d)), f"{KERNEL} ||| SELECT i, j, k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER () AS k FROM KM", "k")
+query("kernel_alignment", _alignment, f"{KERNEL} ||| SELECT (SELECT count(*) FROM P WHERE target IS NOT NULL) AS n, ky / sqrt(kk * yy) AS alignment FROM KK, KI, YY", "alignment")
 
 
 # ---- channels: the four quarters of a vector

@@ -7,11 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from chronolake.operators.filters import OnlineAutoregression
+
 
 def source(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     """A folder of Parquet files as a stream; ts as a timestamp."""
@@ -64,6 +67,27 @@ def online_z(stream: DataFrame, limit: float = 3.0, late: str = "1 hour", idle_h
     return rows.applyInPandasWithState(run, "user_id long, ts timestamp, value double, z double, is_anomaly boolean", "n long, mean double, m2 double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def online_weights(stream: DataFrame, model: OnlineAutoregression | None = None, late: str = "1 hour", idle_hours: int = 24 * 30) -> DataFrame:
+    """user_id, ts, event_id, expected (null for the first values), move, as ``filters.online_autoregression`` gives them,
+    for values that arrive in order; state is the model's weights and last values, and goes ``idle_hours`` after a
+    user's last value."""
+    model = model or OnlineAutoregression()
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        known, found = model.step(list(state.get[0]) if state.exists else model.begin(), rows["value"].to_numpy("float64"))
+        state.update((known,))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_hours * 3_600_000)
+        expected = [None if np.isnan(x) else float(x) for x in found["expected"]]
+        yield pd.DataFrame({"user_id": key[0], "ts": rows["ts"], "event_id": rows["event_id"], "expected": expected, "move": found["move"]})
+
+    rows = stream.withWatermark("ts", late).select("user_id", "ts", "event_id", "value").groupBy("user_id")
+    return rows.applyInPandasWithState(run, "user_id long, ts timestamp, event_id long, expected double, move double", "known array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def drain(result: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Runs a stream over all that is there, exactly once into Parquet files, and reads them."""
     q = result.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
