@@ -35,6 +35,14 @@ def threshold(points: DataFrame, method: str) -> DataFrame:
     return both.select("series_id", (F.col("m") + 3 * F.when(F.col("d") <= 1e-8, F.col("s")).otherwise(F.col("d"))).alias("threshold"))
 
 
+def right_aligned(long: DataFrame, scores: DataFrame, limit: float) -> DataFrame:
+    """series_id, t, score, label of every point: a window's score (series_id, end, score) is that of its last point, points
+    before the first window's end have 0; label: 1 where the score's size is over ``limit``."""
+    own = scores.select("series_id", (F.col("end") - 1).alias("t"), "score")
+    rows = long.select("series_id", "t").join(own, ["series_id", "t"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return rows.withColumn("label", (F.abs("score") > limit).cast("long"))
+
+
 def regimes(long: DataFrame, reference: float = 1.0) -> DataFrame:
     """series_id, t, value, step, regime: ``transition`` where the absolute step reaches its quantile 0.85, else
     ``high_load`` or ``low_load`` beyond the value's quartiles, else ``stable``. Quantiles are taken over the

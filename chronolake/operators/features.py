@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolake.operators.layouts import by_series, whole_series
+from chronolake.operators.layouts import by_series, spread, whole_series
 
 BASIC = ["mean", "median", "std", "max", "min", "q5", "q25", "q75", "q95"]
 
@@ -25,29 +25,35 @@ def pearson(x: Column, y: Column) -> Column:
 
 def basic(long: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
     """mean, median, std (population), max, min, q5, q25, q75, q95 (linear)."""
-    q = {f"q{int(100 * p)}": p for p in (0.05, 0.25, 0.75, 0.95)}
-    return long.groupBy(*keys).agg(
-        F.avg("value").alias("mean"),
-        F.percentile("value", F.lit(0.5)).alias("median"),
-        F.stddev_pop("value").alias("std"),
-        F.max("value").alias("max"),
-        F.min("value").alias("min"),
-        *[F.percentile("value", F.lit(p)).alias(name) for name, p in q.items()],
-    )
+    return long.groupBy(*keys).agg(*_basic()).select(*keys, *BASIC)
 
 
-def moments(long: DataFrame) -> DataFrame:
-    """skewness and excess kurtosis (biased), slope on 0..n-1, iqr, energy, ptp, crest."""
-    rms = F.sqrt(F.avg(F.col("value") * F.col("value")))
-    return long.groupBy("series_id").agg(
+def _quantiles() -> Column:
+    """The median and q5, q25, q75, q95 from one set of counted values."""
+    return F.percentile("value", F.array(*map(F.lit, (0.5, 0.05, 0.25, 0.75, 0.95))))
+
+
+def _basic() -> list[Column]:
+    q = [F.get(_quantiles(), F.lit(i)).alias(name) for i, name in enumerate(("median", "q5", "q25", "q75", "q95"))]
+    return [F.avg("value").alias("mean"), q[0], F.stddev_pop("value").alias("std"), F.max("value").alias("max"), F.min("value").alias("min"), *q[1:]]
+
+
+def _moments() -> list[Column]:
+    square = F.avg(F.col("value") * F.col("value"))
+    return [
         F.skewness("value").alias("skewness"),
         F.kurtosis("value").alias("kurtosis"),
         F.regr_slope("value", F.col("t").cast("double")).alias("slope"),
-        (F.percentile("value", F.lit(0.75)) - F.percentile("value", F.lit(0.25))).alias("iqr"),
-        F.avg(F.col("value") * F.col("value")).alias("energy"),
+        (F.get(_quantiles(), F.lit(3)) - F.get(_quantiles(), F.lit(2))).alias("iqr"),
+        square.alias("energy"),
         (F.max("value") - F.min("value")).alias("ptp"),
-        F.try_divide(F.max(F.abs("value")), rms).alias("crest"),
-    )
+        F.try_divide(F.max(F.abs("value")), F.sqrt(square)).alias("crest"),
+    ]
+
+
+def moments(long: DataFrame) -> DataFrame:
+    """skewness and excess kurtosis (biased), slope on 0..n-1, iqr, energy, ptp, crest."""
+    return long.groupBy("series_id").agg(*_moments())
 
 
 def peaks(long: DataFrame) -> DataFrame:
@@ -70,8 +76,9 @@ def peak_features(long: DataFrame) -> DataFrame:
     return every.select("series_id", F.coalesce("n", F.lit(0)).alias("n_peaks"), distance.alias("mean_peak_distance"))
 
 
-def sequence_features(long: DataFrame) -> DataFrame:
-    """cross_rate, autocorrelation (circular, lag 1), mobility, complexity, petrosian, ema."""
+def sequence_features(long: DataFrame, more: list[Column] | None = None) -> DataFrame:
+    """cross_rate, autocorrelation (circular, lag 1), mobility, complexity, petrosian, ema; and ``more`` aggregates of value
+    and t in the same pass."""
     w, all_ = by_series(), whole_series()
     n = F.count("*").over(all_)
     rows = long.select(
@@ -98,6 +105,7 @@ def sequence_features(long: DataFrame) -> DataFrame:
         F.sqrt(F.try_divide(m4 * power, m2 * m2)).alias("complexity"),
         F.try_divide(F.log10(count), F.log10(count) + F.log10(count / (count + 0.4 * turns))).alias("petrosian"),
         (F.sum(weight * F.col("value")) / F.sum(weight)).alias("ema"),
+        *(more or []),
     )
 
 
@@ -136,7 +144,7 @@ def moving_median(long: DataFrame) -> DataFrame:
         return pd.DataFrame({"series_id": group["series_id"].iloc[:1], "moving_median": [medians.mean()]})
 
     kind = long.schema["series_id"].dataType.simpleString()
-    return long.select("series_id", "t", "value").groupBy("series_id").applyInPandas(run, f"series_id {kind}, moving_median double")
+    return spread(long.select("series_id", "t", "value")).groupBy("series_id").applyInPandas(run, f"series_id {kind}, moving_median double")
 
 
 def distribution_entropy(long: DataFrame) -> DataFrame:
@@ -149,7 +157,7 @@ def distribution_entropy(long: DataFrame) -> DataFrame:
 
 def all_features(long: DataFrame) -> DataFrame:
     """The nine basic statistics and nineteen further columns of every series; nulls and NaN are 0."""
-    parts = [basic(long), moments(long), peak_features(long), sequence_features(long), entropy(long), benford(long), moving_median(long)]
+    parts = [sequence_features(long, [*_basic(), *_moments()]), peak_features(long), entropy(long), benford(long), moving_median(long)]
     both = reduce(lambda a, b: a.join(b, "series_id"), parts)
     clean = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in both.columns if c != "series_id"]
     return both.select("series_id", *clean)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolake.operators.layouts import whole_series
+from chronolake.operators.layouts import spread, whole_series
 
 
 def naive(long: DataFrame, horizon: int, method: str, width: int = 3) -> DataFrame:
@@ -84,7 +84,7 @@ def _by_series(long: DataFrame, forecast, horizon: int) -> DataFrame:
         return pd.DataFrame({"series_id": group["series_id"].iloc[0], "h": range(1, horizon + 1), "y": y})
 
     kind = long.schema["series_id"].dataType.simpleString()
-    return long.select("series_id", "t", "value").groupBy("series_id").applyInPandas(run, f"series_id {kind}, h long, y double")
+    return spread(long.select("series_id", "t", "value")).groupBy("series_id").applyInPandas(run, f"series_id {kind}, h long, y double")
 
 
 #: Most lags of the models that are fitted to one series: what they solve has so many rows and columns.

@@ -39,6 +39,12 @@ def cut(long: DataFrame, start: int, stop: int) -> DataFrame:
     return long.where((F.col("t") >= start) & (F.col("t") < stop)).withColumn("t", F.col("t") - start)
 
 
+def spread(long: DataFrame) -> DataFrame:
+    """``long`` with each series in one of as many partitions as the session shuffles to. For work that is heavy for its
+    bytes: adaptive execution would put small series together by size, down to one task."""
+    return long.repartition(int(long.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "series_id")
+
+
 def by_series() -> Window:
     return Window.partitionBy("series_id").orderBy("t")
 

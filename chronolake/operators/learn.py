@@ -138,10 +138,43 @@ def inject(long: DataFrame, kind: str, start: int, end: int, size: float) -> Dat
     return long.withColumn("value", F.when(inside, changed).otherwise(F.col("value"))).withColumn("is_anomaly", inside.cast("long"))
 
 
-def occlusion(long: DataFrame, score: Column, width: int) -> DataFrame:
-    """series_id, block, importance: how much ``score`` (an aggregate of value) changes without each block."""
-    blocks = long.withColumn("block", F.floor(F.col("t") / width))
-    whole = blocks.groupBy("series_id").agg(score.alias("whole"))
-    names = blocks.select("series_id", F.col("block").alias("hidden")).distinct()
-    without = names.join(blocks, "series_id").where("block <> hidden").groupBy("series_id", F.col("hidden").alias("block")).agg(score.alias("part"))
-    return without.join(whole, "series_id").select("series_id", "block", F.abs(F.col("whole") - F.col("part")).alias("importance"))
+def occlusion(long: DataFrame, score: str, width: int) -> DataFrame:
+    """series_id, block, importance: how much ``score`` (mean, sum, count or energy, the mean square) of a series changes
+    without each block. What is left is the series' sums less the block's, so a series is aggregated once; a series of
+    one block has no row."""
+    x = F.col("value")
+    blocks = long.groupBy("series_id", F.floor(F.col("t") / width).alias("block")).agg(F.count("value").alias("n"), F.coalesce(F.sum(x * x if score == "energy" else x), F.lit(0.0)).alias("s"))
+    w = whole_series()
+    rows = blocks.select("series_id", "block", "n", "s", F.sum("n").over(w).alias("wn"), F.sum("s").over(w).alias("ws"), F.count("*").over(w).alias("blocks"))
+
+    def of(s: Column, n: Column) -> Column:
+        return {"sum": s, "count": n.cast("double")}[score] if score in ("sum", "count") else F.try_divide(s, n)
+
+    if score not in ("mean", "sum", "count", "energy"):
+        raise ValueError(f"unknown score {score}")
+    apart = F.abs(of(F.col("ws"), F.col("wn")) - of(F.col("ws") - F.col("s"), F.col("wn") - F.col("n")))
+    return rows.where("blocks > 1").select("series_id", "block", apart.alias("importance"))
+
+
+def greedy_ensemble(scores: DataFrame, targets: DataFrame, strategies: tuple[str, ...] = ("mean", "median", "min", "max", "product"), most: int = 16) -> DataFrame:
+    """step, models, strategy, accuracy: models (sample_id, model, class, score) join by their own accuracy, best first (ties
+    to the smaller name), ``most`` at most; at each size the best strategy is tried, and a row tells where it beats all
+    before it. Step 1 is the best model alone. Every size and strategy is one aggregate over the scores."""
+
+    def accuracy(labels: DataFrame) -> float:
+        both = labels.join(targets.select("sample_id", "target"), "sample_id")
+        return float(both.agg(F.avg((F.col("label") == F.col("target")).cast("double"))).first()[0] or 0.0)
+
+    names = [r["model"] for r in scores.select("model").distinct().orderBy("model").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} models")
+    own = {n: accuracy(rank_ensemble(scores.where(F.col("model") == n))) for n in names}
+    order = sorted(names, key=lambda n: (-own[n], n))
+    out = [(1, [str(order[0])], "single", own[order[0]])] if order else []
+    for size in range(2, len(order) + 1):
+        part = scores.where(F.col("model").isin(order[:size]))
+        found = {s: accuracy(rank_ensemble(part, s)) for s in strategies}
+        best = max(found, key=lambda s: found[s])
+        if found[best] > out[-1][3]:
+            out.append((size, [str(n) for n in order[:size]], best, found[best]))
+    return scores.sparkSession.createDataFrame(out, "step long, models array<string>, strategy string, accuracy double")

@@ -59,6 +59,12 @@ def anchored_pairs(panel: DataFrame, anchors: DataFrame) -> DataFrame:
 
     The anchors are a stated set. Both sides are dealt into blocks, whose numbers follow from their counts, and
     meet by an equi-join on the two block numbers, never as one product."""
+    left, right = _dealt(panel, anchors)
+    return left.join(right, ["p", "q"]).where("i <> j").drop("p", "q")
+
+
+def _dealt(panel: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Anchors (i, a) and rows (j, b) with the numbers p, q of the blocks in which they meet."""
     left_blocks, right_blocks = -(-anchors.count() // BLOCK_ANCHORS) or 1, -(-panel.count() // BLOCK_ROWS) or 1
     right_blocks = max(right_blocks, min(panel.sparkSession.sparkContext.defaultParallelism, right_blocks * 8))
 
@@ -70,13 +76,61 @@ def anchored_pairs(panel: DataFrame, anchors: DataFrame) -> DataFrame:
 
     left = anchors.select(F.col("sample_id").alias("i"), F.col("values").alias("a"), dealt(left_blocks).alias("p"), every(right_blocks).alias("q"))
     right = panel.select(F.col("sample_id").alias("j"), F.col("values").alias("b"), dealt(right_blocks).alias("q"), every(left_blocks).alias("p"))
-    return left.join(right, ["p", "q"]).where("i <> j").drop("p", "q")
+    return left, right
+
+
+def _all_distances(a: np.ndarray, rows: np.ndarray, metrics: list[str]) -> dict[str, np.ndarray]:
+    """Distances of ``a`` to each of ``rows``; nan where they aren't defined. What metrics share is computed once."""
+    out = {}
+    with np.errstate(all="ignore"):
+        apart = np.abs(rows - a)
+        if {"cosine", "correlation"} & set(metrics):
+            dot, qa, qb = rows @ a, a @ a, (rows * rows).sum(axis=1)
+        for m in metrics:
+            if m == "euclidean":
+                out[m] = np.sqrt((apart * apart).sum(axis=1))
+            elif m == "cityblock":
+                out[m] = apart.sum(axis=1)
+            elif m == "chebyshev":
+                out[m] = apart.max(axis=1) if apart.shape[1] else np.full(len(rows), np.nan)
+            elif m == "minkowski":
+                out[m] = np.cbrt((apart * apart * apart).sum(axis=1))
+            elif m == "canberra":
+                size = np.abs(rows) + np.abs(a)
+                out[m] = np.where(size == 0, 0.0, apart / np.where(size == 0, 1.0, size)).sum(axis=1)
+            elif m == "cosine":
+                out[m] = 1 - dot / np.sqrt(qa * qb)
+            elif m == "correlation":
+                n, sa, sb = len(a), a.sum(), rows.sum(axis=1)
+                out[m] = 1 - (dot - sa * sb / n) / np.sqrt((qa - sa * sa / n) * (qb - sb * sb / n)) if n else np.full(len(rows), np.nan)
+            else:
+                raise ValueError(f"unknown metric {m}")
+    return out
 
 
 def distances(panel: DataFrame, anchors: DataFrame, metrics: list[str] = METRICS) -> DataFrame:
-    """i, j and a column for each metric."""
-    pairs = anchored_pairs(panel, anchors)
-    return pairs.select("i", "j", *[distance(F.col("a"), F.col("b"), m).alias(m) for m in metrics])
+    """i, j and a column for each metric, null where it isn't defined, where a component is null, or where vectors
+    differ in length. Blocks of anchors and of rows meet as in ``anchored_pairs``; an anchor is taken with all rows of
+    its block at once."""
+    kind = panel.schema["sample_id"].dataType.simpleString()
+    left, right = _dealt(panel, anchors)
+
+    def run(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"i": asked["i"][:0], "j": block["j"][:0], **{m: np.empty(0) for m in metrics}})]
+        sizes = block["b"].map(lambda v: -1 if v is None else len(v)).to_numpy()
+        parts = {n: (np.flatnonzero(sizes == n), np.array([np.asarray(v, "float64") for v in block["b"][sizes == n]])) for n in set(sizes.tolist()) - {-1}}
+        ids = block["j"].to_numpy()
+        for i, a in zip(asked["i"], asked["a"], strict=True):
+            values = np.full((len(metrics), len(block)), np.nan)
+            if a is not None and len(a) in parts:
+                at, rows = parts[len(a)]
+                values[:, at] = list(_all_distances(np.asarray(a, "float64"), rows, metrics).values())
+            other = ids != i
+            out.append(pd.DataFrame({"i": i, "j": ids[other], **{m: v[other] for m, v in zip(metrics, values, strict=True)}}))
+        return pd.concat(out[1:] or out)
+
+    found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(run, f"i {kind}, j {kind}, {', '.join(f'{m} double' for m in metrics)}")
+    return found.select("i", "j", *[F.nanvl(m, F.lit(None).cast("double")).alias(m) for m in metrics])
 
 
 def rbf_kernel(panel: DataFrame, anchors: DataFrame, gamma: float) -> DataFrame:

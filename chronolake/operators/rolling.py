@@ -57,20 +57,21 @@ def by_origin() -> Window:
 
 
 def _drifting(long: DataFrame, steps: DataFrame, models: DataFrame, horizon: int, limit: float | None) -> DataFrame:
-    """The steps of a series in turn, in one task."""
+    """The steps of a series in turn, in one task; each comes with the values of its own horizon."""
     if limit is None:
         raise ValueError("the policy drift needs a limit")
     rows = steps.join(models, (steps["series_id"] == models["series_id"]) & (F.col("train_end") == F.col("at"))).drop(models["series_id"])
-    values = long.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("v"))
-    rows = rows.join(values, "series_id").select("series_id", "n", "step", "train_end", "level", "slope", F.transform("v", lambda x: x["value"]).alias("v"))
+    ahead = F.explode(F.sequence(F.col("train_end"), F.least(F.col("train_end") + horizon, F.col("n")) - 1)).alias("t")
+    values = steps.select("series_id", "step", "n", "train_end").select("series_id", "step", ahead).join(long.select("series_id", "t", "value"), ["series_id", "t"])
+    values = values.groupBy("series_id", "step").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("v"))
+    rows = rows.join(values, ["series_id", "step"]).select("series_id", "n", "step", "train_end", "level", "slope", F.transform("v", lambda x: x["value"]).alias("v"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out, error, model = [], float("inf"), None
-        v = group["v"].iloc[0]
         for r in group.sort_values("step").itertuples():
             anew = model is None or error > limit
             model = (r.level, r.slope) if anew else model
-            part = [(h, float(v[r.train_end + h - 1]), model[0] + model[1] * h) for h in range(1, min(horizon, r.n - r.train_end) + 1)]
+            part = [(h, float(y), model[0] + model[1] * h) for h, y in enumerate(r.v, 1)]
             error = sum(abs(y - p) for _, y, p in part) / len(part)
             out += [(r.series_id, r.step, r.train_end, anew, *x) for x in part]
         return pd.DataFrame(out, columns=["series_id", "step", "train_end", "refit", "h", "y_true", "y_pred"])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolake.operators.forecast import directions, rank_of, smoothed, trajectory_width, windows_of
-from chronolake.operators.layouts import by_series
+from chronolake.operators.layouts import by_series, spread
 
 
 def per_series(long: DataFrame, make: Callable[[np.ndarray], dict], columns: str) -> DataFrame:
@@ -23,7 +23,7 @@ def per_series(long: DataFrame, make: Callable[[np.ndarray], dict], columns: str
         return out
 
     kind = long.schema["series_id"].dataType.simpleString()
-    return long.select("series_id", "t", "value").groupBy("series_id").applyInPandas(run, f"series_id {kind}, {columns}")
+    return spread(long.select("series_id", "t", "value")).groupBy("series_id").applyInPandas(run, f"series_id {kind}, {columns}")
 
 
 def _reach(x: float, hull: list[tuple[int, float]], sign: int) -> float:

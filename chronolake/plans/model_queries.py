@@ -61,7 +61,7 @@ def _scores(s, d):
     return cells.select("sample_id", (F.col("k") % 3).alias("model"), (F.floor(F.col("k") / 3) % 3).alias("class"), (F.abs("score") + 0.01).alias("score"))
 
 
-for how, agg in (("mean", "avg(s)"), ("max", "max(s)"), ("product", "exp(sum(ln(s)))")):
+for how, agg in (("mean", "avg(s)"), ("median", "median(s)"), ("min", "min(s)"), ("max", "max(s)"), ("product", "exp(sum(ln(s)))")):
     query(
         f"rank_ensemble_{how}",
         lambda s, d, h=how: learn.rank_ensemble(_scores(s, d), h),
@@ -69,7 +69,7 @@ for how, agg in (("mean", "avg(s)"), ("max", "max(s)"), ("product", "exp(sum(ln(
     )
 query(
     "occlusion",
-    lambda s, d: learn.occlusion(long(s, d), F.avg("value"), 10),
+    lambda s, d: learn.occlusion(long(s, d), "mean", 10),
     f"{LONG}, B AS (SELECT *, CAST(t // 10 AS BIGINT) AS b FROM L), W AS (SELECT series_id, avg(value) AS w FROM L GROUP BY 1), N AS (SELECT DISTINCT series_id, b AS block FROM B) ||| SELECT series_id, block, any_value(abs(w - p)) AS importance FROM (SELECT N.series_id, N.block, avg(B.value) AS p FROM N JOIN B ON N.series_id = B.series_id AND N.block <> B.b GROUP BY 1, 2) JOIN W USING (series_id) GROUP BY 1, 2",
     "importance",
 )
