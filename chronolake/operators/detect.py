@@ -28,10 +28,8 @@ def threshold(points: DataFrame, method: str) -> DataFrame:
         return points.groupBy("series_id").agg((F.avg("score") + 2.5 * F.stddev_pop("score")).alias("threshold"))
     if method != "mad":
         raise ValueError(f"unknown method {method}")
-    centred = points.withColumn("m", F.percentile("score", F.lit(0.5)).over(whole_series()))
-    both = centred.groupBy("series_id").agg(
-        F.first("m").alias("m"), F.percentile(F.abs(F.col("score") - F.col("m")), F.lit(0.5)).alias("d"), F.stddev_pop("score").alias("s")
-    )
+    middle = points.groupBy("series_id").agg(F.percentile("score", F.lit(0.5)).alias("m"))
+    both = points.select("series_id", "score").join(middle, "series_id").groupBy("series_id", "m").agg(F.percentile(F.abs(F.col("score") - F.col("m")), F.lit(0.5)).alias("d"), F.stddev_pop("score").alias("s"))
     return both.select("series_id", (F.col("m") + 3 * F.when(F.col("d") <= 1e-8, F.col("s")).otherwise(F.col("d"))).alias("threshold"))
 
 
@@ -51,9 +49,9 @@ def regimes(long: DataFrame, reference: float = 1.0) -> DataFrame:
     step = F.coalesce(F.col("value") - F.lag("value").over(by_series()), F.lit(0.0))
     rows = long.select("series_id", "t", "value", step.alias("step"), F.count("*").over(w).alias("n"))
     known = F.col("t") < F.greatest(F.lit(1), F.floor(F.col("n") * reference))
-    q = [F.percentile(F.when(known, c), F.lit(p)).over(w) for c, p in ((F.abs("step"), 0.85), (F.col("value"), 0.75), (F.col("value"), 0.25))]
-    label = F.when(F.abs("step") >= q[0], "transition").when(F.col("value") >= q[1], "high_load").when(F.col("value") <= q[2], "low_load").otherwise("stable")
-    return rows.select("series_id", "t", "value", "step", label.alias("regime"))
+    q = rows.where(known).groupBy("series_id").agg(F.percentile(F.abs("step"), F.lit(0.85)).alias("q0"), F.percentile("value", F.array(F.lit(0.75), F.lit(0.25))).alias("q"))
+    label = F.when(F.abs("step") >= F.col("q0"), "transition").when(F.col("value") >= F.get("q", F.lit(0)), "high_load").when(F.col("value") <= F.get("q", F.lit(1)), "low_load").otherwise("stable")
+    return rows.join(q, "series_id").select("series_id", "t", "value", "step", label.alias("regime"))
 
 
 def segments(labelled: DataFrame, width: int = 5) -> DataFrame:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolake.operators.chunks import chunked, scanned, surroundings
 from chronolake.operators.forecast import directions, rank_of, smoothed, trajectory_width, windows_of
 from chronolake.operators.layouts import by_series, spread
 
@@ -159,38 +160,42 @@ def haar(long: DataFrame) -> DataFrame:
 
 
 def kalman(long: DataFrame, process: float = 0.01, noise: float = 1.0) -> DataFrame:
-    """t, level: local-level filter with the given ratio of variances."""
+    """t, level: local-level filter with the given ratio of variances; its state goes from batch to batch of a series."""
 
-    def make(v: np.ndarray) -> dict:
-        level, spread, out = v[0], noise, []
-        for x in v:
+    def step(state: tuple, values: np.ndarray) -> tuple[tuple, dict]:
+        level, spread = state
+        out = np.empty(len(values))
+        for i, x in enumerate(values):
+            level = x if level is None else level
             spread += process
             gain = spread / (spread + noise)
             level += gain * (x - level)
             spread *= 1 - gain
-            out.append(level)
-        return {"t": np.arange(len(v)), "level": out}
+            out[i] = level
+        return (level, spread), {"level": out}
 
-    return per_series(long, make, "t long, level double")
+    return scanned(long, lambda: (None, noise), step, "level double")
 
 
 def subspace_change(long: DataFrame, width: int = 6, chunk: int = 2048) -> DataFrame:
-    """t, score: 1 - the squared overlap of the leading directions of the past and the coming windows, ``chunk``
-    places of a series at once."""
+    """t, score: 1 - the squared overlap of the leading directions of the past and the coming windows; 0 where a series
+    has too little of either. A task holds ``chunk`` places with the windows around them."""
+    span = 2 * width
+    kind = long.schema["series_id"].dataType.simpleString()
 
-    def make(v: np.ndarray) -> dict:
-        scores, span = np.zeros(len(v)), 2 * width
-        first, last = span, len(v) - span
-        for at in range(first, last + 1, chunk):
-            t = np.arange(at, min(at + chunk, last + 1))
-            inside = t[:, None, None] + np.arange(width)[None, :, None] + np.arange(width + 1)[None, None, :]
-            past = np.linalg.svd(v[inside - span], full_matrices=False)[0][:, :, :2]
-            coming = np.linalg.svd(v[inside], full_matrices=False)[0][:, :, 0]
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        start, own, v = surroundings(group, span, span, chunk)
+        scores = np.zeros(own)
+        if own:
+            inside = np.arange(own)[:, None, None] + np.arange(width)[None, :, None] + np.arange(width + 1)[None, None, :]
+            whole = np.flatnonzero(np.isfinite(v[np.arange(own)[:, None] + np.arange(2 * span)[None, :]]).all(axis=1))
+            past = np.linalg.svd(v[inside[whole]], full_matrices=False)[0][:, :, :2]
+            coming = np.linalg.svd(v[inside[whole] + span], full_matrices=False)[0][:, :, 0]
             overlap = np.einsum("twk,tw->tk", past, coming)
-            scores[t] = np.maximum(0.0, 1 - (overlap**2).sum(axis=1))
-        return {"t": np.arange(len(v)), "score": scores}
+            scores[whole] = np.maximum(0.0, 1 - (overlap**2).sum(axis=1))
+        return pd.DataFrame({"series_id": group["series_id"].iloc[0], "t": np.arange(start, start + own), "score": scores})
 
-    return per_series(long, make, "t long, score double")
+    return chunked(long, span, span, chunk).groupBy("series_id", "chunk").applyInPandas(run, f"series_id {kind}, t long, score double")
 
 
 def kernel_features(long: DataFrame, dilations: tuple[int, ...] = (1, 2, 4), together: int = 12) -> DataFrame:
