@@ -18,7 +18,8 @@
 Defined cases: words are what white space separates, lower-cased; a text of one to four words has one
 n-gram, all its words; a null, empty or blank text has the empty set, and these are copies of each other; rows that
 repeat count each; a null id counts but never names a group unless no other is there (then null); an
-empty table gives an empty result; other columns are not read.
+empty table gives an empty result; other columns are not read (``keep_one`` carries them, whatever their names); a
+very long text is one sorted set of n-gram hashes, 8 bytes for each of its distinct n-grams.
 """
 
 from __future__ import annotations
@@ -315,7 +316,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     judged = rows.join(classes.select("c", "class_id"), "c").select("doc_id", "t1", "t2", group.alias("group"))
     best = judged.withColumn("place", F.row_number().over(order)).where("place = 1")
     best = best.select(F.col("doc_id").alias("_id"), F.col("t1").alias("_1"), F.col("t2").alias("_2"))
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("*", *[k.alias(f"_t{i + 1}") for i, k in enumerate(content_key(text))])
-    same = keyed["doc_id"].eqNullSafe(best["_id"]) & (keyed["_t1"] == best["_1"]) & (keyed["_t2"] == best["_2"])
-    return keyed.join(best, same, "left_semi").dropDuplicates(["doc_id", "_t1", "_t2"]).select(docs.columns)
+    text = F.coalesce(docs["text"], F.lit(""))
+    keyed = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], *[k.alias(f"t{i + 1}") for i, k in enumerate(content_key(text))])
+    doc_id = f"c{docs.columns.index('doc_id')}"
+    same = keyed[doc_id].eqNullSafe(best["_id"]) & (keyed["t1"] == best["_1"]) & (keyed["t2"] == best["_2"])
+    kept = keyed.join(best, same, "left_semi").dropDuplicates([doc_id, "t1", "t2"])
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

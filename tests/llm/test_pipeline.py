@@ -86,3 +86,43 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert stage(spark, docs, folder).columns == docs.columns, name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "quality classifier", "n-gram Jaccard join", "suffix-array dedup", "best-fit packing"]
     assert jaccard_join.THRESHOLD == 0.8 and suffix_dedup.LENGTH == 400 and suffix_dedup.PASSAGE < 50 * 6
+
+
+def test_no_documents_give_no_pieces(spark, tmp_path):
+    folder = str(tmp_path)
+    write(spark, folder + "/full").limit(0).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{folder}/full/labels.parquet").limit(0).write.parquet(f"{folder}/labels.parquet")
+    out = corpus_pipeline.run(spark, folder)
+    assert out.count() == 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_clashing_columns_are_carried(spark, tmp_path):
+    folder = str(tmp_path)
+    names = ["_id", "_1", "_t1", "t1", "k1", "c0", "c1", "c", "v", "of", "own", "limit", "spans", "data", "removed_", "margin", "score", "lang_pred", "group", "bands"]
+    docs = write(spark, folder)
+    wide = docs.selectExpr("*", *[f"concat('{n}', doc_id) AS `{n}`" for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, folder)
+        assert out.columns == wide.columns, name
+        rows = out.select("doc_id", *names).collect()
+        assert rows and all(r[n] == (None if r.doc_id is None else f"{n}{r.doc_id}") for r in rows for n in names), name
+
+
+def test_a_very_long_text(spark, tmp_path):
+    """Three million characters in one row are read whole by every operator that has a model or sets."""
+    from chronolake.llm import maxent_lm
+
+    folder = str(tmp_path)
+    docs = write(spark, folder)
+    base = docs.where("doc_id = 7").first().text + " "
+    long = spark.createDataFrame([(9000, base * (3_000_000 // len(base)), "aa", "src", 3_000_000), (9001, base * (3_000_000 // len(base)), "aa", "src", 3_000_000)], docs.schema)
+    both = docs.unionByName(long)
+    words = len(base.split()) * (3_000_000 // len(base))
+    told = {r.doc_id: r for r in language_id.predictions(both).collect()}
+    assert told[9000].lang_pred == "aa" == told[9001].lang_pred
+    good = {r.doc_id: r for r in quality.judged(both, quality.labels_of(spark, folder)).collect()}
+    assert good[9000].n_tokens == words and good[9000].keep
+    links = {r.doc_id: r for r in jaccard_join.links_by_document(both).collect()}
+    assert links[9000].class_id == links[9001].class_id and links[9001].n_links >= 1
+    scores = {r.doc_id: r for r in maxent_lm.scores(both).collect()}
+    assert scores[9000].n_tokens == words + 1 and scores[9000].score == scores[9001].score < 0
