@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolake.operators.layouts import by_series
+from chronolake.operators.layouts import by_series, spread
 
 
 def places(spark: SparkSession, n_series: int, length: int) -> DataFrame:
@@ -31,15 +31,19 @@ def normal(seed: int, *keys: str) -> Column:
 
 
 def make(spark: SparkSession, kind: str, n_series: int, length: int, seed: int = 0, size: float = 1.0, period: float = 24.0, order: tuple[float, ...] = (0.7,), width: int = 5) -> DataFrame:
-    """series_id, t, value: ``sin``, ``random_walk``, ``auto_regression`` (weights ``order`` of the values before),
+    """``at`` the places of ``n_series`` series of ``length``, with noise and phases from hashes."""
+    noise, phase = size * normal(seed, "series_id", "t"), 2 * math.pi * uniform(seed, "series_id")
+    return at(places(spark, n_series, length).select("series_id", "t", noise.alias("noise"), phase.alias("phase")), kind, size, period, order, width)
+
+
+def at(rows: DataFrame, kind: str, size: float = 1.0, period: float = 24.0, order: tuple[float, ...] = (0.7,), width: int = 5) -> DataFrame:
+    """series_id, t, value at the places of ``rows`` (series_id, t, noise, phase), which may be those of a given table:
+    ``sin`` (of ``size``, without noise), ``random_walk``, ``auto_regression`` (weights ``order`` of the values before),
     ``smooth_normal`` (noise under a centred mean of ``width``) or ``quadratic`` (noise under a centred local parabola of
     ``width``, by its closed weights)."""
-    rows = places(spark, n_series, length)
-    noise = size * normal(seed, "series_id", "t")
     if kind == "sin":
-        phase = 2 * math.pi * uniform(seed, "series_id")
-        return rows.select("series_id", "t", (size * F.sin(2 * math.pi * F.col("t") / period + phase)).alias("value"))
-    rows = rows.select("series_id", "t", noise.alias("value"))
+        return rows.select("series_id", "t", (size * F.sin(2 * math.pi * F.col("t") / period + F.col("phase"))).alias("value"))
+    rows = rows.select("series_id", "t", F.col("noise").alias("value"))
     if kind == "random_walk":
         return rows.select("series_id", "t", F.sum("value").over(by_series().rowsBetween(Window.unboundedPreceding, 0)).alias("value"))
     half = width // 2
@@ -59,10 +63,22 @@ def make(spark: SparkSession, kind: str, n_series: int, length: int, seed: int =
                 out[i] += sum(w * out[i - 1 - j] for j, w in enumerate(order) if i > j)
             return group.assign(value=out)
 
-        return rows.groupBy("series_id").applyInPandas(run, "series_id long, t long, value double")
+        kinds = {c: rows.schema[c].dataType.simpleString() for c in ("series_id", "t")}
+        return spread(rows).groupBy("series_id").applyInPandas(run, f"series_id {kinds['series_id']}, t {kinds['t']}, value double")
     raise ValueError(f"unknown kind {kind}")
 
 
+def labelled_at(rows: DataFrame, kinds: list[str], period: float = 24.0) -> DataFrame:
+    """sample_id, target, values: each series of ``rows``, as the kind whose turn its place among the keys is."""
+    turn = F.pmod("series_id", F.lit(len(kinds)))
+    out = None
+    for i, kind in enumerate(kinds):
+        made = at(rows.where(turn == i), kind, period=period).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("p"))
+        made = made.select(F.col("series_id").alias("sample_id"), F.lit(i).alias("target"), F.transform("p", lambda x: x["value"]).alias("values"))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
 def labelled(spark: SparkSession, kinds: list[str], each: int, length: int, seed: int = 0) -> DataFrame:
     """sample_id, target (which of ``kinds``), values: ``each`` series of every kind."""
     out = None

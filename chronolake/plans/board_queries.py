@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from chronolake.operators import leaderboard, matrix, synthetic
+from chronolake.operators import leaderboard, matrix, quality, synthetic
 from chronolake.plans.inputs import LONG, RECORDS, long, query, read, records
 
 query("leaderboard_numbered", lambda s, d: leaderboard.numbered(records(s, d), True), f"{RECORDS} ||| SELECT model, avg(value) AS mean, row_number() OVER (ORDER BY avg(value) DESC, model) AS place FROM R GROUP BY model", "mean")
@@ -52,11 +54,39 @@ query("evolution_dynamics", lambda s, d: leaderboard.dynamics(_history(s, d)), f
 query("evolution_operations", lambda s, d: leaderboard.operation_frequency(_history(s, d)), f"{HISTORY}, OP AS (SELECT unnest(string_split(operations, ',')) AS operation FROM HI) ||| SELECT operation, count(*) AS n, count(*) / (SELECT count(*) FROM OP) AS share FROM OP GROUP BY 1", "share")
 query("notable_pipelines", lambda s, d: leaderboard.notable(_history(s, d), 3), f"{HISTORY} ||| SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY generation ORDER BY fitness DESC, individual) AS place FROM HI) WHERE place <= 3", "fitness", 3)
 query("stage_summary", lambda s, d: leaderboard.family_stages(records(s, d), "dataset"), f"{RECORDS} ||| SELECT dataset, model, avg(value) AS mean, count(*) AS n, min(value) AS least, max(value) AS most FROM R GROUP BY 1, 2", "mean least most", 3)
+GAF = (
+    f"{LONG}, X0 AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM L), PA AS (SELECT series_id, CAST(t * 6 // n AS BIGINT) AS p, avg(value) AS v FROM X0 GROUP BY 1, 2), "
+    "XS AS (SELECT series_id, p, CASE WHEN max(v) OVER w - min(v) OVER w < 1e-12 THEN 0 ELSE 2 * (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) - 1 END AS x FROM PA WINDOW w AS (PARTITION BY series_id)), "
+    "XY AS (SELECT *, sqrt(greatest(1 - x * x, 0)) AS y FROM XS), GF AS (SELECT x.series_id, x.p AS i, y.p AS j, x.x * y.x - x.y * y.y AS v FROM XY x JOIN XY y ON x.series_id = y.series_id)"
+)
 query(
     "field_bytes",
-    lambda s, d: matrix.to_bytes(matrix.angular_field(long(s, d), 6), "value", "series_id").groupBy("series_id").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n")),
-    f"{LONG}, N1 AS (SELECT series_id, count(*) AS k, max(value) - min(value) AS r FROM L GROUP BY 1) ||| SELECT series_id, 0 AS low, 255 AS high, CAST(36 AS BIGINT) AS n FROM N1",
+    lambda s, d: matrix.to_bytes(matrix.angular_field(long(s, d), 6), "value", "series_id"),
+    f"{GAF} ||| SELECT series_id, i, j, CAST(CASE WHEN max(v) OVER w - min(v) OVER w < 1e-12 THEN 0 ELSE floor(255 * (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w)) END AS INT) AS value FROM GF WINDOW w AS (PARTITION BY series_id)",
+)
+
+
+# ---- made series, at the places of the events: their standardised values are the noise, their key gives the phase
+def _places(s, d):
+    return quality.z_normalise(long(s, d)).select("series_id", "t", F.col("z").alias("noise"), (2 * math.pi / 24 * F.pmod("series_id", F.lit(24))).alias("phase"))
+
+
+PLACES = f"{LONG}, SN AS (SELECT series_id, t, (value - avg(value) OVER w) / greatest(stddev_pop(value) OVER w, 1e-6) AS z, {2 * math.pi / 24!r} * (series_id % 24) AS phase FROM L WINDOW w AS (PARTITION BY series_id))"
+WAVE = f"sin({2 * math.pi!r} * t / 24.0 + phase)"
+PARABOLA = "(-3 * coalesce(lag(z, 2) OVER w, z) + 12 * coalesce(lag(z) OVER w, z) + 17 * z + 12 * coalesce(lead(z) OVER w, z) - 3 * coalesce(lead(z, 2) OVER w, z)) / 35"
+MADE = {
+    "sin": f"{PLACES} ||| SELECT series_id, t, {WAVE} AS value FROM SN",
+    "random_walk": f"{PLACES} ||| SELECT series_id, t, sum(z) OVER (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS value FROM SN",
+    "auto_regression": f"{PLACES} ||| SELECT a.series_id, a.t, sum(power(0.7, a.t - b.t) * b.z) AS value FROM SN a JOIN SN b ON a.series_id = b.series_id AND b.t <= a.t GROUP BY 1, 2",
+    "smooth_normal": f"{PLACES} ||| SELECT series_id, t, avg(z) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS value FROM SN",
+    "quadratic": f"{PLACES} ||| SELECT series_id, t, {PARABOLA} AS value FROM SN WINDOW w AS (PARTITION BY series_id ORDER BY t)",
+}
+for kind, sql in MADE.items():
+    query(f"synthetic_{kind}", lambda s, d, k=kind: synthetic.at(_places(s, d), k), sql, "value")
+query(
+    "synthetic_labelled",
+    lambda s, d: synthetic.labelled_at(_places(s, d), ["sin", "random_walk"]).select("sample_id", "target", F.size("values").alias("n"), F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("total"), F.array_max("values").alias("most")),
+    f"{PLACES}, SM AS (SELECT series_id, t, {WAVE} AS w, sum(z) OVER (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS r FROM SN) "
+    "||| SELECT series_id AS sample_id, CAST(series_id % 2 AS INT) AS target, CAST(count(*) AS INT) AS n, sum(CASE WHEN series_id % 2 = 0 THEN w ELSE r END) AS total, max(CASE WHEN series_id % 2 = 0 THEN w ELSE r END) AS most FROM SM GROUP BY series_id",
+    "total most",
 )
-for kind in ("sin", "random_walk", "auto_regression", "smooth_normal", "quadratic"):
-    query(f"synthetic_{kind}", lambda s, d, k=kind: synthetic.make(s, k, 8, 64))
-query("synthetic_labelled", lambda s, d: synthetic.labelled(s, ["sin", "random_walk"], 5, 32))
