@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -18,12 +19,28 @@ query("forced_operator", lambda s, d: forecast.forced_operator(long(s, d), 5))
 query("autoregression", lambda s, d: forecast.autoregression(long(s, d), 5))
 query("dynamic_modes", lambda s, d: spectral.dynamic_modes(long(s, d)))
 query("hurst", lambda s, d: spectral.hurst(long(s, d)))
-query("fourier_spectrum", lambda s, d: spectral.spectrum(long(s, d)))
-query("dominant_period", lambda s, d: spectral.dominant_period(long(s, d)))
+FOURIER = (
+    f"{LONG}, FE AS (SELECT series_id, t, value - avg(value) OVER w AS e, count(*) OVER w AS n FROM L WINDOW w AS (PARTITION BY series_id)), FB AS (SELECT DISTINCT series_id, n, unnest(range(0, n // 2 + 1)) AS bin FROM FE), "
+    f"FW AS (SELECT FB.series_id, bin, any_value(FB.n) AS n, power(sum(e * cos({2 * math.pi!r} * bin * t / FB.n)), 2) + power(sum(e * sin({2 * math.pi!r} * bin * t / FB.n)), 2) AS p FROM FB JOIN FE USING (series_id) GROUP BY 1, 2)"
+)
+query("fourier_spectrum", lambda s, d: spectral.spectrum(long(s, d)), f"{FOURIER} ||| SELECT series_id, bin, p / n AS power FROM FW", "power", 5)
+query(
+    "dominant_period",
+    lambda s, d: spectral.dominant_period(long(s, d)),
+    f"{FOURIER}, FS AS (SELECT series_id, any_value(n) / arg_max(bin, p) AS period, max(p) / sum(p) AS concentration, exp(avg(ln(p + 1e-12))) / avg(p + 1e-12) AS flatness, sum(p) > 1e-12 AS strong FROM FW WHERE bin > 0 GROUP BY 1) "
+    "||| SELECT series_id, CASE WHEN strong THEN period ELSE 0 END AS period, CASE WHEN strong THEN concentration ELSE 0 END AS concentration, CASE WHEN strong THEN flatness ELSE 0 END AS flatness FROM (SELECT DISTINCT series_id FROM L) LEFT JOIN FS USING (series_id)",
+    "period concentration flatness",
+)
 query("stft", lambda s, d: spectral.short_time_spectrum(long(s, d)))
 query("svd_rank", lambda s, d: spectral.singular_values(long(s, d)))
 query("low_rank_series", lambda s, d: spectral.low_rank(long(s, d)))
-query("kalman", lambda s, d: spectral.kalman(long(s, d)))
+query(
+    "kalman",
+    lambda s, d: spectral.kalman(long(s, d)),
+    f"RECURSIVE {LONG}, KF AS (SELECT series_id, t, value AS level, 1.01 / 2.01 AS spread FROM L WHERE t = 0 UNION ALL SELECT L.series_id, L.t, k.level + (k.spread + 0.01) / (k.spread + 1.01) * (L.value - k.level), (k.spread + 0.01) / (k.spread + 1.01) FROM KF k JOIN L ON L.series_id = k.series_id AND L.t = k.t + 1) "
+    "||| SELECT series_id, t, level FROM KF",
+    "level",
+)
 query("sst", lambda s, d: spectral.subspace_change(long(s, d)))
 query("kernel_features", lambda s, d: spectral.kernel_features(long(s, d)))
 query("wavelet_haar", lambda s, d: spectral.haar(long(s, d)), f"{LONG} ||| SELECT series_id, CAST(t // 2 AS BIGINT) AS k, (arg_min(value, t) + arg_max(value, t)) / sqrt(2) AS approximation, (arg_min(value, t) - arg_max(value, t)) / sqrt(2) AS detail FROM L GROUP BY 1, 2", "approximation detail")
