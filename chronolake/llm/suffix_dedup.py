@@ -368,8 +368,13 @@ def _gathered(length: int):
         for rows in _by_anchor(batches):
             for row, pairs in zip(rows, extensions([(r[7], r[5]) for r in rows], length), strict=True):
                 if not row[6]:
-                    at = row[4] + row[5]
-                    out += [(row[2], row[3], at - left, at + right - length) for left, right in pairs]
+                    at, merged = row[4] + row[5], []
+                    for first, last in sorted((at - left, at + right - length) for left, right in pairs):
+                        if merged and first <= merged[-1][1] + 1:
+                            merged[-1] = (merged[-1][0], max(merged[-1][1], last))
+                        else:
+                            merged.append((first, last))
+                    out += [(row[2], row[3], *m) for m in merged]
             if len(out) > 20_000:
                 yield pd.DataFrame(out, columns=["k1", "k2", "first", "last"])
                 out = []
@@ -403,6 +408,13 @@ def _grouped(length: int):
     return run
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time: what is made of them in Python is many times as large as they are."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def _kept(data: bytes, spans, length: int) -> tuple[list[bytes], list[tuple[int, int]]]:
     runs = covered([(s["first"], s["last"]) for s in spans], length) if spans is not None else []
     ends = [0, *(x for run in runs for x in run), len(data)]
@@ -416,15 +428,16 @@ def _longer_starts(rows: DataFrame, shorter: DataFrame, passage: int, length: in
     scratch = Scratch(rows.sparkSession)
     names = ["t1", "t2", "at", "data"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("suffix")
-        for batch in batches:
+        for part in _slices(batches):
             out = []
-            for k1, k2, data, spans in zip(batch["k1"], batch["k2"], batch["data"], batch["spans"], strict=True):
+            for k1, k2, data, spans in zip(*(part[c].to_pylist() for c in ("k1", "k2", "data", "spans")), strict=True):
                 out += [(k1, k2, a, data[a:b]) for a, b in _kept(data, spans, passage)[1] if b - a >= length]
-            yield pd.DataFrame(out, columns=names)
+            columns = zip(*out, strict=True) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names)
 
-    runs = rows.select("k1", "k2", "data").join(shorter, ["k1", "k2"]).mapInPandas(run, "t1 long, t2 long, at int, data binary")
+    runs = rows.select("k1", "k2", "data").join(shorter, ["k1", "k2"]).mapInArrow(run, "t1 long, t2 long, at int, data binary")
     runs = scratch.store(runs.select("*", *content_key(F.col("t1"), F.col("t2"), F.col("at"))), "runs")
     found = repeated_starts(runs.select("k1", "k2", "data"), length)
     placed = runs.select("t1", "t2", "at", "k1", "k2").distinct().join(found, ["k1", "k2"])
@@ -441,19 +454,20 @@ def removal_digests(docs: DataFrame, length: int = LENGTH, passage: int = PASSAG
     spans = _longer_starts(rows, shared, passage, length)
     both = materialise(shared.withColumnRenamed("spans", "shared").join(spans, ["k1", "k2"], "left"), "all-spans")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "n_shared": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
             out = []
-            for data, found, more in zip(batch["data"], batch["spans"], batch["shared"], strict=True):
+            for data, found, more in zip(*(part[c].to_pylist() for c in ("data", "spans", "shared")), strict=True):
                 parts, runs = _kept(data, found, length)
                 n_shared = sum(b - a for a, b in _kept(data, more, passage)[1])
                 out.append((len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(b"".join(parts)).hexdigest(), n_shared))
-            found = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"])
-            yield found.assign(doc_id=batch["c0"])[["doc_id", *found.columns]]
+            yield pa.RecordBatch.from_arrays([part["c0"], *[pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds.values(), strict=True)]], ["doc_id", *kinds])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     joined = rows.join(both, ["k1", "k2"], "left")
-    return joined.mapInPandas(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -461,15 +475,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     cuts through go with it), and with removed: the runs of bytes (from, to) taken from each text."""
     rows, carried = _keyed(docs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            kept = [_kept(data, spans, length) for data, spans in zip(batch["data"], batch["spans"], strict=True)]
-            texts = [None if none else b"".join(p).decode("utf-8", "ignore") for none, (p, _) in zip(batch["none"], kept, strict=True)]
-            removed = [[{"from": a, "to": b} for a, b in runs] for _, runs in kept]
-            yield batch[[f"c{i}" for i in range(len(carried))]].assign(text=texts, removed=removed)
+    names = [*(f"c{i}" for i in range(len(carried))), "text", "removed"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            kept = [_kept(data, spans, length) for data, spans in zip(part["data"].to_pylist(), part["spans"].to_pylist(), strict=True)]
+            texts = [None if none else b"".join(p).decode("utf-8", "ignore") for none, (p, _) in zip(part["none"].to_pylist(), kept, strict=True)]
+            removed = pa.array([[{"from": a, "to": b} for a, b in runs] for _, runs in kept], pa.list_(pa.struct({"from": pa.int32(), "to": pa.int32()})))
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in names[:-2]), pa.array(texts, pa.string()), removed], names)
 
     types = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carried)]
-    out = rows.join(repeated_starts(rows, length), ["k1", "k2"], "left").mapInPandas(run, ", ".join([*types, "text string", "removed array<struct<from: int, to: int>>"]))
+    out = rows.join(repeated_starts(rows, length), ["k1", "k2"], "left").mapInArrow(run, ", ".join([*types, "text string", "removed array<struct<from: int, to: int>>"]))
 
     def named(c: str) -> Column:
         return out["text"] if c == "text" else out[f"c{carried.index(c)}"].alias(c)
