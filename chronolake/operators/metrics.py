@@ -87,11 +87,12 @@ def confusion(rows: DataFrame) -> DataFrame:
 
 
 def per_class(rows: DataFrame) -> DataFrame:
-    """label, precision, recall, f1 (0 over 0 is 0), support."""
-    c = confusion(rows)
+    """label, precision, recall, f1 (0 over 0 is 0), support: from the pairs of labels that occur, never from all; null
+    labels have no row."""
+    c = rows.groupBy("y_true", "y_pred").agg(F.count("*").alias("n"))
     by_true = c.groupBy(F.col("y_true").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)).alias("hit"))
     by_pred = c.groupBy(F.col("y_pred").alias("label")).agg(F.sum("n").alias("told"))
-    both = by_true.join(by_pred, "label")
+    both = by_true.join(by_pred, "label", "full").where(F.col("label").isNotNull()).na.fill(0, ["support", "hit", "told"])
     precision, recall = _over(F.col("hit"), F.col("told")), _over(F.col("hit"), F.col("support"))
     return both.select("label", precision.alias("precision"), recall.alias("recall"), _over(2 * F.col("hit"), F.col("told") + F.col("support")).alias("f1"), "support")
 
@@ -191,10 +192,11 @@ def _pareto_of_two(plain: DataFrame, a: str, b: str, buckets: int = 256) -> Data
     edges = sorted(set(least.approxQuantile(a, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))
     of = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(a))) if edges else F.lit(0)
     least = least.withColumn("_bucket", of)
-    before, known = float("inf"), F.lit(float("inf"))
-    for r in least.groupBy("_bucket").agg(F.min("_m").alias("m")).orderBy("_bucket").collect():
-        known = F.when(F.col("_bucket") == r["_bucket"], F.lit(float(before))).otherwise(known)
-        before = min(before, r["m"])
+    lows = {r["_bucket"]: float(r["m"]) for r in least.groupBy("_bucket").agg(F.min("_m").alias("m")).collect()}
+    before = [float("inf")]
+    for i in range(len(edges)):
+        before.append(min(before[-1], lows.get(i, before[-1])))
+    known = F.get(F.array(*map(F.lit, before)), F.col("_bucket"))
     w = Window.partitionBy("_bucket").orderBy(a).rowsBetween(Window.unboundedPreceding, -1)
     kept = least.withColumn("_before", F.least(F.coalesce(F.min("_m").over(w), F.lit(float("inf"))), known)).where("_m < _before")
     kept = kept.select(F.col(a).alias("_a"), "_m")

@@ -31,7 +31,19 @@ query(
     "||| SELECT series_id, CASE WHEN strong THEN period ELSE 0 END AS period, CASE WHEN strong THEN concentration ELSE 0 END AS concentration, CASE WHEN strong THEN flatness ELSE 0 END AS flatness FROM (SELECT DISTINCT series_id FROM L) LEFT JOIN FS USING (series_id)",
     "period concentration flatness",
 )
-query("stft", lambda s, d: spectral.short_time_spectrum(long(s, d)))
+# frames of 16 values, 8 apart, of the series reflected by 8 values at most
+query(
+    "stft",
+    lambda s, d: spectral.short_time_spectrum(long(s, d)),
+    f"{LONG}, TN AS (SELECT series_id, count(*) AS n, least(8, count(*) - 1) AS r FROM L GROUP BY 1), TP AS (SELECT series_id, n, r, unnest(range(0, n + 2 * r)) AS p FROM TN), "
+    "TS AS (SELECT series_id, p, CASE WHEN p < r THEN r - p WHEN p - r > n - 1 THEN 2 * (n - 1) - p + r ELSE p - r END AS t FROM TP), "
+    "TF AS (SELECT series_id, unnest(range(0, greatest(1, CAST(floor((n + 2 * r - 16) / 8) AS BIGINT) + 1))) AS frame FROM TN), "
+    "TJ AS (SELECT j, bin FROM (SELECT unnest(range(0, 16)) AS j), (SELECT unnest(range(0, 9)) AS bin)), "
+    f"TV AS (SELECT TF.series_id, frame, bin, j, coalesce(value, 0) * (0.5 - 0.5 * cos({2 * math.pi!r} * j / 16)) AS v FROM TF CROSS JOIN TJ LEFT JOIN TS ON TS.series_id = TF.series_id AND TS.p = frame * 8 + j LEFT JOIN L ON L.series_id = TS.series_id AND L.t = TS.t) "
+    f"||| SELECT series_id, frame, bin, power(sum(v * cos({2 * math.pi!r} * bin * j / 16)), 2) + power(sum(v * sin({2 * math.pi!r} * bin * j / 16)), 2) AS power FROM TV GROUP BY 1, 2, 3",
+    "power",
+    4,
+)
 query("svd_rank", lambda s, d: spectral.singular_values(long(s, d)))
 query("low_rank_series", lambda s, d: spectral.low_rank(long(s, d)))
 query(
