@@ -26,7 +26,8 @@ log P(text) is the sum over its words and its end of log P(class | context) + lo
 Defined cases: null counts as empty, which is one token, the end; without any training document both
 scores are 0 per token; the trained score depends, slightly, on how many tasks the input splits into, as their
 moves are averaged; texts that repeat are scored alike and count as often as they come; a null id is
-in fold 0; an empty table gives an empty result; other columns are not read.
+in fold 0; an empty table gives an empty result; other columns are not read; a very long text is scored whole,
+``STEP_TOKENS`` of its tokens at once, after its words were turned into some 100 bytes each.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ SLOTS, FEATURES, MOST_SLOTS, MOST_FEATURES = 64, 2048, 128, 8192
 WITHIN = 128
 #: Tasks of a round at most, or twice the session's cores where that is more: what each hands over is as large as
 #: the weights, however small its share.
-LEAST_TASKS = 64
+LEAST_TASKS = 32
 #: Parts into which the weights are cut where the tasks' moves meet.
 PIECES = 64
 #: A word that is counted in these sizes occurs 2**OFTEN times or more.
@@ -427,7 +428,7 @@ def _round(part: DataFrame, model: Model, last: bool) -> tuple[np.ndarray, np.nd
                 low = 0
                 for value, k in zip(values, VALUES, strict=True):
                     high = low + k * CLASSES * width
-                    seen[low:high] += np.bincount((value * CLASSES + classes) * width + slot, minlength=high - low)
+                    np.add.at(seen, low + (value * CLASSES + classes) * width + slot, 1)
                     low = high
                 n += len(words)
                 for i in range(0, len(words), STEP_TOKENS):
@@ -436,15 +437,15 @@ def _round(part: DataFrame, model: Model, last: bool) -> tuple[np.ndarray, np.nd
                     if last:
                         _add_slopes(slopes, model, values[:, step], classes[step], slot[step])
         if n:
-            moved = ((w - model.weights) * np.float32(n)).ravel()
+            moved = (w - model.weights).ravel().astype("float16")  # far finer than the steps are sure
             for k, (x, y) in enumerate(zip(np.array_split(moved, PIECES), np.array_split(seen, PIECES), strict=True)):
-                yield pd.DataFrame({"k": [k, PIECES + k], "n": n, "x": [x.astype("float32").tobytes(), y.astype("int32").tobytes()]})
+                yield pd.DataFrame({"k": [k, PIECES + k], "n": n, "x": [x.tobytes(), y.astype("int32").tobytes()]})
             yield pd.DataFrame({"k": [2 * PIECES], "n": [n], "x": [slopes.tobytes()]})
 
     def added(group: pd.DataFrame) -> pd.DataFrame:
         k = int(group["k"].iloc[0])
-        kind = "float32" if k < PIECES else "int32" if k < 2 * PIECES else "float64"
-        total = sum(np.frombuffer(x, kind).astype("float64") for x in group["x"])
+        kind = "float16" if k < PIECES else "int32" if k < 2 * PIECES else "float64"
+        total = sum(np.frombuffer(x, kind).astype("float64") * (n if k < PIECES else 1) for x, n in zip(group["x"], group["n"], strict=True))
         return pd.DataFrame({"k": [k], "n": [group["n"].sum()], "x": [total.tobytes()]})
 
     tasks = max(LEAST_TASKS, 2 * part.sparkSession.sparkContext.defaultParallelism)
