@@ -316,6 +316,13 @@ def copied_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     return scratch.finish(spans.groupBy("id", "k").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "copied-windows")
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time: what is made of them in Python is many times as large as they are."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def _kept(data: bytes, spans, window: int) -> tuple[int, list[tuple[int, int]], Iterator[bytes]]:
     """Number of words, the removed runs of words, and what is kept, in pieces joined by one space."""
     starts, ends = word_bounds(data)
@@ -337,20 +344,21 @@ def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = _keyed(docs.select("doc_id", "text"))
     spans = copied_windows(rows, window)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
             out = []
-            for data, found in zip(batch["data"], batch["spans"], strict=True):
+            for data, found in zip(part["data"].to_pylist(), part["spans"].to_pylist(), strict=True):
                 n, runs, pieces = _kept(data, found, window)
                 digest = hashlib.sha256()
                 for piece in pieces:
                     digest.update(piece)
                 out.append((n, sum(b - a for a, b in runs), digest.hexdigest()))
-            found = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"])
-            yield found.assign(doc_id=batch["c0"])[["doc_id", *found.columns]]
+            yield pa.RecordBatch.from_arrays([part["c0"], *[pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds.values(), strict=True)]], ["doc_id", *kinds])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.select("c0", "id", "k", "data").join(spans, ["id", "k"], "left").mapInPandas(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return rows.select("c0", "id", "k", "data").join(spans, ["id", "k"], "left").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -359,15 +367,19 @@ def remove_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = _keyed(docs)
     carried = [c for c in docs.columns if c != "text"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            kept = [_kept(data, spans, window) for data, spans in zip(batch["data"], batch["spans"], strict=True)]
-            texts = [None if empty else (b"".join(p) if runs else data).decode() for empty, data, (_, runs, p) in zip(batch["empty"], batch["data"], kept, strict=True)]
-            yield batch[[f"c{i}" for i in range(len(carried))]].assign(text=texts, removed=[[{"from": a, "to": b} for a, b in runs] for _, runs, _ in kept])
+    names = [*(f"c{i}" for i in range(len(carried))), "text", "removed"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            given = part["data"].to_pylist()
+            kept = [_kept(data, spans, window) for data, spans in zip(given, part["spans"].to_pylist(), strict=True)]
+            texts = [None if empty else (b"".join(p) if runs else data).decode() for empty, data, (_, runs, p) in zip(part["empty"].to_pylist(), given, kept, strict=True)]
+            removed = pa.array([[{"from": a, "to": b} for a, b in runs] for _, runs, _ in kept], pa.list_(pa.struct({"from": pa.int32(), "to": pa.int32()})))
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in names[:-2]), pa.array(texts, pa.string()), removed], names)
 
     types = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carried)]
     joined = rows.join(copied_windows(rows, window), ["id", "k"], "left")
-    out = joined.mapInPandas(run, ", ".join([*types, "text string", "removed array<struct<from: int, to: int>>"]))
+    out = joined.mapInArrow(run, ", ".join([*types, "text string", "removed array<struct<from: int, to: int>>"]))
 
     def named(c: str) -> Column:
         return out["text"] if c == "text" else out[f"c{carried.index(c)}"].alias(c)
