@@ -103,14 +103,35 @@ class ByteBpe:
         after = list(range(1, n + 1))  # where the part that starts here ends
         before = list(range(-1, n - 1))  # where the part that ends here starts
         paired: list[int | None] = [None] * n  # rank of the part here joined with the next; None: no pair
-        push, pop = self.queue.push, self.queue.pop
+        # push and pop of the queue, written out: they are most of the work
+        queue = self.queue
+        buckets, leaf, root, share, get = queue.buckets, queue.leaf, 0, queue.push, ranks.get
         for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
+            rank = get(piece[i : i + 2])
             if rank is not None:
                 paired[i] = rank
-                push(rank, i)
-        while (found := pop()) is not None:
-            rank, i = found
+                if rank in buckets:
+                    share(rank, i)
+                else:
+                    buckets[rank] = i
+                    leaf[rank >> 8] |= BITS[rank & 255]
+                    root |= BITS[rank >> 8]
+        while root:
+            top = (root & -root).bit_length() - 1
+            word = leaf[top]
+            low = word & -word
+            rank = (top << 8) + low.bit_length() - 1
+            i = buckets[rank]
+            if type(i) is int:
+                del buckets[rank]
+                leaf[top] = word = word ^ low
+                if not word:
+                    root ^= BITS[top]
+            else:
+                bucket = i
+                i = heappop(bucket)
+                if len(bucket) == 1:
+                    buckets[rank] = bucket[0]
             if paired[i] != rank:  # stale: one of its parts was merged meanwhile
                 continue
             gone = after[i]
@@ -119,18 +140,28 @@ class ByteBpe:
             paired[gone] = None
             if end < n:
                 before[end] = i
-                rank = paired[i] = ranks.get(piece[i : after[end]])
+                rank = paired[i] = get(piece[i : after[end]])
                 if rank is not None:
-                    push(rank, i)
+                    if rank in buckets:
+                        share(rank, i)
+                    else:
+                        buckets[rank] = i
+                        leaf[rank >> 8] |= BITS[rank & 255]
+                        root |= BITS[rank >> 8]
             else:
                 paired[i] = None
             j = before[i]
             if j >= 0:
-                rank = ranks.get(piece[j:end])
+                rank = get(piece[j:end])
                 if rank != paired[j]:
                     paired[j] = rank
                     if rank is not None:
-                        push(rank, j)
+                        if rank in buckets:
+                            share(rank, j)
+                        else:
+                            buckets[rank] = j
+                            leaf[rank >> 8] |= BITS[rank & 255]
+                            root |= BITS[rank >> 8]
         ids, i = [], 0
         while i < n:
             ids.append(ranks[piece[i : after[i]]])
