@@ -21,8 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens in each of the two generations of a worker's memo.
-MEMO_ENTRIES = 250_000
+#: Pre-tokens in each of the two generations of a worker's memo: some 150 MB each. With 250,000 a worker merged half as
+#: many again, as pre-tokens were forgotten before they came back.
+MEMO_ENTRIES = 600_000
 #: Longer pre-tokens are merged each time and never kept.
 MEMO_BYTES = 64
 
@@ -88,6 +89,7 @@ class ByteBpe:
             raise ValueError(f"ranks above {len(BITS) ** 2 - 1} don't fit the queue of ranks")
         self.ranks = ranks
         self.words = {i: b for b, i in ranks.items()}
+        self.decimals = {i: str(i) for i in self.words}
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.memo: dict[str, tuple[int, ...]] = {}
@@ -183,6 +185,10 @@ class ByteBpe:
             ids += known
         return ids
 
+    def said(self, ids: list[int]) -> bytes:
+        """Decimal ids joined by commas."""
+        return ",".join(map(self.decimals.__getitem__, ids)).encode()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.words.__getitem__, ids))
 
@@ -219,7 +225,7 @@ def encode_digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
             for text in batch["text"]:
                 ids = bpe.encode(text)
                 counts.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                of_ids.append(hashlib.sha256(bpe.said(ids)).hexdigest())
                 of_bytes.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": counts, "ids_sha256": of_ids, "decoded_sha256": of_bytes})
 

@@ -57,3 +57,14 @@ def test_table(spark, peer):
     whole = byte_bpe.encode_decode(docs, PATH, public_tokenizers.PATTERN).collect()
     assert {r.decoded.decode() for r in whole} == {"Hello wörld", ""}
     assert byte_bpe.encode_digests(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_half_a_million_pre_tokens_are_merged_once(monkeypatch):
+    bpe = byte_bpe.ByteBpe({bytes([i]): i for i in range(256)}, r"\w+")
+    merged = []
+    monkeypatch.setattr(bpe, "merge", lambda piece: merged.append(piece) or [1])
+    texts = [" ".join(map(str, range(at, at + 11_000))) for at in range(0, 550_000, 11_000)]
+    for text in texts + texts:
+        bpe.encode(text)
+    assert len(merged) == len(set(merged)) == 550_000
+    assert bpe.said([1, 20, 3]) == b"1,20,3" and bpe.said([]) == b""
