@@ -39,8 +39,9 @@ END_ID = 0
 GROUP_PIECES = 16_384
 #: Bins open at once in a group, and pieces that arrive together, longest first.
 OPEN_BINS, ARRIVALS = 512, 1024
-#: Bytes, as reckoned, of each of the two generations of a worker's memo of words.
-MEMO_BYTES = 32 << 20
+#: Bytes, as reckoned, of each of the two generations of a worker's memo of words. Much of the time goes into words that
+#: were forgotten before they came back: with 32 MB more than half of it.
+MEMO_BYTES = 112 << 20
 #: What an entry of the memo takes beside the characters and ids that it holds.
 ENTRY_BYTES = 160
 #: Texts whose unknown words are looked up together.

@@ -79,3 +79,16 @@ def test_bounded_open_bins_close_the_fullest():
         assert max(used.values()) <= 2048
     # the bin with 900 places left closes when a third is opened
     assert packing.best_fit([1148, 1000, 1500, 500, 900], open_bins=2) == [(0, 0), (1, 0), (2, 0), (2, 1500), (1, 1000)]
+
+
+def test_hundreds_of_thousands_of_words_are_looked_up_once(monkeypatch):
+    tokenizer, asked = packing.WordTokenizer(VOCABULARY), []
+    monkeypatch.setattr(tokenizer, "_ids", lambda words: asked.extend(words) or [[1]] * len(words))
+    texts = [" ".join(map(str, range(at, at + 10_000))) for at in range(0, 400_000, 10_000)]
+    for text in texts:
+        tokenizer.encode([text])
+    before = len(asked)
+    assert before >= 400_000
+    for text in texts:
+        assert tokenizer.encode([text]) == [b"\1\0\0\0" * 10_000]
+    assert len(asked) == before
