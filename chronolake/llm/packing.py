@@ -41,12 +41,12 @@ GROUP_PIECES = 16_384
 OPEN_BINS, ARRIVALS = 512, 1024
 #: Bytes, as reckoned, of each of the two generations of a worker's memo of words. Much of the time goes into words that
 #: were forgotten before they came back: with 32 MB more than half of it.
-MEMO_BYTES = 112 << 20
+MEMO_BYTES = 144 << 20
 #: What an entry of the memo takes beside the characters and ids that it holds.
 ENTRY_BYTES = 160
 #: Texts whose unknown words are looked up together.
 TEXTS = 256
-_BLANKS = re.compile(r"[ \n\r\t]+")
+_BLANK = re.compile(r"[\n\r\t]")
 
 
 class WordTokenizer:
@@ -126,12 +126,12 @@ class WordTokenizer:
         for word, found in parts.items():
             if word not in memo:
                 memo[word] = b"".join([memo[x] for x, _ in found])
-        added = islice(reversed(memo.items()), len(memo) - before)
-        self.bytes += sum(ENTRY_BYTES + len(word) + len(ids) for word, ids in added)
+        added = list(islice(reversed(memo), len(memo) - before))
+        self.bytes += ENTRY_BYTES * len(added) + sum(map(len, added)) + sum(map(len, map(memo.__getitem__, added)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit words."""
-        words = [_BLANKS.split(t) for t in texts]
+        words = [_BLANK.sub(" ", t).split(" ") for t in texts]
         if self.bytes > MEMO_BYTES:  # what isn't used again goes with its generation
             self.older, self.memo, self.bytes = self.memo, {}, 0
         fresh = [w for w in set().union(*words) if w not in self.memo]
