@@ -19,7 +19,8 @@ log P(text) is the sum over its words and its end of log P(class | context) + lo
   counts by gradient ascent, each kind by itself; in the last round the tasks also sum gradient and
   curvature of how much each kind counts beside the others (``mix``, by class), on documents that the
   weights then used don't know. What a task hands over meets in ``PIECES`` groups.
-* Scoring is one pass in sparse numpy batches. Words that occur ``2**b`` times or more, at most
+* Scoring is one pass in sparse numpy batches. The sum below a softmax is taken of products of the weights'
+  powers, so that no token asks for a power of its own. Words that occur ``2**b`` times or more, at most
   ``HEAD_WORDS`` of them, have their counts broadcast (by 64-bit hash); the others, which are rare by
   construction, meet theirs in a join.
 
@@ -36,11 +37,13 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,10 +64,18 @@ OFTEN = 6
 ROUNDS, STEP_TOKENS, RATE = 3, 4096, 0.1
 #: Most words whose counts are broadcast: 12 bytes each.
 HEAD_WORDS = 1 << 18
-#: Words in a worker's memo, and in its counter, before they start anew.
+#: Words in a worker's counter before it starts anew.
 MEMO_WORDS = 500_000
-#: Texts that are turned into arrays at once.
-BATCH = 128
+#: Tokens whose contexts within the classes wait until equal ones are told.
+MET_TOKENS = 1 << 21
+#: Texts that are turned into arrays at once, and their bytes (a longer text goes alone).
+BATCH, BATCH_BYTES = 512, 1 << 21
+#: Tokens whose rows of weights are gathered at once where no minibatch sets their number: few, for the caches.
+SLICE_TOKENS = 512
+#: Rows of a minibatch that are added one after the other.
+CHAIN = 32
+#: Logits up to this size have powers that 32 bits hold, with room for sums of them.
+MOST_LOGIT = 80.0
 END_CLASS, START_CLASS = CLASSES - 1, CLASSES
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -78,8 +89,54 @@ def ending(word: bytes) -> int:
     return crc32(word[-3:]) % ENDINGS
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), "uint64", len(words)).astype("int64")
+#: Of each byte, as crc32 takes it into what it has.
+_CRC = np.array([crc32(bytes([i ^ 0xFF])) ^ 0xFF000000 for i in range(256)], "uint32")
+
+
+def endings(words: pa.LargeBinaryArray) -> np.ndarray:
+    """``ending`` of each of these words."""
+    if not len(words):
+        return np.empty(0, "int64")
+    ends, data = (np.frombuffer(b, k) for b, k in zip(words.buffers()[1:], ("int64", "uint8"), strict=True))
+    ends = ends[words.offset : words.offset + len(words) + 1]
+    sizes, found = np.diff(ends), np.full(len(words), 0xFFFFFFFF, "uint32")
+    for back in (3, 2, 1):
+        more = _CRC[(found ^ data[np.maximum(ends[1:] - back, 0)]) & 0xFF] ^ (found >> 8)
+        found = np.where(sizes >= back, more, found)
+    return (~found % ENDINGS).astype("int64")
+
+
+def word_hashes(words: list[bytes] | np.ndarray) -> np.ndarray:
+    return pd.util.hash_array(np.asarray(words, object), categorize=False).astype("int64")
+
+
+def objects(words: pa.LargeBinaryArray) -> np.ndarray:
+    return words.to_numpy(zero_copy_only=False)
+
+
+def slices(texts: list[bytes]) -> Iterator[slice]:
+    """Parts of ``texts`` of at most ``BATCH`` texts and, but for one text, ``BATCH_BYTES`` bytes."""
+    start = size = 0
+    for at, text in enumerate(texts):
+        if at > start and (at - start == BATCH or size + len(text) > BATCH_BYTES):
+            yield slice(start, at)
+            start, size = at, 0
+        size += len(text)
+    if texts:
+        yield slice(start, len(texts))
+
+
+def split(texts: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray]:
+    """The distinct words of ``texts``, as by ``words_of``; of each word its place there; words of each text."""
+    data = pa.array([t.translate(_LOWER) for t in texts], pa.large_binary())
+    # Arrow splits strings only; it looks at single bytes here, whatever they encode
+    lists = pc.ascii_split_whitespace(pa.LargeStringArray.from_buffers(len(data), *data.buffers()[1:]))
+    words, ends = lists.values, lists.offsets.to_numpy()
+    full = pc.binary_length(words).to_numpy() > 0  # blanks at either end leave empty strings
+    if not full.all():
+        words, ends = words.filter(pa.array(full)), np.r_[0, np.cumsum(full)][ends]
+    found = words.dictionary_encode()
+    return found.dictionary.cast(pa.large_binary()), found.indices.to_numpy(), np.diff(ends)
 
 
 def _logits(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -101,6 +158,45 @@ def _less_top(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Softmax:
+    """A softmax whose logits are sums of one row from each of three tables."""
+
+    def __init__(self, logs: list[np.ndarray]):
+        self.logs = logs
+        most = [np.abs(x[np.isfinite(x)]).max(initial=0) for x in logs]
+        kind = "float32" if sum(most) < MOST_LOGIT else "float64"
+        powers = {id(x): np.exp(x, dtype=kind) for x in logs}
+        self.powers = [powers[id(x)] for x in logs]
+
+    def shares(self, rows: np.ndarray) -> np.ndarray:
+        """Of all items, for each token; still to be divided by their sum."""
+        x, more = self._product(rows)
+        x *= more
+        return x
+
+    def _product(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = np.take(self.powers[0], rows[0], axis=0)
+        more = np.take(self.powers[1], rows[1], axis=0)
+        x *= more
+        return x, np.take(self.powers[2], rows[2], axis=0, out=more, mode="clip")
+
+    def log_share(self, rows: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Log of the share of each token's item ``which``."""
+        width = self.logs[0].shape[1]
+        own = sum(np.take(x.reshape(-1), r * width + which).astype("float64") for x, r in zip(self.logs, rows, strict=True))
+        total = np.empty(len(which))
+        for i in range(0, len(which), SLICE_TOKENS):
+            part = slice(i, i + SLICE_TOKENS)
+            total[part] = np.einsum("ij,ij->i", *self._product(rows[:, part]))
+        return own - np.log(total)
+
+
+def _based(base: np.ndarray, extras: list[np.ndarray]) -> list[np.ndarray]:
+    """``extras``, with ``base`` taken into the first."""
+    first = extras[0].reshape(-1, *base.shape) + base
+    return [first.reshape(extras[0].shape), *extras[1:]]
+
+
 @dataclass
 class Model:
     """Counts of the frequent words by hash, classes of the endings, and the weights."""
@@ -125,16 +221,21 @@ class Model:
         for kind, extra in enumerate(self.extras):
             extra *= np.tile(self.mix[kind], len(extra) // CLASSES)[:, None]
 
-    def within_logits(self, values: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Of the slots in each token's class, given the values of its three features."""
-        x = np.take(self.base, classes, axis=0)
-        more = np.empty_like(x)
-        for extra, value in zip(self.extras, values, strict=True):
-            x += np.take(extra, value * CLASSES + classes, axis=0, out=more, mode="clip")
-        return x
+    @cached_property
+    def class_softmax(self) -> Softmax:
+        logs = self.weights[:-1].copy()
+        logs[: self.features + 1] += self.weights[-1]  # each token has one of these rows
+        return Softmax([logs] * 3)
+
+    @cached_property
+    def within_softmax(self) -> Softmax:
+        """Of the slots in a class; rows are a feature's value times ``CLASSES``, and the class."""
+        return Softmax(_based(self.base, self.extras))
 
-    def class_logits(self, rows: np.ndarray) -> np.ndarray:
-        return _logits(self.weights, rows)
+    @cached_property
+    def mixed_softmax(self) -> Softmax:
+        """The same, of weights that ``mix`` isn't taken into."""
+        return Softmax(_based(self.base, [e * np.tile(m, len(e) // CLASSES)[:, None] for e, m in zip(self.extras, self.mix.astype("float32"), strict=True)]))
 
 
 #: Values of the features within classes: the class before, the word before, the word before that.
@@ -184,62 +285,44 @@ def n_rows(features: int) -> int:
 class Positions(dict):
     """Positions of words from 1 on; a word that is asked for the first time gets the next one."""
 
-    def __init__(self):
-        super().__init__()
-        self.fresh: list[bytes] = []
-
     def __missing__(self, word: bytes) -> int:
         at = self[word] = len(self) + 1
-        self.fresh.append(word)
         return at
 
-    def all_of(self, words: list[bytes]) -> np.ndarray:
+    def all_of(self, words: np.ndarray) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), "int64", len(words))
 
 
 class Reader:
-    """Turns batches of texts into arrays, with a bounded memo of what is known of each word."""
+    """Turns batches of texts into arrays."""
 
     def __init__(self, model: Model):
-        self.model = model
-        self._clear()
-
-    def _clear(self) -> None:
-        self.memo = Positions()
-        # a row for each position: hash, class, slot, count (-1: not a head word); position 0 is the end
-        self.known = np.empty((2 * MEMO_WORDS, 4), "int64")
-        self.known[0] = (0, END_CLASS, 0, self.model.end_count)
-
-    def _learn(self) -> None:
-        m, fresh = self.model, self.memo.fresh
-        hashes = word_hashes(fresh)
-        at = np.searchsorted(m.hashes, hashes)
-        at[at == len(m.hashes)] = 0
-        head = m.hashes[at] == hashes if len(m.hashes) else np.zeros(len(fresh), bool)
-        end = len(self.memo) + 1
-        if end > len(self.known):
-            self.known = np.vstack([self.known, np.empty((end, 4), "int64")])
-        new = self.known[end - len(fresh) : end]
-        new[:, 0] = hashes & 0x7FFFFFFF
-        new[:, 1] = m.classes[[crc32(w[-3:]) % ENDINGS for w in fresh]]
-        new[:, 2], new[:, 3] = m.n_slots, -1
-        new[head, 2], new[head, 3] = m.slots[at[head]], m.counts[at[head]]
-        self.memo.fresh = []
-
-    def read(self, texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-        """Words of each text; the number of its tokens; positions where texts start; and, as rows, each
-        token's hash, class, slot and count."""
-        if len(self.memo) > MEMO_WORDS:
-            self._clear()
-        words = [words_of(t) for t in texts]
-        sizes = np.array([len(ws) + 1 for ws in words])
+        self.model, self.heads = model, pd.Index(model.hashes)
+
+    def _known(self, distinct: pa.LargeBinaryArray, words: np.ndarray) -> np.ndarray:
+        """As rows: hash, class, slot and count (-1: not a head word) of each word and, at last, of the end."""
+        m, known = self.model, np.empty((4, len(words) + 1), "int64")
+        hashes = word_hashes(words)
+        at = self.heads.get_indexer(hashes)
+        head = np.flatnonzero(at >= 0)
+        known[0, :-1] = hashes & 0x7FFFFFFF
+        known[1, :-1] = m.classes[endings(distinct)]
+        known[2], known[3] = m.n_slots, -1
+        known[2, head], known[3, head] = m.slots[at[head]], m.counts[at[head]]
+        known[:, -1] = (0, END_CLASS, 0, m.end_count)
+        return known
+
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct words; each token's place there (-1: the end); the number of tokens of each text; positions
+        where texts start; and, as rows, each token's hash, class, slot and count."""
+        distinct, codes, sizes = split(texts)
+        words, sizes = objects(distinct), sizes + 1
         ends = np.cumsum(sizes)
-        ids = np.zeros(ends[-1], "int64")
-        for ws, end in zip(words, ends.tolist(), strict=True):
-            ids[end - 1 - len(ws) : end - 1] = self.memo.all_of(ws)
-        if self.memo.fresh:
-            self._learn()
-        return words, sizes, ends - sizes, np.ascontiguousarray(self.known[ids].T)
+        inner = np.ones(ends[-1], bool)
+        inner[ends - 1] = False
+        places = np.full(ends[-1], -1, "int64")
+        places[inner] = codes
+        return words, places, sizes, ends - sizes, np.take(self._known(distinct, words), places, axis=1)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -251,31 +334,29 @@ def _gather(train: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored counts: (word, n) of all words, and (cell, n) of endings by the ending before."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, n, tails = Positions(), np.zeros(2 * MEMO_WORDS, "int64"), np.zeros(2 * MEMO_WORDS, "int64")
+        found, n = Positions(), np.zeros(2 * MEMO_WORDS, "int64")
         cells = np.zeros(ENDINGS * AROUND, "int64")
 
         def counted() -> pd.DataFrame:
             return pd.DataFrame({"word": list(found), "cell": -1, "n": n[1 : len(found) + 1]})
 
         for batch in batches:
-            for at in range(0, len(batch), BATCH):
-                texts = [found.all_of(words_of(data)) for data in batch["data"].iloc[at : at + BATCH]]
+            texts = batch["data"].tolist()
+            for part in slices(texts):
+                distinct, codes, sizes = split(texts[part])
+                if not len(codes):
+                    continue
+                ids = found.all_of(objects(distinct))
                 more = len(found) + 1 - len(n)
                 if more > 0:
-                    n, tails = np.r_[n, np.zeros(more, "int64")], np.r_[tails, np.zeros(more, "int64")]
-                tails[len(found) + 1 - len(found.fresh) : len(found) + 1] = [ending(w) for w in found.fresh]
-                found.fresh = []
-                ids = np.concatenate(texts)
-                if not len(ids):
-                    continue
-                seen = np.bincount(ids)
-                n[: len(seen)] += seen
+                    n = np.r_[n, np.zeros(more, "int64")]
+                n[ids] += np.bincount(codes, minlength=len(ids))
                 # pairs of neighbours, without those of a text's last word and the next one's first
-                x = tails[ids]
+                x = endings(distinct)[codes]
                 pairs = x[1:] * AROUND + x[:-1] % AROUND
-                ends = np.cumsum([len(t) for t in texts])
+                ends = np.cumsum(sizes)
                 across = np.ones(len(pairs), bool)
-                across[ends[(ends > 0) & (ends < len(ids))] - 1] = False
+                across[ends[(ends > 0) & (ends < len(codes))] - 1] = False
                 cells += np.bincount(pairs[across], minlength=len(cells))
                 if len(found) > MEMO_WORDS:
                     yield counted()
@@ -307,7 +388,9 @@ def _clustered(cells: pd.DataFrame) -> np.ndarray:
 
 def _softmax(x: np.ndarray) -> np.ndarray:
     """Of each row, in place."""
-    np.exp(_less_top(x), out=x)
+    if x.max() > MOST_LOGIT or x.min() < -MOST_LOGIT:
+        _less_top(x)
+    np.exp(x, out=x)
     x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
     return x
 
@@ -351,8 +434,8 @@ def learn(keyed: DataFrame) -> tuple[Model | None, DataFrame]:
 
     def classed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            of = shared.value[[ending(w) for w in batch["word"]]] if len(batch) else []
-            yield pd.DataFrame({"h": word_hashes(batch["word"].tolist()), "cls": of, "n": batch["n"]})
+            of = shared.value[endings(pa.array(batch["word"], pa.large_binary()))]
+            yield pd.DataFrame({"h": word_hashes(batch["word"].to_numpy()), "cls": of, "n": batch["n"]})
 
     scratch = Scratch(spark)
     every = scratch.store(counts.mapInPandas(classed, "h long, cls int, n long"), "classed")
@@ -418,11 +501,12 @@ def _round(part: DataFrame, model: Model, last: bool) -> tuple[np.ndarray, np.nd
         model = shared.value
         reader, w = Reader(model), model.weights.copy()
         heat = np.ones(w.shape, "float32")
-        seen, slopes, n = np.zeros(n_cells, "int64"), np.zeros(n_slopes), 0
+        seen, slopes, n = np.zeros(n_cells, "int32"), np.zeros(n_slopes), 0
+        met, waiting = [], 0
         for batch in batches:
             texts = batch["data"].tolist()
-            for at in range(0, len(texts), BATCH):
-                _, _, first, (words, classes, slot, _) = reader.read(texts[at : at + BATCH])
+            for part in slices(texts):
+                *_, first, (words, classes, slot, _) = reader.read(texts[part])
                 rows, before = feature_rows(words, classes, first, model.features)
                 values = within_values(rows, before, model.features)
                 low = 0
@@ -434,12 +518,19 @@ def _round(part: DataFrame, model: Model, last: bool) -> tuple[np.ndarray, np.nd
                 for i in range(0, len(words), STEP_TOKENS):
                     step = slice(i, i + STEP_TOKENS)
                     _update(w, heat, rows[:, step], classes[step])
-                    if last:
-                        _add_slopes(slopes, model, values[:, step], classes[step], slot[step])
+                if last:
+                    _add_own(slopes, model, values, classes, slot)
+                    met.append(np.ravel_multi_index((classes, *values), (CLASSES, *VALUES)).astype("int32"))
+                    waiting += len(words)
+                if waiting > MET_TOKENS:
+                    _add_slopes(slopes, model, np.concatenate(met))
+                    met, waiting = [], 0
+        if waiting:
+            _add_slopes(slopes, model, np.concatenate(met))
         if n:
             moved = (w - model.weights).ravel().astype("float16")  # far finer than the steps are sure
             for k, (x, y) in enumerate(zip(np.array_split(moved, PIECES), np.array_split(seen, PIECES), strict=True)):
-                yield pd.DataFrame({"k": [k, PIECES + k], "n": n, "x": [x.tobytes(), y.astype("int32").tobytes()]})
+                yield pd.DataFrame({"k": [k, PIECES + k], "n": n, "x": [x.tobytes(), y.tobytes()]})
             yield pd.DataFrame({"k": [2 * PIECES], "n": [n], "x": [slopes.tobytes()]})
 
     def added(group: pd.DataFrame) -> pd.DataFrame:
@@ -458,60 +549,102 @@ def _round(part: DataFrame, model: Model, last: bool) -> tuple[np.ndarray, np.nd
     return moved.reshape(model.weights.shape).astype("float32"), np.concatenate(parts[PIECES : 2 * PIECES]), parts[-1]
 
 
-def _add_slopes(slopes: np.ndarray, model: Model, values: np.ndarray, classes: np.ndarray, slot: np.ndarray) -> None:
-    """Adds these tokens' gradient (kind, class) and curvature (kind, kind, class) of their log probability
-    within the class by the mix, at the mix as it is."""
-    parts = [np.take(e, v * CLASSES + classes, axis=0) for e, v in zip(model.extras, values, strict=True)]
-    x = np.take(model.base, classes, axis=0)
-    for kind, part in enumerate(parts):
-        x += part * model.mix[kind][classes].astype("float32")[:, None]
-    p, ones, own = _softmax(x), np.ones(x.shape[1], x.dtype), np.arange(len(classes))
-    weighted = [p * part for part in parts]
-    means = [y @ ones for y in weighted]
+def _add_own(slopes: np.ndarray, model: Model, values: np.ndarray, classes: np.ndarray, slot: np.ndarray) -> None:
+    """Adds the part of the gradient (kind, class) that comes from the slots that these tokens have."""
+    for i, extra in enumerate(model.extras):
+        own = np.take(extra.reshape(-1), (values[i] * CLASSES + classes) * extra.shape[1] + slot)
+        slopes[i * CLASSES : (i + 1) * CLASSES] += np.bincount(classes, own, CLASSES)
+
+
+def _add_slopes(slopes: np.ndarray, model: Model, met: np.ndarray) -> None:
+    """Adds the rest of gradient (kind, class) and curvature (kind, kind, class) of these tokens' log probability
+    within the class by the mix, at the mix as it is. ``met``: class and values of each token, as one number;
+    all that it takes is the same for equal ones, and those of a class lie together."""
+    met, times = np.unique(met, return_counts=True)
+    for i in range(0, len(met), STEP_TOKENS):
+        _add_distinct(slopes, model, met[i : i + STEP_TOKENS], times[i : i + STEP_TOKENS])
+
+
+def _add_distinct(slopes: np.ndarray, model: Model, met: np.ndarray, times: np.ndarray) -> None:
+    classes, *values = np.unravel_index(met, (CLASSES, *VALUES))
+    rows, ones = np.stack(values) * CLASSES + classes, np.ones(model.base.shape[1], "float32")
+    means, squares = np.empty((3, len(met))), np.empty((3, 3, len(met)))
+    for i in range(0, len(met), SLICE_TOKENS):
+        part = slice(i, i + SLICE_TOKENS)
+        p = model.mixed_softmax.shares(rows[:, part])
+        p /= (p @ ones)[:, None]
+        parts = [np.take(e, r, axis=0) for e, r in zip(model.extras, rows[:, part], strict=True)]
+        weighted = np.empty_like(p)
+        for j, one in enumerate(parts):
+            np.multiply(p, one, out=weighted)
+            means[j, part] = weighted @ ones
+            for k in range(j, 3):
+                squares[j, k, part] = np.einsum("ij,ij->i", weighted, parts[k])
     at = 3 * CLASSES
-    for i, part in enumerate(parts):
-        slopes[i * CLASSES : (i + 1) * CLASSES] += np.bincount(classes, part[own, slot] - means[i], CLASSES)
+    for i in range(3):
+        slopes[i * CLASSES : (i + 1) * CLASSES] -= np.bincount(classes, times * means[i], CLASSES)
         for j in range(i, 3):  # symmetric
-            more = np.bincount(classes, np.einsum("ij,ij->i", part, weighted[j]) - means[i] * means[j], CLASSES)
+            more = np.bincount(classes, times * (squares[i, j] - means[i] * means[j]), CLASSES)
             for k in {3 * i + j, 3 * j + i}:
                 slopes[at + k * CLASSES : at + (k + 1) * CLASSES] += more
 
 
+def _summed(p: np.ndarray, order: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``keys`` and, for each, the sum of the rows ``order`` of ``p`` that have it; ``keys`` ascend.
+
+    Rows of a key form chains of up to ``CHAIN``. Chains lie by length, so that the n-th rows of all that have one
+    are added at once; the sums of a key's chains meet in another turn."""
+    new = np.r_[True, keys[1:] != keys[:-1]]
+    starts = np.flatnonzero(new)
+    chains = -(-np.diff(starts, append=len(keys)) // CHAIN)
+    n = int(chains.sum())
+    heads = np.repeat(starts - CHAIN * (np.cumsum(chains) - chains), chains) + CHAIN * np.arange(n)
+    sizes = np.diff(heads, append=len(keys))
+    heads = heads[np.argsort((CHAIN - sizes).astype("uint8"), kind="stable")]
+    longer = len(heads) - np.cumsum(np.bincount(sizes, minlength=CHAIN))  # chains of more than so many rows
+    sums = np.take(p, order[heads], axis=0)
+    more = np.empty_like(sums)
+    for j, k in enumerate(longer[1 : sizes.max()].tolist(), 1):
+        sums[:k] += np.take(p, order[heads[:k] + j], axis=0, out=more[:k], mode="clip")
+    keys = keys[heads]
+    if n == len(starts):
+        return keys, sums
+    again = np.argsort(keys, kind="stable")
+    return _summed(sums, again, keys[again])
+
+
 def _update(w: np.ndarray, heat: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
     """One gradient step on a minibatch: each row that occurs moves by its own adapted rate."""
     p = _softmax(_logits(w, rows))
     p[np.arange(len(classes)), classes] -= 1
-    flat, place, column = p.astype("float64").ravel(), np.empty(len(w), "int64"), np.arange(p.shape[1])
-    for which in rows:
-        at = np.flatnonzero(np.bincount(which, minlength=len(w)))
-        place[at] = np.arange(0, len(at) * p.shape[1], p.shape[1])
-        g = np.bincount((place[which][:, None] + column).ravel(), flat, p.shape[1] * len(at)).reshape(len(at), -1).astype("float32")
-        warm = heat[at] + g * g
-        heat[at] = warm
-        w[at] -= np.float32(RATE) * g / np.sqrt(warm)
-    g = p.sum(axis=0)
+    keys = rows.ravel().astype("uint16" if len(w) <= 1 << 16 else "int64")  # kinds have rows of their own
+    order = np.argsort(keys, kind="stable")
+    at, g = _summed(p, order % len(classes), keys[order])
+    for i in range(0, len(at), SLICE_TOKENS):
+        part, h = at[i : i + SLICE_TOKENS], g[i : i + SLICE_TOKENS]
+        warm = np.take(heat, part, axis=0)
+        warm += h * h
+        heat[part] = warm
+        np.sqrt(warm, out=warm)
+        h *= np.float32(RATE)
+        h /= warm
+        w[part] -= h
+    g = np.ones(len(p), p.dtype) @ p
     heat[-1] += g * g
     w[-1] -= RATE * g / np.sqrt(heat[-1])
 
 
-def _log_share(x: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Log of the share that each row's item ``which`` has in its softmax; ``x`` is used up."""
-    own = x[np.arange(len(x)), which]
-    return own - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
-
-
 def batch_scores(model: Model, reader: Reader, texts: list[bytes]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each text: the words that aren't head words, with their number; tokens; known head words; the sum of
     log10(count + 0.5) over head words; and the log10 probability, both still without that sum over the others."""
-    words, sizes, first, (hashes, classes, slot, count) = reader.read(texts)
+    distinct, places, sizes, first, (hashes, classes, slot, count) = reader.read(texts)
     rows, before = feature_rows(hashes, classes, first, model.features)
-    values = within_values(rows, before, model.features)
     scores = np.empty(len(hashes))
     for i in range(0, len(hashes), STEP_TOKENS):
         part = slice(i, i + STEP_TOKENS)
-        x = _less_top(model.class_logits(rows[:, part]))
-        scores[part] = _log_share(x, classes[part])
-        scores[part] += _log_share(_less_top(model.within_logits(values[:, part], classes[part])), slot[part])
+        scores[part] = model.class_softmax.log_share(rows[:, part], classes[part])
+        values = within_values(rows[:, part], before[part], model.features)
+        scores[part] += model.within_softmax.log_share(values * CLASSES + classes[part], slot[part])
     scores /= math.log(10)
     half = np.log10(np.maximum(count, 0) + 0.5)
     half[count < 0] = 0
@@ -520,7 +653,8 @@ def batch_scores(model: Model, reader: Reader, texts: list[bytes]) -> tuple[list
     known = np.add.reduceat(count > 0, first)
     rare = np.flatnonzero(count < 0)
     bounds = np.searchsorted(rare, np.r_[first, len(count)])
-    other = [Counter(map(ws.__getitem__, (rare[a:b] - f).tolist())) for ws, a, b, f in zip(words, bounds[:-1], bounds[1:], first, strict=True)]
+    words = distinct[places[rare]].tolist()
+    other = [Counter(words[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     return other, sizes, known, np.add.reduceat(half, first), np.add.reduceat(scores, first)
 
 
@@ -539,10 +673,10 @@ def scores(docs: DataFrame) -> DataFrame:
         model = shared.value
         reader = Reader(model)
         for batch in batches:
-            for at in range(0, len(batch), BATCH):
-                part = batch.iloc[at : at + BATCH]
-                other, sizes, known, half, found = batch_scores(model, reader, part["data"].tolist())
-                yield part.drop(columns="data").assign(
+            texts = batch["data"].tolist()
+            for part in slices(texts):
+                other, sizes, known, half, found = batch_scores(model, reader, texts[part])
+                yield batch.iloc[part].drop(columns="data").assign(
                     n_tokens=sizes, known=known, half=half, found=found, rare=[list(c) for c in other], times=[list(c.values()) for c in other]
                 )
 

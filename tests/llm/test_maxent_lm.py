@@ -148,3 +148,70 @@ def test_the_context_model_is_whole_and_grows_with_the_corpus(spark, monkeypatch
     assert out["score"].sum() > 0.95 * out["base_score"].sum()  # both are negative
     assert maxent_lm.sizes_of({-1: 10**9}) == (32, 2)
     assert maxent_lm.sizes_of({20: 10**9}) == (maxent_lm.MOST_FEATURES, maxent_lm.MOST_SLOTS)
+
+
+def test_texts_are_split_by_arrow_as_one_by_one():
+    rng = random.Random(3)
+    texts = [bytes(rng.choice(b" \t\x0b\x1c\x00aB\xc3\x89\xff") for _ in range(rng.randrange(40))) for _ in range(300)] + [b"", b"  "]
+    for some in (texts, [b""], [b" \r"]):
+        distinct, codes, sizes = maxent_lm.split(some)
+        words = [w for t in some for w in maxent_lm.words_of(t)]
+        assert distinct.take(codes).to_pylist() == words and sizes.tolist() == [len(maxent_lm.words_of(t)) for t in some]
+        assert maxent_lm.endings(distinct).tolist() == [maxent_lm.ending(w) for w in distinct.to_pylist()]
+    hashes = maxent_lm.word_hashes(maxent_lm.split(texts)[0].to_pylist())
+    assert len(set(hashes.tolist())) == len(set(w for t in texts for w in maxent_lm.words_of(t)))
+
+
+def test_slices_hold_all_texts_within_their_bounds(monkeypatch):
+    monkeypatch.setattr(maxent_lm, "BATCH", 3)
+    monkeypatch.setattr(maxent_lm, "BATCH_BYTES", 10)
+    texts = [b"x" * n for n in (1, 1, 1, 1, 9, 2, 30, 0, 10, 0, 0)]
+    parts = [texts[p] for p in maxent_lm.slices(texts)]
+    assert sum(parts, []) == texts and list(maxent_lm.slices([])) == []
+    assert all(len(p) <= 3 and (len(p) == 1 or sum(map(len, p)) <= 10) for p in parts)
+
+
+def test_rows_of_a_minibatch_are_summed_in_chains():
+    rng = np.random.default_rng(1)
+    p = rng.normal(size=(5000, 4)).astype("float32")
+    for keys in (rng.zipf(1.3, 5000) % 900, np.full(5000, 7), np.arange(5000), np.arange(1)):
+        order = np.argsort(keys, kind="stable")
+        at, sums = maxent_lm._summed(p, order, keys[order])
+        true = np.zeros((5000, 4))
+        np.add.at(true, keys, p[: len(keys)])
+        assert sorted(at) == sorted(set(keys.tolist())) and np.allclose(sums, true[at], atol=1e-3)
+
+
+@pytest.mark.parametrize("size", [1, 60])
+def test_softmax_by_products_of_powers(size):
+    rng = np.random.default_rng(2)
+    logs = [size * rng.uniform(-1, 1, (30, 9)).astype("float32") for _ in range(3)]
+    logs[0][:, 4] = -np.inf
+    rows, which = rng.integers(0, 30, (3, 1500)), rng.choice([0, 3, 8], 1500)
+    soft = maxent_lm.Softmax(logs)
+    assert soft.powers[0].dtype == ("float32" if size == 1 else "float64")
+    x = sum(t[r].astype("float64") for t, r in zip(logs, rows, strict=True))
+    true = x[np.arange(1500), which] - np.logaddexp.reduce(x, axis=1)
+    assert np.allclose(soft.log_share(rows, which), true, atol=1e-4)
+
+
+def test_slopes_take_equal_contexts_once(spark, monkeypatch):
+    model, _, _ = learned(spark)
+    model.mix = np.full((3, maxent_lm.CLASSES), 0.5)
+    rng, n = np.random.default_rng(4), 3000
+    classes, values = rng.integers(0, 3, n), np.stack([rng.integers(0, 4, n) for _ in maxent_lm.VALUES])
+    slot = np.array([np.flatnonzero(np.isfinite(model.base[c]))[0] for c in classes])
+    met, seen, plain = np.ravel_multi_index((classes, *values), (maxent_lm.CLASSES, *maxent_lm.VALUES)), [], maxent_lm._add_distinct
+    monkeypatch.setattr(maxent_lm, "_add_distinct", lambda s, m, part, times: (seen.extend(part.tolist()), plain(s, m, part, times)))
+    slopes = np.zeros(12 * maxent_lm.CLASSES)
+    maxent_lm._add_own(slopes, model, values, classes, slot)
+    maxent_lm._add_slopes(slopes, model, met)
+    assert seen == sorted(set(met.tolist())) and len(seen) < 200
+    true = np.zeros((4, 3, maxent_lm.CLASSES))
+    for t, c in enumerate(classes):
+        e = np.stack([x[v * maxent_lm.CLASSES + c] for x, v in zip(model.extras, values[:, t], strict=True)]).astype("float64")
+        p = np.exp(model.base[c] + e.sum(axis=0) / 2)
+        p /= p.sum()
+        true[0, :, c] += e[:, slot[t]] - e @ p
+        true[1:, :, c] += (e * p) @ e.T - np.outer(e @ p, e @ p)
+    assert np.allclose(slopes, true.ravel(), atol=1e-2)
