@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolake.operators.layouts import by_series, whole_series
@@ -41,6 +41,25 @@ def right_aligned(long: DataFrame, scores: DataFrame, limit: float) -> DataFrame
     return rows.withColumn("label", (F.abs("score") > limit).cast("long"))
 
 
+def quantiles(rows: DataFrame, of: dict[str, tuple[str, float]]) -> DataFrame:
+    """series_id, and for each name in ``of`` (name -> column, share) that quantile of the column in its series, nulls left
+    out; null where nothing is left. Between two values it is a product and a sum with one rounding, as DuckDB has it:
+    Spark's percentile rounds twice, which sets values apart that are equal to the quantile but for the last bit. Ranks
+    come from windows, so that a series is sorted and never held."""
+    columns = sorted({c for c, _ in of.values()})
+    order = {c: Window.partitionBy("series_id").orderBy(F.col(c).asc_nulls_last()) for c in columns}
+    ranked = rows.select("series_id", *columns, *[F.row_number().over(order[c]).alias(f"rank_{c}") for c in columns], *[F.count(c).over(whole_series()).alias(f"n_{c}") for c in columns])
+    at = {k: (F.col(f"n_{c}") - 1) * q for k, (c, q) in of.items()}
+    ends = {k: [F.max(F.when(F.col(f"rank_{of[k][0]}") == f(x) + 1, F.col(of[k][0]))).alias(f"{k}_{i}") for i, f in enumerate((F.floor, F.ceil))] for k, x in at.items()}
+    found = ranked.groupBy("series_id").agg(*[e for pair in ends.values() for e in pair], *[F.first(x - F.floor(x)).alias(f"{k}_d") for k, x in at.items()])
+
+    def between(low: Column, high: Column, d: Column) -> Column:
+        parts = [F.coalesce(x, F.lit(0.0)) for x in (low, 1 - d, high * d)]
+        return F.when(low.isNull() | (d == 0), low).otherwise(F.java_method(F.lit("java.lang.Math"), F.lit("fma"), *parts).cast("double"))
+
+    return found.select("series_id", *[between(F.col(f"{k}_0"), F.col(f"{k}_1"), F.col(f"{k}_d")).alias(k) for k in of])
+
+
 def regimes(long: DataFrame, reference: float = 1.0) -> DataFrame:
     """series_id, t, value, step, regime: ``transition`` where the absolute step reaches its quantile 0.85, else
     ``high_load`` or ``low_load`` beyond the value's quartiles, else ``stable``. Quantiles are taken over the
@@ -49,8 +68,8 @@ def regimes(long: DataFrame, reference: float = 1.0) -> DataFrame:
     step = F.coalesce(F.col("value") - F.lag("value").over(by_series()), F.lit(0.0))
     rows = long.select("series_id", "t", "value", step.alias("step"), F.count("*").over(w).alias("n"))
     known = F.col("t") < F.greatest(F.lit(1), F.floor(F.col("n") * reference))
-    q = rows.where(known).groupBy("series_id").agg(F.percentile(F.abs("step"), F.lit(0.85)).alias("q0"), F.percentile("value", F.array(F.lit(0.75), F.lit(0.25))).alias("q"))
-    label = F.when(F.abs("step") >= F.col("q0"), "transition").when(F.col("value") >= F.get("q", F.lit(0)), "high_load").when(F.col("value") <= F.get("q", F.lit(1)), "low_load").otherwise("stable")
+    q = quantiles(rows.where(known).withColumn("size", F.abs("step")), {"q85": ("size", 0.85), "q75": ("value", 0.75), "q25": ("value", 0.25)})
+    label = F.when(F.abs("step") >= F.col("q85"), "transition").when(F.col("value") >= F.col("q75"), "high_load").when(F.col("value") <= F.col("q25"), "low_load").otherwise("stable")
     return rows.join(q, "series_id").select("series_id", "t", "value", "step", label.alias("regime"))
 
 
