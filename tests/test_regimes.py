@@ -55,3 +55,7 @@ def test_quantiles_of_odd_series(spark):
 
 def test_labels_of_near_ties(spark, folder):
     assert same_as_sql(spark, folder, "regime_labels")
+
+
+def test_segments_of_near_ties(spark, folder):
+    assert same_as_sql(spark, folder, "regime_segments")
