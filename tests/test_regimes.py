@@ -59,3 +59,7 @@ def test_labels_of_near_ties(spark, folder):
 
 def test_segments_of_near_ties(spark, folder):
     assert same_as_sql(spark, folder, "regime_segments")
+
+
+def test_threshold_outside_transitions_of_near_ties(spark, folder):
+    assert same_as_sql(spark, folder, "threshold_regime")
