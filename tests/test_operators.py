@@ -46,6 +46,15 @@ def test_window_arithmetic(spark):
         assert c == (n // 3 if raw < 2 or raw > n / 2 else raw)
 
 
+def test_window_shares_are_decimals(spark):
+    """Shares of whole numbers in hundredths: a half is one, and goes to the even number, also where 0.35 n as a double isn't."""
+    even = lambda n, hundredths: (n * hundredths + 49 + (n * hundredths // 100) % 2) // 100
+    sizes = spark.range(4, 1200).withColumn("n", F.col("id").cast("int"))
+    for r in sizes.select("n", windows.window_size(F.col("n")).alias("a"), windows.window_size(F.col("n"), percent=35).alias("b"), windows.trajectory_length(F.col("n")).alias("c")).collect():
+        raw = even(r.n, 35)
+        assert (r.a, r.b, r.c) == (min(max(8, even(r.n, 10)), r.n), max(2, raw), r.n // 3 if raw < 2 or raw > r.n / 2 else raw)
+
+
 @pytest.mark.parametrize(("n", "width", "stride"), [(10, 3, 1), (10, 4, 3), (5, 5, 2), (3, 4, 1), (9, 2, 5)])
 def test_sliding_is_exact(spark, n, width, stride):
     values = list(range(n))
