@@ -3,6 +3,7 @@
 1. Counts. Texts become bags of hashed features: runs of 1 to ``n`` consecutive words, in ``buckets`` buckets by
    crc32. The document-by-bucket matrix is stored in blocks of compressed sparse rows: a block is one table row
    with its documents' ids, row pointers, bucket numbers and counts, at most ``CELLS`` cells and one document more.
+   Blocks are read ``AT_ONCE`` at a time, so that a task's memory doesn't grow with the blocks that it reads.
 2. Distributions. Column sums of the blocks, of the corpus and of the target: each task adds its blocks up and
    hands over ``buckets`` rows at most. The ``buckets`` gains alone come to the driver.
 3. Weights. The product of each block with the gains, floored means by document: no shuffle.
@@ -20,6 +21,7 @@ long text is one row of its block, of ``buckets`` cells at most; further columns
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import math
 import re
@@ -33,11 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from chronolake.llm.common import Scratch
+from chronolake.llm.common import Scratch, settings
 
 BUCKETS, RUNS, SALT, LEAST_WORDS, SHARE = 10_000, 1, 2024, 20, 10
 #: Cells of a block after which it is closed.
-CELLS = 1 << 17
+CELLS = 1 << 13
+#: Blocks that a task reads at once, from its table and into Python: 600,000 cells at most with all buckets in use.
+AT_ONCE = 32
 #: Words that are hashed at once: bounds the list that a very long text makes.
 CHUNK = 1 << 16
 
@@ -104,6 +108,11 @@ def count_blocks(table: DataFrame, key: str, n: int = RUNS, buckets: int = BUCKE
     return read.mapInArrow(run, f"ids array<{kind.simpleString()}>, words array<long>, rows array<int>, columns array<int>, counts array<long>")
 
 
+def _few(blocks: DataFrame) -> contextlib.AbstractContextManager[None]:
+    """While ``blocks`` are read. Left alone, Spark takes 4096 rows of a table and 10,000 of a batch at once: all of a task's."""
+    return settings(blocks.sparkSession, {"spark.sql.parquet.columnarReaderBatchSize": str(AT_ONCE), "spark.sql.execution.arrow.maxRecordsPerBatch": str(AT_ONCE)})
+
+
 def _lists(batch: pa.RecordBatch, names: tuple[str, ...]) -> Iterator[tuple[np.ndarray, ...]]:
     for at in range(batch.num_rows):
         yield tuple(batch[c][at].values.to_numpy(zero_copy_only=False) for c in names)
@@ -121,8 +130,9 @@ def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(sums[full])], ["bucket", "n"])
 
     whole = np.zeros(buckets, "int64")
-    for bucket, n in blocks.select("columns", "counts").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
-        whole[bucket] = n
+    with _few(blocks):
+        for bucket, n in blocks.select("columns", "counts").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
+            whole[bucket] = n
     return whole
 
 
@@ -188,5 +198,6 @@ def resampled(docs: DataFrame, target: DataFrame) -> DataFrame:
     corpus = scratch.store(count_blocks(docs, "doc_id"), "count-blocks")
     aim = scratch.store(count_blocks(target, "item_id"), "target-blocks")
     gain = gains(column_sums(corpus), column_sums(aim))
-    scored = scratch.store(weights(corpus, gain), "weights")
+    with _few(corpus):
+        scored = scratch.store(weights(corpus, gain), "weights")
     return scratch.finish(draw(scored).drop("n_words"), "resampled")

@@ -109,3 +109,25 @@ def test_draw_follows_weights(spark):
     scored = spark.createDataFrame(rows, "doc_id long, n_words long, n_features long, weight long, score long")
     kinds = np.array([r.weight > 0 for r in resampling.draw(scored, share=2).where("rank is not null").collect()])
     assert len(kinds) == 800 and 0.75 < kinds.mean() < 0.85
+
+
+def test_tasks_read_few_blocks_at_once(spark, texts, monkeypatch):
+    monkeypatch.setattr(resampling, "CELLS", 50)
+    frame = type(spark.range(0))
+    plain = frame.mapInArrow
+
+    def noting(self, run, schema, *more, **named):
+        def few(batches):
+            for batch in batches:
+                assert "columns" not in batch.schema.names or batch.num_rows <= 64
+                yield batch
+
+        return plain(self, lambda batches: run(few(batches)), schema, *more, **named)
+
+    docs, target = frames(spark, texts, 2)
+    assert resampling.count_blocks(docs, "doc_id").count() > 500
+    names = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = [spark.conf.get(k) for k in names]
+    monkeypatch.setattr(frame, "mapInArrow", noting)
+    assert resampling.resampled(docs, target).count() == len(texts[0])
+    assert [spark.conf.get(k) for k in names] == before
