@@ -10,6 +10,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolake.operators import pair_forest
 from chronolake.operators.layouts import whole_series
 from chronolake.operators.matrix import anchored_pairs
 
@@ -95,13 +96,8 @@ def pairwise_classes(train: DataFrame, rows: DataFrame, each: int = 8, mode: str
 
 def pairwise_values(train: DataFrame, rows: DataFrame, anchors: DataFrame, mode: str = "concat_diff", trees: int = 30) -> DataFrame:
     """sample_id, y: regression by pairwise differences: a forest learns how far a sample's target lies above an
-    anchor's; a prediction is the mean over anchors of their target and that difference."""
-    own = train.select(F.col("sample_id").alias("j"), F.col("target").alias("tj"))
-    known = anchors.select(F.col("sample_id").alias("i"), F.col("target").alias("ti"))
-    pairs = pair_features(anchored_pairs(train, anchors), mode).join(F.broadcast(known), "i").join(own, "j")
-    model = RandomForestRegressor(numTrees=trees, seed=1).fit(pairs.select(array_to_vector("features").alias("features"), (F.col("tj") - F.col("ti")).alias("label")))
-    asked = pair_features(anchored_pairs(rows, anchors), mode).join(F.broadcast(known), "i").withColumn("features", array_to_vector("features"))
-    return model.transform(asked).groupBy(F.col("j").alias("sample_id")).agg(F.avg(F.col("ti") + F.col("prediction")).alias("y"))
+    anchor's, from all pairs (``pair_forest``); a prediction is the mean over anchors of their target and that difference."""
+    return pair_forest.predict(pair_forest.fit(train, anchors, mode, trees), rows, anchors)
 
 
 def calibrated(scores: DataFrame, key: str) -> DataFrame:
